@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from lintlake.llm import exact_dedup
+from lintlake.llm import exact_dedup, mixing, packing
 
 QUERIES = {
+    "op3_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op10_mixing": mixing.query,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
