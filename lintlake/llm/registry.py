@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from lintlake.llm import exact_dedup, mixing, packing
+from lintlake.llm import chat, exact_dedup, license_scan, mixing, packing, token_counts
 
 QUERIES = {
+    "op2_token_counts": token_counts.query,
     "op3_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op6_license_scan": license_scan.query,
+    "op8_chat_formatting": chat.query,
     "op10_mixing": mixing.query,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op6_license_scan": license_scan.SQL,
 }
