@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lintlake.llm import chat, exact_dedup, license_scan, mixing, packing, token_counts
+from lintlake.llm import ann, chat, exact_dedup, license_scan, mixing, packing, quality, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op3_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_nearest_neighbours": ann.query,
     "op6_license_scan": license_scan.query,
+    "op7_quality_classifier": quality.query,
     "op8_chat_formatting": chat.query,
     "op10_mixing": mixing.query,
 }
