@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.llm import ann, chat, exact_dedup, license_scan, mixing, packing, quality, token_counts
+from lintlake.llm import ann, chat, exact_dedup, license_scan, mixing, near_dedup, packing, quality, token_counts
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_license_scan": license_scan.query,
     "op7_quality_classifier": quality.query,
     "op8_chat_formatting": chat.query,
+    "op9_near_dedup": near_dedup.query,
     "op10_mixing": mixing.query,
 }
 ORACLES = {
