@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lintlake.llm import ann, chat, exact_dedup, license_scan, mixing, near_dedup, packing, quality, token_counts
+from lintlake.llm import ann, chat, exact_dedup, license_scan, lm_scoring, mixing, near_dedup, packing, quality, token_counts
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.query,
     "op2_token_counts": token_counts.query,
     "op3_packing": packing.query,
     "op4_exact_dedup": exact_dedup.query,
