@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterable
+import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Words kept per worker, and the longest one kept, in bytes.
-CACHED_WORDS = 300_000
-LONGEST_CACHED = 64
+#: Pre-tokens kept per worker, and the longest one kept, in characters.
+CACHED_PIECES = 1_000_000
+LONGEST_CACHED = 48
+#: Texts without these characters lower-case and compose alike in every library; the others, and those
+#: with special strings, are encoded whole.
+NOT_PLAIN = re.compile("[^\t\n\x0b\x0c\r -~¡-įı-ʯ]|<\\|")
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,35 +35,45 @@ def load(path: str):
 
 
 class WordIds:
-    """Ids of a text as little-endian 32-bit bytes, put together from those of its words.
+    """Ids of a text as little-endian 32-bit bytes, put together from those of its pre-tokens.
 
-    Holds for tokenizers that drop white space and never look across it: encoding each ASCII-blank
-    separated word and joining the ids gives what encoding the whole text gives.
+    Holds for tokenizers that lower-case, drop white space and merge within pre-tokens only: encoding
+    each distinct pre-token once and joining the ids gives what encoding the whole text gives.
     """
 
     def __init__(self, path: str):
+        import regex
+
         self.tokenizer = load(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, words: Iterable[bytes]) -> dict[bytes, bytes]:
-        """Make every word known; returns those too long to be kept."""
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(words)
-        extra: dict[bytes, bytes] = {}
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            for word, c in zip(part, coded, strict=True):
-                (self.known if len(word) <= LONGEST_CACHED else extra)[word] = np.array(c.ids, "<u4").tobytes()
-        return extra
+        split = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["pretokenizers"][0]
+        self.cut = regex.compile(split["pattern"]["Regex"]).findall
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode(self, strings: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(strings), 4096):
+            coded = self.tokenizer.encode_batch_fast(strings[at : at + 4096], add_special_tokens=False)
+            out += [np.array(c.ids, "<u4").tobytes() for c in coded]
+        return out
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        extra = self.learn(set().union(*split))
-        table = self.known | extra if extra else self.known
-        return [b"".join(map(table.__getitem__, words)) for words in split]
+        strings = [t.decode() for t in texts]
+        cut: list[list[str] | None] = [None if NOT_PLAIN.search(s) else self.cut(s.lower()) for s in strings]
+        seen = set().union(*filter(None, cut))
+        missing = seen - self.pieces.keys()
+        if len(self.pieces) + len(missing) > CACHED_PIECES:
+            self.pieces.clear()
+            missing = seen
+        new = list(missing)
+        self.pieces.update(zip(new, self._encode(new), strict=True))
+        ids_of = self.pieces.__getitem__
+        out = [b"" if c is None else b"".join(map(ids_of, c)) for c in cut]
+        for long in [p for p in new if len(p) > LONGEST_CACHED]:
+            del self.pieces[long]
+        whole = [k for k, c in enumerate(cut) if c is None]
+        for k, ids in zip(whole, self._encode([strings[k] for k in whole]), strict=True):
+            out[k] = ids
+        return out
 
 
 @lru_cache(maxsize=2)
