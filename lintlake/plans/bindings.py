@@ -43,7 +43,7 @@ select concat('run-', cast(o_orderkey % 16 as varchar(9))) as run_id, o_orderkey
                  when '4' then 'unscheduled' else 'interrupted' end end as status,
   case substr(o_orderpriority, 1, 1) when '1' then 'critical' when '2' then 'high' when '3' then 'medium' else 'low' end as tier,
   o_orderkey % 3 <> 0 as valid_report,
-  cast(o_totalprice as bigint) % 16384 + 1 as byte_length,
+  cast(floor(o_totalprice) as bigint) % 16384 + 1 as byte_length,
   case when o_orderkey % 9 = 0 then 0.4 else 0.9 end as parse_confidence
 from orders
 """
