@@ -169,7 +169,7 @@ def nearest(
     n_weak = weak.count()
     if n_weak:
         whole = F.size("vector").cast("long").alias("bucket")
-        again = rows.where(is_query).join(broadcast_if_small(weak, 16, n_weak), "vec_id")
+        again = keep(rows.where(is_query).join(broadcast_if_small(weak, 16, n_weak), "vec_id"), "ann-again")
         found = found.join(weak.withColumnRenamed("vec_id", "query_id"), "query_id", "left_anti").unionByName(
             _search(
                 rows.select(whole, "vec_id", "vector"), again.select(whole, "vec_id", "vector"), k, tile_rows
