@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.hashing import mix, sequence_hashes, words_of
-from lintlake.llm.scratch import crc_mod, documents, keep
+from lintlake.llm.scratch import crc_mod, documents, keep, small_batches
 from lintlake.llm.vocab import text_slices
 
 #: Base of the count scale, bits per filter entry, probes per membership test.
@@ -39,9 +39,9 @@ PAIR_WEIGHT = 0.5
 SHARD_BYTES = 8 << 20
 BROADCAST_BYTES = 160 << 20
 #: Words in one shard of the exact table, and bytes of text whose requests meet one copy of it.
-TABLE_WORDS = 4_000_000
-REQUEST_BYTES = 128 << 20
-SLICE_BYTES = 8 << 20
+TABLE_WORDS = 1_000_000
+REQUEST_BYTES = 64 << 20
+SLICE_BYTES = 4 << 20
 _U = np.uint64
 #: Stands for the end of a text, and as a history for its beginning.
 EDGE = mix(np.array([0x9E3779B9], _U))[0]
@@ -81,7 +81,7 @@ def _sharded(grams: np.ndarray, shards: int):
 def _count_grams(shards: int):
     def run(batches):
         for batch in batches:
-            for _, texts in text_slices(batch["text"], SLICE_BYTES):
+            for _, texts in text_slices(batch["text"], 2 * SLICE_BYTES):
                 words, _ = edged(texts)
                 rows = []
                 for order, grams in ((1, words[1:]), (2, pairs_of(words))):
@@ -151,7 +151,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
         {
             "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
             "words": [words.tobytes()],
-            "word_counts": [word_counts.tobytes()],
+            "word_counts": [word_counts.astype("<u8").tobytes()],
             "n_words": [len(words)],
             "total": [int(word_counts.sum())],
             "bits": [bits.tobytes()],
@@ -174,6 +174,13 @@ class Filter:
         for shard, bits in parts:
             self.data[self.starts[shard] : self.starts[shard] + len(bits)] = np.frombuffer(bits, np.uint8)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"data": self.data.tobytes()}
+
+    def __setstate__(self, state: dict) -> None:
+        """Workers read the bits where they were received, without a second copy."""
+        self.__dict__ = state | {"data": np.frombuffer(state["data"], np.uint8)}
+
     def holds(self, grams: np.ndarray, level: int) -> np.ndarray:
         shard = shard_of(grams, self.shards).astype(np.int64)
         n_bits, starts = self.bits[shard], self.starts[shard]
@@ -215,7 +222,7 @@ class Model:
     def log10(self, word: np.ndarray, history: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """From levels, the log10 probability at every position."""
         word, history, pair = LEVEL_COUNTS[word], LEVEL_COUNTS[history], LEVEL_COUNTS[pair]
-        alone = 10 ** self.base(word)
+        alone = np.minimum(10 ** self.base(word), 1.0)
         weight = self.pair_weight * history / np.maximum(history + self.false_mass, 1.0)
         seen = np.where((word > 0) & (history > 0), pair, 0.0)
         follows = np.minimum(seen / np.maximum(history + self.false_mass, 1.0), 1.0)
@@ -243,6 +250,7 @@ def _requests(words: np.ndarray, sizes: np.ndarray, rows: np.ndarray, shards: in
     uses = np.diff(np.concatenate((lead, [len(w)])))
     distinct = w[lead]
     part = int(mix(rows[:1].astype(_U))[0] % _U(parts))
+    o = o.astype("<u2" if len(sizes) <= 1 << 16 else "<u4")
     for shard, cut in _sharded(distinct, shards):
         inner = slice(int(lead[cut.start]), int(lead[cut.stop]) if cut.stop < len(lead) else len(w))
         yield (
@@ -251,7 +259,7 @@ def _requests(words: np.ndarray, sizes: np.ndarray, rows: np.ndarray, shards: in
             rows.astype("<i8").tobytes(),
             distinct[cut].tobytes(),
             uses[cut].astype("<u4").tobytes(),
-            o[inner].astype("<u4").tobytes(),
+            o[inner].tobytes(),
             times[inner].astype("<u4").tobytes(),
         )
 
@@ -297,11 +305,12 @@ def _answer(model: Model):
 
     def run(asked: pa.Table, table: pa.Table) -> pa.Table:
         words = np.frombuffer(b"".join(table["words"].to_pylist()), _U)
-        counts = np.frombuffer(b"".join(table["word_counts"].to_pylist()), np.int64)
+        counts = np.frombuffer(b"".join(table["word_counts"].to_pylist()), "<u8").astype(np.int64)
         order = np.argsort(words)
         words, counts = words[order], counts[order]
         out: list[tuple[np.ndarray, ...]] = []
-        for row in asked.to_pylist():
+        for i in range(len(asked)):
+            row = {c: asked[c][i].as_py() for c in ("rows", "words", "uses", "owners", "times")}
             rows = np.frombuffer(row["rows"], "<i8")
             given = np.frombuffer(row["words"], _U)
             found = np.zeros(len(given), np.int64)
@@ -309,7 +318,7 @@ def _answer(model: Model):
                 at = np.minimum(np.searchsorted(words, given), len(words) - 1)
                 found = np.where(words[at] == given, counts[at], 0)
             uses = np.frombuffer(row["uses"], "<u4")
-            owners = np.frombuffer(row["owners"], "<u4")
+            owners = np.frombuffer(row["owners"], f"<u{len(row['owners']) // int(uses.sum())}")
             times = np.frombuffer(row["times"], "<u4").astype(float)
             base = np.bincount(owners, np.repeat(model.base(found), uses) * times, len(rows))
             known = np.bincount(owners, np.repeat(found > 0, uses) * times, len(rows))
@@ -379,7 +388,7 @@ def _score_chunk(model: Model):
 
 def _scored_by_shuffle(numbered: DataFrame, tables: DataFrame, model: Model, shards: int, n_bytes: int) -> DataFrame:
     """row, shuffled_score: the n-grams of each text meet the filter shards that hold them, then the text again."""
-    chunks = max(1, math.ceil(n_bytes / (2 * SLICE_BYTES)))
+    chunks = max(1, math.ceil(n_bytes / (4 * SLICE_BYTES)))
     asked = numbered.select("row", "text").mapInArrow(_asked_levels(shards), "row long, shard int, grams binary")
     answers = (
         asked.groupBy("shard")
@@ -408,6 +417,7 @@ def lm_scores(
     training rows nothing is known and both scores are those of a uniform guess over nothing: 0 tokens
     count as log10(1). Null ids, repeated rows and further columns do no harm; no rows give no rows.
     """
+    small_batches(spark)
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, math.ceil(n_bytes / SHARD_BYTES))
@@ -432,6 +442,8 @@ def lm_scores(
         del whole
     scanned = numbered.mapInArrow(_scan(filter_, model, wide, parts), ROWS)
     scanned = keep(scanned, "lm-scan")
+    if filter_ is not None:
+        filter_.destroy()
     own = scanned.where("shard is null").select("row", "doc_id", "held_out", "n_tokens", "score")
     asked = scanned.where("shard is not null").select("shard", "part", "rows", "words", "uses", "owners", "times")
     coarse = F.floor(F.col("shard") * wide / shards).cast("int")

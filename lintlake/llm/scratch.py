@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Largest table, in bytes, that an operator here sends to every executor.
 BROADCAST_BYTES = 32 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -53,6 +54,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the default size of Arrow batches: operators on long texts hold several arrays per byte of a batch."""
+    if spark.conf.get(BATCH_BYTES) in ("67108864b", "67108864", "64m", "64MB"):
+        spark.conf.set(BATCH_BYTES, "8m")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
