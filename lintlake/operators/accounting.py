@@ -18,7 +18,9 @@ FINISH_STATUS = {
 EXIT_CODES = {"complete": 0, "partial": 10, "failed": 20, "interrupted": 130}
 LOW_CONFIDENCE = 0.5
 
-_one = F.count(F.lit(1))
+
+def _one() -> Column:
+    return F.count(F.lit(1))
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -30,7 +32,7 @@ def unit_counts(units: DataFrame, *keys: str) -> DataFrame:
     """Planned, started, completed, failed, timed_out, unscheduled."""
     n = lambda *names: F.count_if(F.col("status").isin(*names))
     return units.groupBy(*keys).agg(
-        _one.alias("planned"),
+        _one().alias("planned"),
         n(*STARTED).alias("started"),
         n("completed").alias("completed"),
         n("failed", "partial").alias("failed"),
@@ -108,7 +110,7 @@ def coverage_report(units: DataFrame, results: DataFrame) -> DataFrame:
     )
     sums = files.groupBy("run_id").agg(
         F.count_if("scanned").alias("files"),
-        _one.alias("all_files"),
+        _one().alias("all_files"),
         *(F.sum(c).alias(c) for c in ("functions", "all_functions", "bytes", "all_bytes")),
     )
     return sums.withColumns({f"{c}_ratio": ratio(F.col(c), F.col(f"all_{c}")) for c in ("files", "functions", "bytes")})
@@ -118,7 +120,7 @@ def coverage_by_scanner(units: DataFrame, results: DataFrame, scanners: DataFram
     """Units, functions, bytes and files each scanner completed; scanners without any keep a zero row."""
     done = known_results(results.where("status = 'completed'"), units)
     got = done.groupBy("run_id", "producer").agg(
-        _one.alias("units"),
+        _one().alias("units"),
         F.count_if(F.col("kind") == "function").alias("functions"),
         F.sum("byte_length").alias("bytes"),
         F.count_distinct("path").alias("files"),
@@ -130,7 +132,7 @@ def coverage_by_scanner(units: DataFrame, results: DataFrame, scanners: DataFram
 def tier_counts(units: DataFrame, results: DataFrame) -> DataFrame:
     """Planned and scanned units of each tier."""
     return unit_outcomes(units, results).groupBy("run_id", "tier").agg(
-        _one.alias("planned"), F.count_if("scanned").alias("scanned")
+        _one().alias("planned"), F.count_if("scanned").alias("scanned")
     )
 
 
@@ -147,7 +149,7 @@ def unscanned_reasons(units: DataFrame, results: DataFrame) -> DataFrame:
             F.when(F.col("parse_confidence") < LOW_CONFIDENCE, "parse_confidence_low"),
         )
     )
-    return outcome.select("run_id", F.explode(counted).alias("reason")).groupBy("run_id", "reason").agg(_one.alias("n"))
+    return outcome.select("run_id", F.explode(counted).alias("reason")).groupBy("run_id", "reason").agg(_one().alias("n"))
 
 
 def tool_coverage(units: DataFrame, *keys: str) -> DataFrame:

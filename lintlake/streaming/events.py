@@ -11,7 +11,7 @@ LOG_ROWS = 2000
 
 
 def event_stream(spark: SparkSession, path: str, schema: str = EVENT_SCHEMA) -> DataFrame:
-    """Events as they arrive in a folder or file of Parquet."""
+    """Events as they arrive in a folder of Parquet files."""
     return spark.readStream.schema(schema).option("maxFileAge", "36500d").parquet(path)
 
 
