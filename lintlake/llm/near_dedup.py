@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lintlake.llm.components import components
 from lintlake.llm.hashing import sequence_hashes, words_of
-from lintlake.llm.scratch import broadcast_if_small, documents, keep, text_or_empty
+from lintlake.llm.scratch import broadcast_if_small, documents, keep, small_batches, text_or_empty
 from lintlake.llm.vocab import text_slices
 
 WORDS = 5
@@ -256,6 +256,7 @@ def near_duplicates(
     ``doc_id`` are one node of the links; rows without it link with nothing and have no component. An empty
     table gives no rows; further columns are ignored.
     """
+    small_batches(spark)
     signed = keep(docs.select("doc_id", "text").mapInArrow(_sign, SIGNATURES), "signatures")
     some = signed.where("doc_id is not null and n_shingles > 0")
     classes = keep(

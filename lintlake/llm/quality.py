@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.hashing import span_hashes, spans
-from lintlake.llm.scratch import crc_mod, documents
+from lintlake.llm.scratch import crc_mod, documents, small_batches
 from lintlake.llm.vocab import text_slices
 
 BUCKET_BITS = 17
@@ -174,6 +174,7 @@ def _score(model, columns: list[str]):
 
 def score(spark: SparkSession, docs: DataFrame, model: tuple[bytes, float], columns: list[str]) -> DataFrame:
     """``columns`` of every row of ``docs`` and its score. Null texts count as empty and score by the bias."""
+    small_batches(spark)
     given = spark.sparkContext.broadcast(model)
     rows = docs.select(*columns, *(["text"] if "text" not in columns else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)

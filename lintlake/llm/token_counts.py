@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.scratch import documents, keep
+from lintlake.llm.scratch import documents, keep, small_batches
 from lintlake.llm.vocab import load, text_slices, tokenizer_path
 
 #: Pre-tokens sent to executors, and the longest of them in characters.
@@ -147,6 +147,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str | None = N
     Repeated rows are counted each for itself, a null ``doc_id`` stays null, an empty table gives no
     rows and further columns are ignored.
     """
+    small_batches(spark)
     path = tokenizer or tokenizer_path("byte_bpe_50k.json")
     pieces = keep(piece_table(docs, path), "pieces")
     top = pieces.where(F.length("pretoken") <= HOT_LENGTH).orderBy(F.desc("n"), "pretoken").limit(hot)

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Pre-tokens kept per worker, and the longest one kept, in characters.
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 600_000
 LONGEST_CACHED = 48
 #: Texts without these characters lower-case and compose alike in every library; the others, and those
 #: with special strings, are encoded whole.
@@ -94,3 +94,4 @@ def text_slices(column, most_bytes: int = 4 << 20):
         last = max(first + 1, int(np.searchsorted(ends, base + most_bytes, "right")))
         yield first, binary.slice(first, last - first).to_pylist()
         first = last
+    pa.default_memory_pool().release_unused()
