@@ -30,7 +30,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in their training sequences."""
-    return packing.pack(spark, docs)
+    return packing.pack_tiers(spark, docs)
 
 
 STAGES = [

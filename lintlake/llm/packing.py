@@ -1,11 +1,11 @@
 """Hierarchical multi-length packing of documents into training sequences.
 
 A document's ids are cut into windows of the longest context; what is left over is routed to the
-smallest context tier that holds it. Tiers are packed from the longest down: a window is opened by
-the longest piece left, and its gap is filled with the longest pieces of the shorter tiers that fit.
-A window that ends up exactly full at a shorter tier is a sequence of that tier. Groups of documents
-of bounded size are packed independently, and a group's sequences are dealt to steps so that steps
-hold near equal numbers of tokens. Only piece lengths are shuffled, never ids.
+smallest context tier that holds it. Tiers are packed from the longest down: a tier's own pieces are
+packed into windows of its size, longest first, and their gaps are filled with the longest pieces of
+the shorter tiers that fit; what no gap takes is packed in its own tier. Groups of documents of
+bounded size are packed independently, and a group's sequences are dealt to steps so that steps hold
+near equal numbers of tokens. Only piece lengths are shuffled, never ids.
 """
 
 from __future__ import annotations
@@ -57,42 +57,69 @@ def _cut(path: str, context: int):
     return run
 
 
+class _Waiting:
+    """Positions of pieces by length; of equal lengths the first position leaves first."""
+
+    def __init__(self, lengths: np.ndarray, positions: list[int]):
+        self.at: dict[int, list[int]] = {}
+        for i in reversed(positions):
+            self.at.setdefault(int(lengths[i]), []).append(i)
+        self.left = sorted(self.at)
+
+    def take(self, most: int) -> int | None:
+        """The longest piece of at most ``most``."""
+        k = bisect_right(self.left, most) - 1
+        if k < 0:
+            return None
+        size = self.left[k]
+        i = self.at[size].pop()
+        if not self.at[size]:
+            del self.left[k]
+        return i
+
+
+def _fill(window: list[int], size: int, lengths: np.ndarray, waiting: _Waiting) -> list[int]:
+    gap = size - int(lengths[window].sum())
+    while gap and (i := waiting.take(gap)) is not None:
+        window.append(i)
+        gap -= int(lengths[i])
+    return window
+
+
 def pack_lengths(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[list[int]]:
-    """Positions of ``lengths`` by sequence; each sequence's sum is at most the longest tier."""
+    """Positions of ``lengths`` by sequence; all windows have the longest tier's size."""
     context = tiers[0]
-    order = np.argsort(-lengths, kind="stable")
-    sequences = [[int(i)] for i in order if lengths[i] == context]
-    waiting: dict[int, list[int]] = {}
-    for i in order[::-1]:
-        if lengths[i] < context:
-            waiting.setdefault(int(lengths[i]), []).append(int(i))
-    left = sorted(waiting)
-
-    def take(at: int) -> int:
-        size = left[at]
-        i = waiting[size].pop()
-        if not waiting[size]:
-            del left[at]
-        return i
+    sequences = [[int(i)] for i in np.flatnonzero(lengths == context)]
+    waiting = _Waiting(lengths, np.flatnonzero(lengths < context).tolist())
+    while (i := waiting.take(context)) is not None:
+        sequences.append(_fill([i], context, lengths, waiting))
+    return sequences
+
 
-    while left:
-        window = [take(len(left) - 1)]
-        gap = context - int(lengths[window[0]])
-        while gap and (at := bisect_right(left, gap)):
-            window.append(take(at - 1))
-            gap -= int(lengths[window[-1]])
-        sequences.append(window)
+def pack_hierarchy(lengths: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[int]]]:
+    """Tier and positions of ``lengths`` by sequence; each sequence's sum is at most its tier."""
+    route = np.array(sorted(tiers))[np.searchsorted(sorted(tiers), lengths)]
+    used = np.zeros(len(lengths), bool)
+    sequences = []
+    for tier in sorted(tiers, reverse=True):
+        own = np.flatnonzero((route == tier) & ~used)
+        windows = [own[w].tolist() for w in pack_lengths(lengths[own], (tier,))]
+        waiting = _Waiting(lengths, np.flatnonzero((route < tier) & ~used).tolist())
+        for window in windows:
+            used[_fill(window, tier, lengths, waiting)] = True
+            sequences.append((tier, window))
     return sequences
 
 
-def _pack_group(tiers: tuple[int, ...]):
+def _pack_group(tiers: tuple[int, ...], hierarchy: bool):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         group = key[0].as_py()
         columns = ["ids_crc32", "start", "doc_tokens"]
         ids = table["doc_id"].fill_null(-1).to_numpy()
         table = table.take(pa.array(np.lexsort([table[c].to_numpy() for c in columns] + [ids])))
         lengths = table["length"].to_numpy()
-        sequences = pack_lengths(lengths, tiers)
+        arranged = pack_hierarchy(lengths, tiers) if hierarchy else [(tiers[0], s) for s in pack_lengths(lengths, tiers)]
+        sizes, sequences = zip(*arranged, strict=True)
         totals = np.array([lengths[s].sum() for s in sequences])
         steps = max(1, -(-len(sequences) // STEP_SEQUENCES))
         dealt = np.empty(len(sequences), np.int64)
@@ -103,7 +130,7 @@ def _pack_group(tiers: tuple[int, ...]):
         for n, members in enumerate(sequences):
             sequence[members] = (group << 32) + n
             offset[members] = np.cumsum(lengths[members]) - lengths[members]
-            tier[members] = totals[n] if totals[n] in tiers else tiers[0]
+            tier[members] = sizes[n]
             step[members] = (group << 32) + dealt[n]
         for name, values in (("sequence_id", sequence), ("offset", offset)):
             table = table.append_column(name, pa.array(values))
@@ -113,7 +140,16 @@ def _pack_group(tiers: tuple[int, ...]):
     return run
 
 
-def pack(
+def _packed(spark: SparkSession, docs: DataFrame, tokenizer: str | None, tiers: tuple[int, ...], hierarchy: bool) -> DataFrame:
+    small_batches(spark)
+    groups = max(1, -(-docs.count() // GROUP_DOCS))
+    path = tokenizer or tokenizer_path("word_bpe_49k.json")
+    pieces = docs.select("doc_id", "text").mapInArrow(_cut(path, tiers[0]), PIECES)
+    part = F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)).cast("long")
+    return pieces.withColumn("part", part).groupBy("part").applyInArrow(_pack_group(tiers, hierarchy), PACKED)
+
+
+def pack_tiers(
     spark: SparkSession,
     docs: DataFrame,
     tokenizer: str | None = None,
@@ -124,13 +160,18 @@ def pack(
     A null or blank text has the end id alone. A null ``doc_id`` is kept as it is; repeated rows are
     packed each for itself. An empty table gives no rows. Further columns of ``docs`` are ignored.
     """
-    small_batches(spark)
-    groups = max(1, -(-docs.count() // GROUP_DOCS))
-    path = tokenizer or tokenizer_path("word_bpe_49k.json")
-    pieces = docs.select("doc_id", "text").mapInArrow(_cut(path, tiers[0]), PIECES)
-    part = F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)).cast("long")
-    return pieces.withColumn("part", part).groupBy("part").applyInArrow(_pack_group(tiers), PACKED)
+    return _packed(spark, docs, tokenizer, tiers, True)
+
+
+def pack(
+    spark: SparkSession,
+    docs: DataFrame,
+    tokenizer: str | None = None,
+    tiers: tuple[int, ...] = TIERS,
+) -> DataFrame:
+    """As ``pack_tiers``, with all sequences of the longest tier; no registered query uses it."""
+    return _packed(spark, docs, tokenizer, tiers, False)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark, documents(spark, sf_dir))
+    return pack_tiers(spark, documents(spark, sf_dir))

@@ -100,6 +100,41 @@ def test_pack_lengths_fills_gaps_from_shorter_tiers():
     assert sorted(int(lengths[s].sum()) for s in packed)[-3:] == [2048, 2048, 2048]
 
 
+def test_packing_routes_pieces_to_tiers():
+    lengths = np.array([2048, 1900, 1100, 900, 148, 1024, 513, 500, 257, 40, 60])
+    packed = packing.pack_hierarchy(lengths)
+    assert [(tier, [int(lengths[i]) for i in s]) for tier, s in packed] == [
+        (2048, [2048]), (2048, [1900, 148]), (2048, [1100, 900, 40]), (1024, [1024]), (1024, [513, 500]), (512, [257, 60])
+    ]
+    assert packing.pack_hierarchy(np.array([1, 255])) == [(256, [1, 0])]
+
+
+def test_packing_of_documents_in_tiers(spark):
+    docs = hard(spark).unionByName(spark.read.parquet(DOCS), allowMissingColumns=True)
+    got = rows_of(packing.pack_tiers(spark, docs))
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+    assert Counter(tuple(g[c] for c in columns) for g in got) == Counter(
+        tuple(g[c] for c in columns) for g in rows_of(packing.pack(spark, docs))
+    )
+    sequences, steps = {}, Counter()
+    for g in got:
+        sequences.setdefault((g["sequence_id"], g["tier"]), []).append((g["offset"], g["length"]))
+        steps[g["step_group"]] += g["length"]
+    assert len(sequences) == len({g["sequence_id"] for g in got})
+    assert {tier for _, tier in sequences} >= {2048, 1024, 512}
+    filled = 0
+    for (_, tier), parts in sequences.items():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))]
+        assert tier // 2 < max(n for _, n in parts) or tier == 256
+        total = sum(n for _, n in parts)
+        assert total <= tier
+        filled += total
+    assert filled / sum(tier for _, tier in sequences) > 0.97
+    assert max(steps.values()) - min(steps.values()) <= 2048
+    assert rows_of(packing.pack_tiers(spark, empty(spark))) == []
+
+
 def plain_groups(rows):
     groups = {}
     for r in rows:
