@@ -18,18 +18,14 @@ def _sessions(s, d):
     return s.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("session"), F.col("turn").alias("seq"), "role")
 
 
-def _definitions(s, d):
+def _definitions(s, d, text):
     """First definition of each name: functions before prototypes, then by path and position."""
-    from pyspark.sql import Window as W
-
     names = view(s, d, "v_sources").select(
-        "path", F.posexplode(F.regexp_extract_all(F.substring("content", 1, 400), F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("pos", "name")
+        "path", F.posexplode(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("pos", "name")
     )
-    names = names.withColumn("is_function", F.col("pos") % 3 == 0)
-    by_name = W.partitionBy("name")
-    place = F.row_number().over(by_name.orderBy(F.desc("is_function"), "path", "pos"))
-    return names.withColumns({"n": place, "all": F.count(F.lit(1)).over(by_name)}).where("n = 1").select(
-        "name", "path", "pos", "is_function", (F.col("all") - 1).alias("duplicates")
+    first = F.min(F.struct((F.col("pos") % 3 != 0).alias("later"), "path", "pos"))
+    return names.groupBy("name").agg(first.alias("d"), (F.count(F.lit(1)) - 1).alias("duplicates")).select(
+        "name", "d.path", "d.pos", (~F.col("d.later")).alias("is_function"), "duplicates"
     )
 
 
@@ -65,7 +61,8 @@ QUERIES = {
     ),
     "c06_resolved_calls": _edges,
     "c07_callers": _callers,
-    "d22_symbol_table": _definitions,
+    "d22_symbol_table": lambda s, d: _definitions(s, d, F.substring("content", 1, 400)),
+    "d22_symbol_table_whole": lambda s, d: _definitions(s, d, F.col("content")),
 }
 ORACLES = {
     "t02_live_state": f"""{_E} select run_id, unit, arg_max(status, (ts, event_id)) as status, arg_max(progress, (ts, event_id)) as progress,

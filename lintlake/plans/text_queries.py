@@ -29,9 +29,11 @@ _HOME_SQL = [
 ]
 
 
-def _notes(s, d):
+def _notes(s, d, whole=False):
+    """``note`` begins with 80 characters of the document, or with all of it."""
     sources = view(s, d, "v_sources")
-    return s.sql(NOTES.replace("C:\\Users\\bob", "C:\\\\Users\\\\bob").replace("'\\x.c'", "'\\\\x.c'").replace("v_sources", "{v}"), v=sources)
+    notes = NOTES.replace("substr(content, 1, 80)", "content") if whole else NOTES
+    return s.sql(notes.replace("C:\\Users\\bob", "C:\\\\Users\\\\bob").replace("'\\x.c'", "'\\\\x.c'").replace("v_sources", "{v}"), v=sources)
 
 
 def _scrubbed(value: str) -> str:
@@ -40,16 +42,21 @@ def _scrubbed(value: str) -> str:
     return value
 
 
-def _select(build):
-    return lambda s, d: _notes(s, d).select("doc_id", *build())
+def _select(build, whole=False):
+    return lambda s, d: _notes(s, d, whole).select("doc_id", *build())
+
+
+def _redacted(s, d):
+    return X.redact(_notes(s, d, True), "note", PREFIXES, SECRETS)
 
 
 c = F.col
 _ws = lambda e: f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
 _words = "list_filter(regexp_split_to_array(lower(path), '[^a-z0-9]+'), lambda w: w <> '')"
 _kw = ", ".join(f"'{k}'" for k in T.KEYWORDS)
-_code = lambda: F.concat(F.lit("int f"), F.expr("doc_id % 9"), F.lit("(void) { if (g("), F.replace(F.substring("content", 1, 40), F.lit(" "), F.lit("( "))
-                         , F.lit(")) return sizeof(x); h (1); }"))
+_code = lambda text: F.concat(F.lit("int f"), F.expr("doc_id % 9"), F.lit("(void) { if (g("), F.replace(text, F.lit(" "), F.lit("( "))
+                              , F.lit(")) return sizeof(x); h (1); }"))
+_calls = lambda text: F.array_join(T.calls(F.regexp_replace(_code(text), r"[^ -~\n]", "")), ",").alias("calls")
 _CODE = "concat('int f', doc_id % 9, '(void) { if (g(', replace(substr(content, 1, 40), ' ', '( '), ')) return sizeof(x); h (1); }')"
 _ASCII = "regexp_replace({}, '[^ -~\\n]', '', 'g')"
 
@@ -65,7 +72,7 @@ QUERIES = {
     "e12_slug": _select(lambda: [T.slug(F.concat(F.lit("/"), c("path"), F.lit("/a b"))).alias("slug")]),
     "e13_unit_id": _select(lambda: [T.unit_id(c("path"), F.lit("function"), F.lit("f"), F.expr("doc_id % 3")).alias("unit_id")]),
     "e14_definition": _select(lambda: [T.definition(F.regexp_replace("content", r"[^ -~\n]", "")).alias("definition")]),
-    "e18_calls": _select(lambda: [F.array_join(T.calls(F.regexp_replace(_code(), r"[^ -~\n]", "")), ",").alias("calls")]),
+    "e18_calls": _select(lambda: [_calls(F.substring("content", 1, 40))]),
     "e19_fragments": _select(lambda: [F.array_join(F.array_sort(F.array_distinct(T.fragments(c("path")))), ",").alias("words")]),
     "e23_numbered": _select(
         lambda: [
@@ -105,6 +112,24 @@ QUERIES = {
     ),
 }
 
+#: The same operators over whole documents. They have no SQL; tests compare them with brute force.
+QUERIES |= {
+    "e08_host_paths_whole": _select(lambda: [T.scrub_host_paths(c("note")).alias("scrubbed")], True),
+    "e18_calls_whole": _select(lambda: [_calls(c("content"))]),
+    "e23_numbered_whole": _select(
+        lambda: [
+            T.numbered(c("content"), F.expr("doc_id % 120 + 1")).alias("listing"),
+            T.summary(F.regexp_replace("content", r"[^ -~\n]", "")).alias("summary"),
+        ]
+    ),
+    "e35_html_safe_whole": _select(lambda: [T.html_safe(F.concat(F.lit("<a&b>"), c("note"))).alias("safe")], True),
+    "e26_redacted_whole": lambda s, d: _redacted(s, d).select("doc_id", "note", *(f"n_{r}" for r in X.RULES)),
+    "d24_redaction_report_whole": lambda s, d: X.report(_redacted(s, d)),
+    "b17_leaks_whole": lambda s, d: X.leaks(_notes(s, d, True), "note", PREFIXES, SECRETS)
+    .groupBy("doc_id", "leak").agg(F.count(F.lit(1)).alias("n")),
+    "b17_no_leaks_left_whole": lambda s, d: X.leaks(_redacted(s, d), "note", PREFIXES, SECRETS).select("doc_id", "leak"),
+}
+
 _LIT = "replace(replace(replace(note, 's3cr3t-value', '<SECRET>'), '/work/src', '<SRC>'), '/work', '<ROOT>')"
 _RED = f"""{_N}, r as (select doc_id, note,
   (length(note) - length(replace(note, 's3cr3t-value', ''))) / 12 as n_secret_value,
