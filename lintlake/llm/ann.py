@@ -2,13 +2,16 @@
 
 Each table has a fast pseudo-rotation: three rounds of random signs and a Hadamard transform. A unit
 vector falls in the bucket of the signed axis nearest to its rotation. A query probes the buckets of
-its nearest axes in every table. Buckets are split into tiles of bounded size; a tile computes exact
+its nearest axes in every table. Vectors whose lengths are further from the query's are compared by
+bands of lengths, as far as they can be as near as what was found. Buckets are split into tiles of bounded size; a tile computes exact
 distances between its queries and its vectors and returns each query's nearest, so no candidate pair
 is ever a row.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +24,8 @@ from lintlake.llm.scratch import broadcast_if_small, keep
 TABLES = 8
 PROBES = 16
 TILE_ROWS = 4096
+#: Lengths of one band differ by this factor at most; hashing serves a query's own band and the two beside it.
+BAND = 1.25
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -81,16 +86,18 @@ def _nearest_in_tile(k: int):
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if len(queries) and len(vectors):
+            vectors = vectors.sort_by("vec_id")
             ids = vectors["vec_id"].to_numpy()
+            names, first = np.unique(ids, return_index=True)
+            last = min(k, len(names)) - 1
             v = vectors["vector"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             q = queries["vector"].combine_chunks().flatten().to_numpy().reshape(len(queries), -1)
             for query_id, x in zip(queries["vec_id"].to_pylist(), q, strict=True):
-                scores = np.sqrt(((v - x) ** 2).sum(axis=1))
-                scores[ids == query_id] = np.inf
-                cut = np.partition(scores, min(k, len(ids)) - 1)[min(k, len(ids)) - 1]
-                near = np.flatnonzero((scores <= cut) & np.isfinite(scores))
-                near = near[np.lexsort((ids[near], scores[near]))][:k]
-                out += [(query_id, int(ids[i]), float(scores[i])) for i in near]
+                scores = np.minimum.reduceat(np.sqrt(((v - x) ** 2).sum(axis=1)), first)
+                scores[names == query_id] = np.inf
+                near = np.flatnonzero((scores <= np.partition(scores, last)[last]) & np.isfinite(scores))
+                near = near[np.lexsort((names[near], scores[near]))][:k]
+                out += [(query_id, int(names[i]), float(scores[i])) for i in near]
         return pa.table(
             {
                 "query_id": pa.array([r[0] for r in out], pa.int64()),
@@ -124,11 +131,42 @@ def _search(index: DataFrame, queries: DataFrame, k: int, tile_rows: int) -> Dat
         .cogroup(right.groupBy("bucket", "q", "v"))
         .applyInArrow(_nearest_in_tile(k), FOUND)
     )
+    return _best(found, k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _banded(rows: DataFrame) -> DataFrame:
+    """``rows`` with the vector's width, its length (norm) and the band of its length."""
+    most = F.array_max(F.transform("vector", F.abs))
+    squares = F.aggregate("vector", F.lit(0.0), lambda a, x: a + F.pow(F.try_divide(x, F.col("most")), F.lit(2)))
+    rows = rows.withColumn("most", most).withColumn("root", F.sqrt(squares))
+    band = F.floor((F.log("most") + F.log("root")) / math.log(BAND))
+    return rows.select("*", F.size("vector").alias("dim"), (F.col("most") * F.col("root")).alias("norm"), band.alias("band"))
+
+
+def _other_lengths(rows: DataFrame, is_query: Column, found: DataFrame, k: int, tile_rows: int) -> DataFrame:
+    """Each query's nearest among the vectors of other lengths that can be as near as its k-th found.
+
+    Direction says little of them, so they are compared exactly, band by band of lengths.
+    """
+    banded = _banded(rows)
+    bands = keep(banded.groupBy("dim", "band").agg(F.min("norm").alias("low"), F.max("norm").alias("high")), "ann-bands")
+    reach = found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("reach"))
+    asked = _banded(rows.where(is_query)).join(reach, "vec_id").withColumnRenamed("band", "own")
+    slack = F.lit(1 + 1e-9)
+    near = (F.abs(F.col("band") - F.col("own")) > 1) & (F.col("low") <= (F.col("norm") + F.col("reach")) * slack)
+    near = near & (F.col("high") * slack >= F.col("norm") - F.col("reach"))
+    asked = asked.join(broadcast_if_small(bands, 32), "dim").where(near)
+    bucket = (F.col("dim").cast("long") * F.lit(1 << 32) + F.col("band") + F.lit(1 << 20)).alias("bucket")
+    asked = keep(asked.select(bucket, "vec_id", "vector"), "ann-lengths")
+    return _search(banded.select(bucket, "vec_id", "vector"), asked, k, tile_rows)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and vector (double) of the rows that can take part."""
     vector = F.col("embedding").cast("array<double>")
@@ -175,6 +213,9 @@ def nearest(
                 rows.select(whole, "vec_id", "vector"), again.select(whole, "vec_id", "vector"), k, tile_rows
             )
         )
+    found = keep(found, "ann-near")
+    other = _other_lengths(rows, is_query, found, k, tile_rows)
+    found = _best(found.select(*other.columns).unionByName(other), k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -152,6 +152,29 @@ def test_nearest_neighbours_of_hard_vectors(spark):
     assert rows_of(ann.nearest(spark, table.limit(0), F.col("vec_id") % 20 == 0)) == []
 
 
+def test_nearest_neighbours_with_ids_repeated_more_than_k_times(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0, 0.0, 0.1])] + [(1, [1.0, 0.001 * i, 0.1]) for i in range(1, 31)]
+    rows += [(i, [1.0, 0.5 + 0.01 * i, 0.1]) for i in range(2, 12)] + [(1, rng.normal(size=3).tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(rows_of(ann.nearest(spark, table, F.col("vec_id") == 0, k=5)), key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+    assert abs(got[0]["score"] - 0.001) < 1e-12
+
+
+def test_nearest_neighbours_recall_with_unequal_lengths(spark):
+    rng = np.random.default_rng(11)
+    matrix = rng.normal(size=(1500, 64))
+    matrix *= (np.exp(rng.normal(size=1500)) / np.linalg.norm(matrix, axis=1))[:, None]
+    matrix[::30] *= (5 / np.linalg.norm(matrix[::30], axis=1))[:, None]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    hits = 0
+    for r in rows_of(ann.nearest(spark, table, F.col("vec_id") % 30 == 0)):
+        d = np.sqrt(((matrix - matrix[r["query_id"]]) ** 2).sum(axis=1))
+        hits += r["vec_id"] in np.argsort(d)[1:11]
+    assert hits / 500 >= 0.99
+
+
 def plain_targets(sizes, weights, total):
     order = sorted((s is None, s or "") for s in sizes)
     names = [None if n else s for n, s in order]
