@@ -27,7 +27,7 @@ KEYWORDS = tuple(
     compl concept const consteval constexpr constinit const_cast continue co_await co_return co_yield decltype
     default delete do double dynamic_cast else enum explicit export extern false float for friend goto if inline
     int long mutable namespace new noexcept not not_eq nullptr operator or or_eq private protected public register
-    reinterpret_cast restrict return short signed sizeof static static_assert static_cast struct switch
+    reinterpret_cast requires restrict return short signed sizeof static static_assert static_cast struct switch
     template this thread_local throw true try typedef typeid typename union unsigned using virtual void
     volatile wchar_t while xor xor_eq defined offsetof va_arg va_start va_end _Alignas _Alignof _Atomic _Bool
     _Complex _Generic _Imaginary _Noreturn _Static_assert _Thread_local __attribute__ __asm__ __declspec

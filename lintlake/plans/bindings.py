@@ -71,14 +71,42 @@ from lineitem
 window w as (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows unbounded preceding)
 """
 
-VIEWS = {"v_findings": FINDINGS, "v_units": UNITS, "v_sources": SOURCES, "v_events": EVENTS, "v_spans": SPANS}
-_TABLE = {"v_findings": "lineitem", "v_units": "orders", "v_sources": "documents", "v_events": "events", "v_spans": "lineitem"}
+#: What the C file of a document is made of: the text in a comment, then directives, declarations and functions.
+_PIECES = (
+    "'/* ' || replace(content, '*/', '* /') || ' */' || chr(10)",
+    "'#include <sys/k' || doc_id % 4 || '.h>' || chr(10) || '#include \"m' || doc_id % 50 || '.h\"' || chr(10)",
+    "'#define LIMIT_' || doc_id % 20 || ' ' || doc_id % 7 || chr(10) || '#define MIN(a, b) ' || chr(92) || chr(10)"
+    " || '  ((a) < (b) ? (a) : (b))' || chr(10)",
+    "'typedef struct item_' || doc_id % 30 || ' { int x; char *name; } item_t_' || doc_id % 30 || ';' || chr(10)",
+    "'extern int helper_' || doc_id % 40 || '(int a);' || chr(10)",
+    "'static int counter_' || doc_id % 25 || ' = ' || doc_id % 9 || ';' || chr(10)",
+    "'#ifdef CONFIG_' || doc_id % 3 || chr(10)",
+    "'static int helper_' || doc_id % 35 || '(int a, char *b)' || chr(10) || '{' || chr(10) || '  if (a) { log_' || doc_id % 10"
+    " || '(\"} // not code\"); return helper_' || doc_id % 40 || '(a); }' || chr(10) || '  return sizeof(b);' || chr(10) || '}'",
+    "chr(10) || '#else' || chr(10)",
+    "'int fallback_' || doc_id % 12 || '(void) { return MIN(1, LIMIT_' || doc_id % 20 || '); }'",
+    "chr(10) || '#endif' || chr(10) || '#if 0' || chr(10) || 'int dead_' || doc_id % 5 || '(void) { return 0; }' || chr(10)"
+    " || '#endif' || chr(10)",
+    "'int old_' || doc_id % 15 || '(a, b)' || chr(10) || 'int a;' || chr(10) || 'char *b;' || chr(10)"
+    " || '{ return fallback_' || doc_id % 12 || '(a); }'",
+    "chr(10) || case doc_id % 10 when 3 then 'void broken(void) { if (1) {' || chr(10)"
+    " when 7 then 'char *s = \"open' || chr(10) when 5 then '}' || chr(10) else '' end",
+)
+PIECES = tuple(f"p{i}" for i in range(len(_PIECES)))
+#: Every document as a C file; some cannot be read.
+CSOURCES = f"""
+select *, case when doc_id % 97 = 96 then null else {" || ".join(PIECES)} end as content from (
+  select run_id, path, doc_id, {", ".join(f"{e} as {p}" for e, p in zip(_PIECES, PIECES, strict=True))} from ({SOURCES}) s) p
+"""
+
+VIEWS = {"v_csources": CSOURCES, "v_findings": FINDINGS, "v_units": UNITS, "v_sources": SOURCES, "v_events": EVENTS, "v_spans": SPANS}
+_TABLE = {"v_csources": "documents", "v_findings": "lineitem", "v_units": "orders", "v_sources": "documents", "v_events": "events", "v_spans": "lineitem"}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The view as a DataFrame over the table it reads."""
     table = spark.read.parquet(f"{sf_dir}/{_TABLE[name]}.parquet")
-    sql = VIEWS[name].replace(f"from {_TABLE[name]}", "from {source}")
+    sql = VIEWS[name].replace("{", "{{").replace("}", "}}").replace(f"from {_TABLE[name]}", "from {source}")
     return spark.sql(sql, source=table)
 
 

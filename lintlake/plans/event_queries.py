@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.plans.bindings import EVENTS, SOURCES, view
+from lintlake.plans.bindings import EVENTS, view
 from lintlake.streaming import events as E
 
 _E = f"with v as ({EVENTS})"
@@ -29,25 +29,6 @@ def _definitions(s, d, text):
     )
 
 
-_NAMES = f"""with v as ({SOURCES}), l as (select path, regexp_extract_all(substr(content, 1, 400), '([A-Za-z_][A-Za-z0-9_]*)', 1) as names from v),
-names as (select path, unnest(names) as name, unnest(range(len(names))) as pos from l), d as (select *, pos % 3 = 0 as is_function from names)"""
-
-
-def _edges(s, d):
-    items = s.read.parquet(f"{d}/lineitem.parquet")
-    known = s.read.parquet(f"{d}/part.parquet").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("callee"))
-    edges = items.select(F.col("l_orderkey").alias("caller"), F.col("l_partkey").alias("callee")).distinct()
-    return edges.join(known, "callee", "left_semi")
-
-
-def _callers(s, d):
-    """Callers of each callee, sorted, the first 32."""
-    names = F.slice(F.array_sort(F.collect_set("caller")), 1, 32)
-    return _edges(s, d).groupBy("callee").agg(F.array_join(names, ",").alias("callers"))
-
-
-_EDGES = "with e as (select distinct l_orderkey as caller, l_partkey as callee from lineitem where l_partkey in (select p_partkey from part where p_partkey % 2 = 0))"
-
 QUERIES = {
     "t02_live_state": lambda s, d: E.live_state(_events(s, d)),
     "t04_bounded_log": lambda s, d: E.bounded_log(_events(s, d), 100).select("run_id", "event_id", "place"),
@@ -59,9 +40,6 @@ QUERIES = {
         "event_id",
         F.expr("round(avg(progress) over (partition by run_id order by ts, event_id rows between 9 preceding and current row), 6)").alias("mean"),
     ),
-    "c06_resolved_calls": _edges,
-    "c07_callers": _callers,
-    "d22_symbol_table": lambda s, d: _definitions(s, d, F.substring("content", 1, 400)),
     "d22_symbol_table_whole": lambda s, d: _definitions(s, d, F.col("content")),
 }
 ORACLES = {
@@ -76,8 +54,4 @@ ORACLES = {
       count(*) filter (status = 'error') as errors from v group by 1, 2""",
     "e41_log_lines": f"{_E} select event_id, strftime(ts, '%H:%M:%S') || ' [' || run_id || '] ' || status as line from v",
     "z05_eta": f"{_E} select event_id, round(avg(progress) over (partition by run_id order by ts, event_id rows between 9 preceding and current row), 6) as mean from v",
-    "c06_resolved_calls": f"{_EDGES} select callee, caller from e",
-    "c07_callers": f"{_EDGES} select callee, array_to_string(list_slice(list_sort(list(distinct caller)), 1, 32), ',') as callers from e group by 1",
-    "d22_symbol_table": f"""{_NAMES} select name, path, pos, is_function, n - 1 as duplicates from (
-      select *, row_number() over (partition by name order by is_function desc, path, pos) as k, count(*) over (partition by name) as n from d) where k = 1""",
 }
