@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+
+from lintlake.operators.ordering import positions
 
 # Unit statuses, tiers in order, finish reasons and exit codes.
 STARTED = ("completed", "partial", "timed_out", "failed", "interrupted")
@@ -174,58 +179,64 @@ def coverage_gaps(coverage: DataFrame) -> DataFrame:
 def dispatch_order(units: DataFrame, scanners: DataFrame) -> DataFrame:
     """Units times scanners in the order they are sent out; ``scanners`` is a small dimension."""
     tier = F.array_position(F.array(*map(F.lit, TIERS)), F.col("tier"))
-    place = F.row_number().over(
-        W.partitionBy("run_id").orderBy(tier, "path", "start_byte", "unit_id", "scanner_pos")
-    )
-    return units.crossJoin(F.broadcast(scanners)).withColumn("place", place)
+    tasks = units.withColumn("tier_rank", tier).crossJoin(F.broadcast(scanners))
+    order = [F.col(c) for c in ("tier_rank", "path", "start_byte", "unit_id", "scanner_pos")]
+    return positions(tasks, "run_id", order, "place").drop("tier_rank")
 
 
-def _admit(costs: Column, budget: Column) -> Column:
-    """Which of the ordered costs fit when those that do not are skipped: a fold, not a running sum."""
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().cast("array<boolean>").alias("kept"))
+def _in_order(rows: DataFrame, group: list[str], order: list[str], step, schema: StructType) -> DataFrame:
+    """Fold each group in order, a row at a time: ``step(state, row)`` gives the next state and the row's own value.
 
-    def step(acc: Column, cost: Column) -> Column:
-        fits = acc["spent"] + cost <= budget
-        return F.struct(
-            F.when(fits, acc["spent"] + cost).otherwise(acc["spent"]).alias("spent"),
-            F.concat(acc["kept"], F.array(fits)).alias("kept"),
-        )
+    For folds that are sequential by definition. A group is streamed by one task, whatever its size, in
+    Arrow batches and with one state; groups run beside each other.
+    """
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            values = []
+            for row in batch.to_pylist():
+                own = [row[g] for g in group]
+                if own != key:
+                    key, state = own, None
+                state, value = step(state, row)
+                values.append(value)
+            yield batch.append_column(schema[-1].name, pa.array(values, to_arrow_type(schema[-1].dataType)))
 
-    return F.aggregate(costs, start, step, lambda acc: acc["kept"])
+    return rows.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(run, schema)
 
 
-def admitted(tasks: DataFrame, group: list[str], order: list[str], cost: str, budget: int, payload: list[str]) -> DataFrame:
-    """In order, what the budget of its group lets in; later and smaller ones may follow a skipped one."""
-    items = F.array_sort(F.collect_list(F.struct(*order, F.col(cost).cast("long").alias("cost"), *payload)))
-    grouped = tasks.groupBy(*group).agg(items.alias("items"))
-    kept = _admit(F.transform("items", lambda x: x["cost"]), F.lit(budget).cast("long"))
-    rows = grouped.withColumn("kept", kept).select(*group, F.inline(F.arrays_zip("items", "kept")))
-    return rows.select(*group, *[F.col(f"items.{c}").alias(c) for c in (*order, "cost", *payload)], F.col("kept").alias("admitted"))
+def admitted(tasks: DataFrame, group: list[str], order: list[str], budgets: dict[str, int], payload: list[str]) -> DataFrame:
+    """In order, what all budgets of its group let in; later and smaller ones may follow a skipped one.
+
+    ``budgets`` has the budget of each cost column, such as prompt and completion tokens; ``refused_by``
+    names the first that a row did not fit. Whether a row is admitted depends on every row admitted
+    before it, so a group is one ordered stream.
+    """
+    rows = tasks.select(*dict.fromkeys([*group, *order, *budgets, *payload]))
+
+    def step(spent, row):
+        spent = spent or dict.fromkeys(budgets, 0)
+        after = {c: spent[c] + row[c] for c in budgets}
+        refused = next((c for c, most in budgets.items() if after[c] > most), None)
+        return (spent if refused else after), refused
+
+    out = _in_order(rows, group, order, step, StructType([*rows.schema.fields, StructField("refused_by", StringType())]))
+    return out.withColumn("admitted", F.col("refused_by").isNull())
 
 
 def shards(files: DataFrame, most_files: int = 1000, most_bytes: int = 256 * 1024, prefix: int = 200) -> DataFrame:
     """Greedy shards of a run's sorted paths, closed before the file or byte cap would be passed."""
-    items = F.array_sort(F.collect_list(F.struct("path")))
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit(prefix).cast("long").alias("size"), F.lit(0).alias("shard"),
-        F.array().cast("array<int>").alias("out"),
-    )
+    rows = files.select("run_id", "path", (F.octet_length("path") + 1).alias("cost"))
 
-    def step(acc: Column, item: Column) -> Column:
-        cost = (F.octet_length(item["path"]) + 1).cast("long")
-        full = (acc["n"] > 0) & ((acc["n"] >= most_files) | (acc["size"] + cost > most_bytes))
-        shard = F.when(full, acc["shard"] + 1).otherwise(acc["shard"])
-        return F.struct(
-            F.when(full, 1).otherwise(acc["n"] + 1).alias("n"),
-            F.when(full, prefix + cost).otherwise(acc["size"] + cost).cast("long").alias("size"),
-            shard.alias("shard"),
-            F.concat(acc["out"], F.array(shard)).alias("out"),
-        )
+    def step(state, row):
+        n, size, shard = state or (0, prefix, 0)
+        if n and (n >= most_files or size + row["cost"] > most_bytes):
+            n, size, shard = 0, prefix, shard + 1
+        return (n + 1, size + row["cost"], shard), shard
 
-    grouped = files.groupBy("run_id").agg(items.alias("items"))
-    shard = F.aggregate("items", start, step, lambda acc: acc["out"])
-    rows = grouped.withColumn("shard", shard).select("run_id", F.inline(F.arrays_zip("items", "shard")))
-    return rows.select("run_id", F.col("items.path").alias("path"), "shard")
+    out = _in_order(rows, ["run_id"], ["path"], step, StructType([*rows.schema.fields, StructField("shard", IntegerType())]))
+    return out.drop("cost")
 
 
 def inventory_diff(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -236,11 +247,22 @@ def inventory_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, ["run_id", "path"], "full_outer").select("run_id", "path", change.alias("change")).where("change is not null")
 
 
+#: Blocks that a run's inventory is dealt to for its digest, by the first two bytes of the path's own digest.
+DIGEST_VERSION = 2
+
+
 def inventory_digest(inventory: DataFrame) -> DataFrame:
-    """One digest of a run's inventory, of its rows in path order."""
-    rows = F.array_sort(F.collect_list(F.struct("path", "size", "sha256")))
-    line = F.transform(rows, lambda r: F.concat_ws("\t", r["path"], r["size"].cast("string"), r["sha256"]))
-    return inventory.groupBy("run_id").agg(F.sha2(F.array_join(line, "\n"), 256).alias("digest"))
+    """One digest of a run's inventory: of its blocks' digests in order, each of its rows in path order.
+
+    Version 2. Blocks (65,536 a run) are worked out beside each other, so no task holds a run.
+    """
+    block = F.substring(F.sha2("path", 256), 1, 4)
+    line = F.concat_ws("\t", "path", F.col("size").cast("string"), "sha256")
+    sorted_lines = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda r: r["line"]), "\n")
+    rows = inventory.select("run_id", block.alias("block"), "path", line.alias("line"))
+    blocks = rows.groupBy("run_id", "block").agg(F.sha2(sorted_lines(("path", "line")), 256).alias("digest"))
+    blocks = blocks.withColumn("line", F.concat_ws(" ", "block", "digest"))
+    return blocks.groupBy("run_id").agg(F.sha2(sorted_lines(("block", "line")), 256).alias("digest"))
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
@@ -248,13 +270,31 @@ def latest_run(runs: DataFrame) -> DataFrame:
     return runs.groupBy("source").agg(F.max_by("run_id", F.struct("finished_at", "run_id")).alias("run_id"))
 
 
-def cache_lookup(units: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
-    """Content-addressed lookup: the key of each unit and whether the cache holds it."""
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
-    keyed = units.withColumn("cache_key", F.sha2(F.concat_ws("\0", *parts), 256))
-    return keyed.join(cache.select("cache_key").distinct().withColumn("hit", F.lit(True)), "cache_key", "left").withColumn(
-        "hit", F.coalesce("hit", F.lit(False))
-    )
+# What a cached answer depends on, in the order in which the key joins it.
+CACHE_KEY = (
+    "version", "unit_sha256", "prompt_sha256", "skill_version", "skill_sha256", "model", "endpoint", "temperature", "seed",
+    "max_completion_tokens", "context_window", "producer",
+)
+
+
+def cache_key(**fields: Column) -> Column:
+    """The key of a unit's answer by one producer, of all twelve fields."""
+    missing = set(CACHE_KEY) ^ set(fields)
+    if missing:
+        raise ValueError(f"a cache key has exactly the fields {', '.join(CACHE_KEY)}; not so: {', '.join(sorted(missing))}")
+    return F.sha2(F.concat_ws("\0", *[F.coalesce(fields[k].cast("string"), F.lit("")) for k in CACHE_KEY]), 256)
+
+
+def cache_lookup(keyed: DataFrame, cache: DataFrame) -> DataFrame:
+    """Whether the cache holds the answer of each row's ``cache_key``."""
+    known = cache.select("cache_key").distinct().withColumn("hit", F.lit(True))
+    return keyed.join(known, "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def cache_store(looked_up: DataFrame, cache: DataFrame) -> DataFrame:
+    """The cache with the answers that missed and ended completed or partial, one of each key."""
+    new = looked_up.where(~F.col("hit") & F.col("status").isin("completed", "partial") & ~F.coalesce("provider_stopped", F.lit(False)))
+    return cache.select("cache_key").unionByName(new.select("cache_key")).distinct()
 
 
 def cache_counts(looked_up: DataFrame) -> DataFrame:

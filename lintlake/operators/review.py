@@ -5,11 +5,14 @@ All tables carry ``run_id``; every window and group starts with it, so runs are
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lintlake.functions import severity as S
+from lintlake.operators.ordering import BROADCAST_ROWS, keep, positions
 
 #: The row order of a report, which decides between duplicates and ends every tie.
 INGEST = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -19,9 +22,18 @@ OVERLAP_LINES = 3
 
 
 def first_of_each(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...] = INGEST) -> DataFrame:
-    """The first row of each key within its run; the key holds the tool, so producers never merge."""
+    """The first row of each key within its run; the key holds the tool, so producers never merge.
+
+    Most keys occur once. Their rows pass as they are: a sum over hashes of keys tells the others, and
+    only rows of keys that repeat are shuffled and put in order.
+    """
+    hashed = rows.withColumn("key_hash", F.xxhash64("run_id", *key))
+    counts = hashed.groupBy("key_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key_hash")
+    repeated = keep(counts, "repeated-keys")
+    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
     place = F.row_number().over(W.partitionBy("run_id", *key).orderBy(*order))
-    return rows.withColumn("__n", place).where("__n = 1").drop("__n")
+    firsts = hashed.join(repeated, "key_hash", "left_semi").withColumn("place", place).where("place = 1").drop("place")
+    return hashed.join(repeated, "key_hash", "left_anti").unionByName(firsts).drop("key_hash")
 
 
 def graded(findings: DataFrame) -> DataFrame:
@@ -50,9 +62,19 @@ def total_order() -> list[Column]:
 
 
 def reviewed(findings: DataFrame) -> DataFrame:
-    """U01, W01, E*, W19: de-duplicated, graded findings with their place in the run's total order."""
-    place = F.row_number().over(W.partitionBy("run_id").orderBy(*total_order()))
-    return graded(first_of_each(findings, FINDING_KEY)).withColumn("sort_pos", place.cast("long"))
+    """W01, E*: de-duplicated, graded findings; ``total_order`` is their order, ``ordered`` numbers them."""
+    return graded(first_of_each(findings, FINDING_KEY))
+
+
+def ordered(review: DataFrame) -> DataFrame:
+    """Findings with their place ``sort_pos`` in the run's total order."""
+    return positions(review, "run_id", total_order(), "sort_pos")
+
+
+def order_key(*first: Column) -> Column:
+    """The total order as one value that sorts, after ``first``."""
+    rest = [(-F.col("rank")).alias("r")] + [F.col(c) for c in ("producer_rank", "canonical_path", "line_no", "line", "fingerprint", *INGEST)]
+    return F.struct(*first, *rest)
 
 
 def severity_counts(review: DataFrame) -> DataFrame:
@@ -89,7 +111,7 @@ def top_values(review: DataFrame, column: str, n: int = 20, keep_empty: bool = T
     value = F.when(F.coalesce(F.col(column), F.lit("")) == "", "<unknown>").otherwise(F.col(column))
     rows = review if keep_empty else review.where(F.coalesce(F.col(column), F.lit("")) != "")
     counts = rows.groupBy("run_id", value.alias("value")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("sort_pos").alias("first_pos")
+        F.count(F.lit(1)).alias("n"), F.min(order_key()).alias("first_pos")
     )
     place = F.row_number().over(W.partitionBy("run_id").orderBy(F.desc("n"), "first_pos"))
     return counts.withColumn("place", place).where(F.col("place") <= n)
@@ -147,18 +169,20 @@ def dashboard_order(mode: str) -> list[Column]:
         "tool": [F.col("tool")],
         "rule": [F.col("rule_id")],
     }
-    return [*keys[mode], F.col("sort_pos")]
+    return [*keys[mode], *total_order()]
 
 
 def page(review: DataFrame, mode: str, number: int, size: int) -> DataFrame:
-    """One page of each run, the number clamped to the run's pages."""
-    run = W.partitionBy("run_id")
-    rows = review.withColumns(
-        {"place": F.row_number().over(run.orderBy(*dashboard_order(mode))), "rows": F.count(F.lit(1)).over(run)}
-    )
-    last = F.greatest(F.lit(1), F.ceil(F.col("rows") / size))
-    at = F.least(F.greatest(F.lit(number), F.lit(1)), last)
-    return rows.where((F.col("place") > (at - 1) * size) & (F.col("place") <= at * size))
+    """One page of each run, the number clamped to the run's pages.
+
+    Every task keeps the first ``number * size`` rows of a run at most before rows are shuffled.
+    """
+    number = max(1, number)
+    pages = review.groupBy("run_id").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / size)).alias("pages"))
+    place = F.row_number().over(W.partitionBy("run_id").orderBy(*dashboard_order(mode)))
+    rows = review.withColumn("place", place).where(F.col("place") <= number * size).join(pages, "run_id")
+    at = F.least(F.lit(number), F.col("pages"))
+    return rows.where((F.col("place") > (at - 1) * size) & (F.col("place") <= at * size)).drop("pages")
 
 
 def fair_cap(review: DataFrame, cap: int) -> DataFrame:
@@ -176,38 +200,50 @@ def fair_cap(review: DataFrame, cap: int) -> DataFrame:
     before = F.coalesce(F.sum("want").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     granted = F.greatest(F.lit(0), F.least(F.col("want"), F.col("spare") - before))
     shares = shares.select("run_id", "engine", (F.col("quota") + granted).alias("quota"))
-    place = F.row_number().over(W.partitionBy("run_id", "engine").orderBy("sort_pos"))
-    return review.withColumn("place", place).join(shares, ["run_id", "engine"]).where(F.col("place") <= F.col("quota"))
+    place = F.row_number().over(W.partitionBy("run_id", "engine").orderBy(*total_order()))
+    first = review.withColumn("place", place).where(F.col("place") <= cap)
+    return first.join(shares, ["run_id", "engine"]).where(F.col("place") <= F.col("quota"))
 
 
-def anchors(lines: Column, distance: Column) -> Column:
-    """First lines of the clusters of sorted ``lines``: a cluster ends ``distance`` after its first line."""
-    opens = lambda acc, x: (F.size(acc) == 0) | (x - F.element_at(acc, -1) > distance)
-    return F.aggregate(
-        lines, F.array().cast("array<int>"), lambda acc, x: F.when(opens(acc, x), F.concat(acc, F.array(x))).otherwise(acc)
-    )
+_CLUSTER = ("run_id", "canonical_path", "category")
+
+
+def _anchored(batches):
+    """Rows sorted by cluster key and line -> line_start: a cluster ends OVERLAP_LINES after its first line."""
+    key, first = None, None
+    for batch in batches:
+        columns = [batch[c].to_pylist() for c in (*_CLUSTER, "line_no")]
+        starts = []
+        for *own, line in zip(*columns, strict=True):
+            reach = 0 if own[2] == "unknown" else OVERLAP_LINES
+            if own != key or line - first > reach:
+                key, first = own, line
+            starts.append(first)
+        yield batch.append_column("line_start", pa.array(starts, pa.int32()))
 
 
 def overlap_groups(review: DataFrame, key: str = "tool", least: int = 2, native_only: bool = True) -> DataFrame:
     """W02 (and Z01): findings of several producers on one file and category within a few lines.
 
-    Clusters are anchored at their first line. The fold runs over a group's distinct line numbers, of
-    which a file has a bounded number, and findings join the latest anchor before them.
+    Clusters are anchored at their first line. The narrow rows are shuffled and sorted by file and
+    category once and streamed in order with a state of one line; an origin tells which engines met.
     """
     rows = review.where((F.col("canonical_path") != "") & (F.col("line_no") < S.NO_LINE))
     if native_only:
         rows = rows.where(F.col("tool").isin(*S.NATIVE_TOOLS))
-    group = ["run_id", "canonical_path", "category"]
-    distance = F.when(F.col("category") == "unknown", 0).otherwise(OVERLAP_LINES)
-    firsts = rows.groupBy(*group).agg(F.array_sort(F.collect_set("line_no")).alias("lines"))
-    firsts = firsts.select(*group, anchors(F.col("lines"), distance).alias("anchors"))
-    anchored = rows.join(firsts, group).withColumn(
-        "line_start", F.array_max(F.filter("anchors", lambda a: a <= F.col("line_no")))
+    at = order_key(F.col("line_no").alias("at_line"), F.col("producer_rank").alias("at_rank"))
+    rows = rows.select(*_CLUSTER, "line_no", F.col(key).alias("producer"), "producer_rank", "engine", "fingerprint", at.alias("at"))
+    dealt = rows.repartition(*_CLUSTER).sortWithinPartitions(*_CLUSTER, "line_no")
+    anchored = dealt.mapInArrow(_anchored, StructType([*rows.schema.fields, StructField("line_start", IntegerType())]))
+    tools = F.array_sort(F.collect_set(F.struct("producer_rank", "producer")))
+    origin = (
+        F.when(~F.bool_or(F.col("engine") == "llm"), "static-only")
+        .when(F.bool_and(F.col("engine") == "llm"), "llm-only")
+        .otherwise("both")
     )
-    ordered = F.array_sort(F.collect_list(F.struct("line_no", "producer_rank", "sort_pos", "fingerprint")))
-    tools = F.array_sort(F.collect_set(F.struct("producer_rank", key)))
-    out = anchored.groupBy(*group, "line_start").agg(
-        F.max("line_no").alias("line_end"), tools.alias("t"), ordered.alias("f")
+    out = anchored.groupBy(*_CLUSTER, "line_start").agg(
+        F.max("line_no").alias("line_end"), tools.alias("t"), F.array_sort(F.collect_list(F.struct("at", "fingerprint"))).alias("f"),
+        origin.alias("origin"),
     )
     out = out.where(F.size("t") >= least)
     span = F.concat_ws("\0", "canonical_path", "category", F.col("line_start").cast("string"), F.col("line_end").cast("string"))
@@ -218,8 +254,9 @@ def overlap_groups(review: DataFrame, key: str = "tool", least: int = 2, native_
         "category",
         "line_start",
         "line_end",
-        F.array_join(F.col(f"t.{key}"), ",").alias("tools"),
+        F.array_join(F.col("t.producer"), ",").alias("tools"),
         F.array_join(F.col("f.fingerprint"), ",").alias("fingerprints"),
+        "origin",
     )
 
 
@@ -230,9 +267,10 @@ def markdown(review: DataFrame, n: int = 200) -> DataFrame:
         "- review level `%s`; normalized severity `%s`; `%s` `%s` `%s` %s:%s — %s",
         "review_level", "severity", "tool", "evidence_context", "rule_id", path, "line", "message",
     )
-    rows = review.where(F.col("sort_pos") <= n).withColumn("entry", line)
+    place = F.row_number().over(W.partitionBy("run_id").orderBy(*total_order()))
+    rows = review.withColumn("place", place).where(F.col("place") <= n).withColumn("entry", line)
     return rows.groupBy("run_id").agg(
         F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("sort_pos", "entry"))), lambda e: e["entry"]), "\n"
+            F.transform(F.array_sort(F.collect_list(F.struct("place", "entry"))), lambda e: e["entry"]), "\n"
         ).alias("findings")
     )

@@ -58,17 +58,17 @@ cover as (select *, greatest(0, total - excluded) as effective_total,
 def _inventory(s, d, after: bool):
     rows = view(s, d, "v_sources")
     if after:
-        rows = rows.where("doc_id % 7 <> 0").withColumn(
-            "content", F.when(F.expr("doc_id % 13 = 0"), F.concat("content", F.lit("x"))).otherwise(F.col("content"))
+        rows = rows.where("path not like 'src3/%'").withColumn(
+            "content", F.when(F.expr("path like 'src5/%'"), F.concat("content", F.lit("x"))).otherwise(F.col("content"))
         )
     else:
-        rows = rows.where("doc_id % 10 <> 0")
+        rows = rows.where("path not like 'src7/%'")
     return rows.select("run_id", "path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
 _INV = f"""with v as ({SOURCES}),
-before as (select run_id, path, strlen(content) as size, sha256(content) as sha256 from v where doc_id % 10 <> 0),
-after as (select run_id, path, sha256(case when doc_id % 13 = 0 then content || 'x' else content end) as sha256 from v where doc_id % 7 <> 0)"""
+before as (select run_id, path, strlen(content) as size, sha256(content) as sha256 from v where path not like 'src7/%'),
+after as (select run_id, path, sha256(case when path like 'src5/%' then content || 'x' else content end) as sha256 from v where path not like 'src3/%')"""
 
 
 def _runs(s, d):
@@ -77,8 +77,28 @@ def _runs(s, d):
 
 
 def _cache(s, d):
-    looked = A.cache_lookup(_units(s, d).where("unit_id % 3 = 0"), s.createDataFrame([], "cache_key string"), ["path", "kind", "tier"])
-    return A.cache_counts(A.cache_lookup(_units(s, d), looked, ["path", "kind", "tier"]))
+    return A.cache_counts(A.cache_lookup(_keyed(s, d), _keyed(s, d).where("status = 'completed'")))
+
+
+def _keyed(s, d):
+    """Units with their cache keys; the prompt stands for path, kind and tier."""
+    fields = {k: F.lit(v) for k, v in _KEY.items() if v is not None}
+    prompt = F.concat_ws("|", "path", "kind", "tier")
+    return _units(s, d).withColumn(
+        "cache_key",
+        A.cache_key(unit_sha256=F.sha2("path", 256), prompt_sha256=F.sha2(prompt, 256), producer=F.col("producer"), **fields),
+    )
+
+
+_KEY = {
+    "version": 1, "unit_sha256": None, "prompt_sha256": None, "skill_version": "2", "skill_sha256": "ab", "model": "m",
+    "endpoint": "http://host/v1", "temperature": "0.0", "seed": 7, "max_completion_tokens": 800, "context_window": 16384,
+    "producer": None,
+}
+_KEY_SQL = "sha256(concat_ws(chr(0), " + ", ".join(
+    {"unit_sha256": "sha256(path)", "prompt_sha256": "sha256(path || '|' || kind || '|' || tier)", "producer": "producer"}.get(k, f"'{v}'")
+    for k, v in _KEY.items()
+) + "))"
 
 
 def _spans(s, d):
@@ -107,6 +127,7 @@ def _tasks(s, d):
 
 
 QUERIES = {
+    "e24_cache_key": lambda s, d: _keyed(s, d).select("run_id", "unit_id", "cache_key"),
     "d10_unit_counts": lambda s, d: A.unit_counts(_units(s, d), "run_id", "producer"),
     "d11_unit_status": lambda s, d: A.unit_status(_units(s, d), "run_id", "path"),
     "d12_run_status": lambda s, d: A.run_status(_tools(s, d)),
@@ -122,10 +143,10 @@ QUERIES = {
     "w10_dispatch_order": lambda s, d: A.dispatch_order(
         _units(s, d).withColumn("start_byte", F.col("byte_length")), _scanners(s).withColumnRenamed("producer", "scanner")
     ).select("run_id", "unit_id", "scanner", "place"),
-    "w11_budget_admission": lambda s, d: A.admitted(_tasks(s, d), ["run_id"], _FOLD_ORDER, "cost", 500_000, ["producer"]).select(
-        "run_id", "unit_id", "cost", "admitted"
-    ),
-    "w12_context_fill": lambda s, d: A.admitted(_tasks(s, d), ["run_id", "path"], ["unit_id"], "cost", 6_000, ["tier"]).select(
+    "w11_budget_admission": lambda s, d: A.admitted(
+        _tasks(s, d).withColumn("reserved", F.lit(800)), ["run_id"], _FOLD_ORDER, {"cost": 500_000, "reserved": 160_000}, []
+    ).select("run_id", "unit_id", "cost", "admitted", "refused_by"),
+    "w12_context_fill": lambda s, d: A.admitted(_tasks(s, d), ["run_id", "path"], ["unit_id"], {"cost": 6_000}, ["tier"]).select(
         "run_id", "path", "unit_id", "admitted"
     ),
     "w13_shards": lambda s, d: A.shards(view(s, d, "v_sources").select("run_id", "path"), 30, 400),
@@ -133,7 +154,9 @@ QUERIES = {
         _units(s, d).withColumns({"name": F.col("tier"), "start_byte": F.col("byte_length")})
     ).select("run_id", "unit_id", "ordinal"),
     "c05_inventory_diff": lambda s, d: A.inventory_diff(_inventory(s, d, False), _inventory(s, d, True)),
-    "d21_inventory_digest": lambda s, d: A.inventory_digest(_inventory(s, d, False)),
+    "d21_inventory_digest": lambda s, d: A.inventory_digest(
+        view(s, d, "v_sources").select("run_id", "path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"))
+    ),
     "a21_latest_run": lambda s, d: A.latest_run(_runs(s, d)),
     "c13_cache_lookup": _cache,
     "e31_finish_status": lambda s, d: view(s, d, "v_events")
@@ -146,6 +169,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "e24_cache_key": f"{_U} select run_id, unit_id, {_KEY_SQL} as cache_key from v_units",
     "d10_unit_counts": f"{_U} select run_id, producer, {_COUNTS} from v_units group by 1, 2",
     "d11_unit_status": f"{_U} select run_id, path, {_STATUS} as status, count(*) filter (valid_report) as valid_reports from v_units group by 1, 2",
     "d12_run_status": f"""{_U}, t as (select run_id, producer, run_id <> 'run-3' or producer <> 'llm-security' as requested,
@@ -186,10 +210,13 @@ ORACLES = {
       from v_units, (values {", ".join(f"({i}, '{p}')" for i, p in enumerate(SCANNERS))}) as s(pos, scanner)""",
     "w11_budget_admission": f"""with recursive v_units as ({UNITS}), t as (select run_id, unit_id, greatest(1, ceil(byte_length / 4))::bigint as cost,
         row_number() over (partition by run_id order by list_position(['critical', 'high', 'medium', 'low'], tier), path, unit_id) as n from v_units),
-    f as (select run_id, unit_id, cost, n, cost <= 500000 as admitted, case when cost <= 500000 then cost else 0 end as spent from t where n = 1
-      union all select t.run_id, t.unit_id, t.cost, t.n, f.spent + t.cost <= 500000,
-        case when f.spent + t.cost <= 500000 then f.spent + t.cost else f.spent end from f join t on t.run_id = f.run_id and t.n = f.n + 1)
-    select run_id, unit_id, cost, admitted from f""",
+    f as (select run_id, unit_id, cost, 0::bigint as n, ''::varchar as refused_by, 0::bigint as spent, 0::bigint as reserved from t where n = 1
+      union all select run_id, unit_id, cost, n, refused_by, case when refused_by is null then spent + cost else spent end,
+          case when refused_by is null then reserved + 800 else reserved end
+        from (select t.run_id, t.unit_id, t.cost, t.n, f.spent, f.reserved,
+            case when f.spent + t.cost > 500000 then 'cost' when f.reserved + 800 > 160000 then 'reserved' end as refused_by
+          from f join t on t.run_id = f.run_id and t.n = f.n + 1))
+    select run_id, unit_id, cost, refused_by is null as admitted, refused_by from f where n > 0""",
     "w12_context_fill": f"""with recursive v_units as ({UNITS}), t as (select run_id, path, unit_id, greatest(1, ceil(byte_length / 4))::bigint as cost,
         row_number() over (partition by run_id, path order by unit_id) as n from v_units),
     f as (select run_id, path, unit_id, n, cost <= 6000 as admitted, case when cost <= 6000 then cost else 0 end as spent from t where n = 1
@@ -209,12 +236,13 @@ ORACLES = {
       from v_units""",
     "c05_inventory_diff": f"""{_INV} select run_id, path, case when b.sha256 is null then 'added' when a.sha256 is null then 'deleted' else 'changed' end as change
       from before b full join after a using (run_id, path) where b.sha256 is distinct from a.sha256""",
-    "d21_inventory_digest": f"""{_INV} select run_id, sha256(string_agg(path || chr(9) || size || chr(9) || sha256, chr(10) order by path, size, sha256)) as digest
-      from before group by 1""",
+    "d21_inventory_digest": f"""with v as ({SOURCES}), l as (select run_id, path, path || chr(9) || strlen(content) || chr(9) || sha256(content) as line from v),
+      b as (select run_id, substr(sha256(path), 1, 4) as block, sha256(string_agg(line, chr(10) order by path, line)) as digest from l group by 1, 2)
+      select run_id, sha256(string_agg(block || ' ' || digest, chr(10) order by block)) as digest from b group by 1""",
     "a21_latest_run": f"""with v as ({EVENTS}), r as (select run_id, unit % 5 as source, max(date_trunc('hour', ts)) as finished_at from v group by 1, 2)
       select source, run_id from (select *, row_number() over (partition by source order by finished_at desc, run_id desc) as n from r) where n = 1""",
-    "c13_cache_lookup": f"""{_U}, k as (select *, path || chr(0) || kind || chr(0) || tier as key from v_units),
-      h as (select k.*, key in (select key from k where unit_id % 3 = 0) as hit from k)
+    "c13_cache_lookup": f"""{_U}, k as (select *, {_KEY_SQL} as key from v_units),
+      h as (select k.*, key in (select key from k where status = 'completed') as hit from k)
       select run_id, count(*) filter (hit) as hits, count(*) filter (not hit) as misses,
         count(*) filter (not hit and status in ('completed', 'partial')) as stored from h group by 1""",
     "e31_finish_status": f"""with v as ({EVENTS}), f as (select event_id, event_id % 3 <> 0 as valid, case unit % 5 when 0 then 'completed' when 1 then 'partial'

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lintlake.functions import severity as S
 from lintlake.operators import review as R
+from lintlake.operators.ordering import keep
 from lintlake.plans.bindings import FINDINGS, view
 
 
@@ -65,8 +66,11 @@ def _review(spark, sf_dir):
     return R.reviewed(view(spark, sf_dir, "v_findings"))
 
 
-def _shown(rows):
-    return rows.select(*_SHOWN.split(", "))
+_BARE = _SHOWN.replace("sort_pos, ", "")
+
+
+def _shown(rows, columns=_BARE):
+    return rows.select(*columns.split(", "))
 
 
 def _q(step):
@@ -92,7 +96,7 @@ def _fair_cap_sql(cap):
     u as (select *, {cap} - sum(quota) over (partition by run_id) as spare,
           coalesce(sum(total - quota) over (partition by run_id order by o rows between unbounded preceding and 1 preceding), 0) as before from s),
     w as (select run_id, engine, quota + greatest(0, least(total - quota, spare - before)) as quota from u)
-    select {_SHOWN} from (select r.*, w.quota, row_number() over (partition by r.run_id, r.engine order by sort_pos) as place
+    select {_BARE} from (select r.*, w.quota, row_number() over (partition by r.run_id, r.engine order by sort_pos) as place
       from review r join w on r.run_id = w.run_id and r.engine = w.engine) where place <= quota"""
 
 
@@ -105,7 +109,8 @@ anchored as (select r.*, list_max(list_filter(anchors, lambda a: a <= r.line_no)
 select run_id, substr(sha256(concat_ws(chr(0), canonical_path, category, cast(line_start as varchar), cast(max(line_no) as varchar))), 1, 16) as id,
   canonical_path, category, line_start, max(line_no) as line_end,
   array_to_string(list_transform(list_sort(list(distinct [cast(producer_rank as varchar), tool])), lambda t: t[2]), ',') as tools,
-  string_agg(fingerprint, ',' order by line_no, producer_rank, sort_pos) as fingerprints
+  string_agg(fingerprint, ',' order by line_no, producer_rank, sort_pos) as fingerprints,
+  case when not bool_or(engine = 'llm') then 'static-only' when bool_and(engine = 'llm') then 'llm-only' else 'both' end as origin
 from anchored group by run_id, canonical_path, category, line_start having count(distinct tool) >= {least}"""
 
 _SETS = "(run_id, measure, value), (run_id, measure, value, evidence_context), (run_id, measure, value, engine)"
@@ -114,14 +119,14 @@ _MODES = {"priority": "rank desc", "location": "canonical_path, line_no", "tool"
 
 
 def _page_sql(mode, number, size):
-    return f"""{REVIEW} select {_SHOWN}, place from (
+    return f"""{REVIEW} select {_BARE}, place from (
       select *, row_number() over (partition by run_id order by {_MODES[mode]}, sort_pos) as place,
         greatest(1, ceil(count(*) over (partition by run_id) / {size})) as last from review)
       where place > (least({number}, last) - 1) * {size} and place <= least({number}, last) * {size}"""
 
 
 def _page(mode, number, size):
-    return _q(lambda r: R.page(r, mode, number, size).select(*_SHOWN.split(", "), "place"))
+    return _q(lambda r: R.page(r, mode, number, size).select(*_BARE.split(", "), "place"))
 
 
 _FINDING_FIELDS = "run_id, tool, evidence_context, file, line, rule_id, message, l_orderkey, l_linenumber"
@@ -130,6 +135,13 @@ _MARK = (
     " || '` `' || rule_id || '` ' || canonical_path || ':' || line || ' — ' || message"
 )
 
+def _drill_down(review):
+    """The review is written once, as the groups and the findings in them are both made of it."""
+    review = keep(review, "review")
+    members = R.overlap_groups(review).select("run_id", F.explode(F.split("fingerprints", ",")).alias("fingerprint"))
+    return _shown(review.join(members, ["run_id", "fingerprint"], "left_semi"))
+
+
 QUERIES = {
     "u01_w01_first_findings": lambda s, d: R.first_of_each(view(s, d, "v_findings"), R.FINDING_KEY).select(
         *_FINDING_FIELDS.split(", ")
@@ -140,9 +152,9 @@ QUERIES = {
     "e04_review_level": lambda s, d: R.graded(view(s, d, "v_findings"))
     .groupBy("original_severity", "review_level")
     .agg(F.count(F.lit(1)).alias("n")),
-    "e06_fingerprint": _q(lambda r: r.select("run_id", "sort_pos", "fingerprint")),
+    "e06_fingerprint": _q(lambda r: r.select("run_id", "l_orderkey", "l_linenumber", "fingerprint")),
     "e07_category": _q(lambda r: r.groupBy("engine", "declared", "cwe", "message", "category").agg(F.count(F.lit(1)).alias("n"))),
-    "w19_total_order": _q(_shown),
+    "w19_total_order": _q(lambda r: _shown(R.ordered(r), _SHOWN)),
     "d01_severity_counts": _q(R.severity_counts),
     "d03_tool_summary": _q(R.tool_summary),
     "d06_top_files": _top("canonical_path"),
@@ -160,15 +172,7 @@ QUERIES = {
     "w09_fair_cap": _q(lambda r: _shown(R.fair_cap(r, 200))),
     "w02_overlap_groups": _q(R.overlap_groups),
     "z01_cross_engine_groups": _q(lambda r: R.overlap_groups(r, least=1, native_only=False)),
-    "c14_overlap_drill_down": _q(
-        lambda r: _shown(
-            r.join(
-                R.overlap_groups(r).select("run_id", F.explode(F.split("fingerprints", ",")).alias("fingerprint")),
-                ["run_id", "fingerprint"],
-                "left_semi",
-            )
-        )
-    ),
+    "c14_overlap_drill_down": _q(_drill_down),
     "a16_markdown": _q(lambda r: R.markdown(r, 50)),
 }
 
@@ -178,7 +182,7 @@ ORACLES = {
     + " select tool, original_severity, severity_scale, severity, rank, count(*) as n from g4 group by all",
     "e04_review_level": REVIEW.replace("where n = 1", "")
     + " select original_severity, review_level, count(*) as n from g4 group by all",
-    "e06_fingerprint": f"{REVIEW} select run_id, sort_pos, fingerprint from review",
+    "e06_fingerprint": f"{REVIEW} select run_id, l_orderkey, l_linenumber, fingerprint from review",
     "e07_category": f"{REVIEW} select engine, declared, cwe, message, category, count(*) as n from review group by all",
     "w19_total_order": f"{REVIEW} select {_SHOWN} from review",
     "d01_severity_counts": f"""{REVIEW}, long as (
@@ -195,7 +199,7 @@ ORACLES = {
               from review group by 1, 2)) where place <= 12""",
     "d20_facet_counts": f"{REVIEW} select run_id, evidence_context, count(*) as n from review group by 1, 2",
     "b14_gate": f"{REVIEW} select run_id, bool_or(rank >= 5 and gate_eligible) as tripped from review group by 1",
-    "b20_faceted": f"""{REVIEW} select {_SHOWN} from review where evidence_context = 'build-aware' and engine = 'static' and severity = 'high'
+    "b20_faceted": f"""{REVIEW} select {_BARE} from review where evidence_context = 'build-aware' and engine = 'static' and severity = 'high'
         and (contains(lower(rule_id), 'buffer') or contains(lower(cwe), 'buffer') or contains(lower(canonical_path), 'buffer')
              or contains(lower(message), 'buffer'))""",
     "o04_w14_page_location": _page_sql("location", 2, 50),
@@ -212,6 +216,6 @@ ORACLES["d19_tool_chart"] = ORACLES["d03_tool_summary"]
 _inner = _OVERLAP_SQL.format(review="", native="and engine = 'static'", least=2).lstrip(", \n")
 _ctes, _, _final = _inner.partition("\nselect run_id, substr")
 ORACLES["c14_overlap_drill_down"] = (
-    f"{REVIEW}, {_ctes}, og as (select run_id, substr{_final}) select {_SHOWN} from review r"
+    f"{REVIEW}, {_ctes}, og as (select run_id, substr{_final}) select {_BARE} from review r"
     " where exists (select 1 from og where og.run_id = r.run_id and contains(og.fingerprints, r.fingerprint))"
 )
