@@ -13,6 +13,12 @@ HOST_PATHS = (
     r"(?i)[A-Za-z]:\\+(?:[^\\\r\n\"'<>]+\\+)*Users\\+[^\\\r\n\"'<>]+",
 )
 UNC = r"(?i)(?<!\\)\\{2,4}[A-Za-z0-9][A-Za-z0-9._-]+\\{1,2}[A-Za-z0-9$_. -]{2,}(?:\\{1,2}[^\\\r\n\"'<>]+)*"
+# Looser patterns by which a text that still holds host paths is told.
+LEAKED_PATHS = (
+    HOST_PATHS[0],
+    r"(?i)/mnt/[A-Za-z]/[^\s\"'<>]*/Users/[^/\s\"'<>]+",
+    r"(?i)[A-Za-z]:\\+[^\r\n]*\\+Users\\+",
+)
 # Source suffixes and directories that are never scanned.
 SUFFIXES = (".c", ".C", ".cc", ".cpp", ".cxx", ".c++", ".h", ".H", ".hh", ".hpp", ".hxx", ".h++")
 HEADERS = (".h", ".H", ".hh", ".hpp", ".hxx", ".h++")
@@ -70,6 +76,9 @@ def glob_regex(pattern: str) -> str:
             out, i = out + "[^/]*", i + 1
         elif pattern[i] == "?":
             out, i = out + "[^/]", i + 1
+        elif pattern[i] == "[" and (found := re.match(r"\[(!?)(\]?[^\]/]*)\]", pattern[i:])):
+            inside = found[2].replace("\\", r"\\").replace("[", r"\[").replace("^", r"\^")
+            out, i = out + f"[{'^/' if found[1] else ''}{inside}]", i + found.end()
         else:
             out, i = out + re.escape(pattern[i]), i + 1
     return out
@@ -85,10 +94,37 @@ def matches(path: Column, patterns: list[str]) -> Column:
     return found
 
 
+def ancestors(path: Column) -> Column:
+    """The directories above a path, outermost first."""
+    parts = F.split(path, "/")
+    depths = F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: n > 0)
+    return F.transform(depths, lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+
+
+def left_out(path: Column, patterns: list[str]) -> Column:
+    """Whether a glob names the path or a directory above it, below which nothing is looked at."""
+    return F.exists(ancestors(path), lambda d: matches(d, patterns)) | matches(path, patterns)
+
+
 def ignored(path: Column, lines: list[str]) -> Column:
-    """Ordered ignore rules, of which the last that matches decides; ``!`` takes a path back in."""
+    """Ordered ignore rules, of which the last that matches decides; ``!`` takes a path back in.
+
+    Directories are asked first, from the outermost, and nothing below an ignored one comes back.
+    """
+    return F.exists(ancestors(path), lambda d: _ignored(d, lines)) | _ignored(path, lines)
+
+
+def selected(path: Column, include: list[str], exclude: list[str], ignore: list[str]) -> Column:
+    """What an inventory holds of all paths: sources that are included, not left out and not ignored."""
+    wanted = F.lit(True) if not include or "**/*" in include else matches(path, include)
+    return is_source(path) & wanted & ~left_out(path, exclude) & ~ignored(path, ignore)
+
+
+def _ignored(path: Column, lines: list[str]) -> Column:
     out = F.lit(False)
-    for line in lines:
+    for line in (x.strip() for x in lines):
+        if not line or line.startswith("#"):
+            continue
         rule = line.removeprefix("!")
         name = rule.rstrip("/").lstrip("/")
         if not name:
@@ -96,7 +132,7 @@ def ignored(path: Column, lines: list[str]) -> Column:
         body = glob_regex(name)
         anchored = rule.startswith("/")
         if "/" not in name:
-            hit = path.rlike(f"(?:^|/){body}(?:/|$)" if "*" not in name else f"(?:^|/){body}$")
+            hit = path.rlike(f"(?:^|/){body}$" if any(c in name for c in "*?[") else f"(?:^|/){body}(?:/|$)")
         elif anchored:
             hit = path.rlike(f"^{body}(?:/|$)")
         else:
@@ -123,6 +159,20 @@ def canonical_path(raw: Column, source: str) -> Column:
     return F.when(F.coalesce(raw, F.lit("")) == "", "").when(inside, F.substring(folded, len(base) + 1, 1 << 30)).otherwise(folded)
 
 
+@F.udf(returnType="long", useArrow=True)
+def _bad_byte(content):
+    try:
+        bytes(content).decode("utf-8")
+    except UnicodeDecodeError as error:
+        return error.start
+    return None
+
+
+def first_bad_byte(content: Column) -> Column:
+    """Where bytes stop being UTF-8; null if they are. Only invalid contents are looked at by Python."""
+    return F.when(content.isNotNull() & ~F.is_valid_utf8(content.cast("string")), _bad_byte(content))
+
+
 def scrub_host_paths(text: Column) -> Column:
     """E08."""
     for pattern in HOST_PATHS:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lintlake.functions.text import HOST_PATHS, UNC
+from lintlake.functions.text import HOST_PATHS, LEAKED_PATHS, UNC
 
 SECRET = "<SECRET>"
 LEAST_SECRET = 8
@@ -22,8 +25,16 @@ RULES = ("prefix", "secret_value", "linux_home_pattern", "windows_user_pattern",
 def literal_rules(prefixes: dict[str, str], secrets: list[str]) -> list[tuple[str, str, str]]:
     """(rule, literal, token): secrets first, then prefixes, each longest first; too short ones are left out."""
     by_length = lambda items: sorted(items, key=lambda v: (-len(v), v))
+    prefixes = {p: t for p, t in prefixes.items() if len(p) > 2}
+    prefixes |= {w: t for p, t in prefixes.items() if (w := windows_form(p))}
     rules = [("secret_value", s, SECRET) for s in by_length({s for s in secrets if len(s) >= LEAST_SECRET})]
-    return rules + [("prefix", p, prefixes[p]) for p in by_length(p for p in prefixes if len(p) > 2)]
+    return rules + [("prefix", p, prefixes[p]) for p in by_length(prefixes)]
+
+
+def windows_form(path: str) -> str:
+    """What Windows calls a path below ``/mnt/<drive>/``; empty for others."""
+    found = re.fullmatch(r"/mnt/([A-Za-z])/(.*)", path)
+    return f"{found[1].upper()}:\\" + found[2].replace("/", "\\") if found else ""
 
 
 def redact(rows: DataFrame, column: str, prefixes: dict[str, str], secrets: list[str]) -> DataFrame:
@@ -31,7 +42,7 @@ def redact(rows: DataFrame, column: str, prefixes: dict[str, str], secrets: list
     text = F.coalesce(F.col(column), F.lit(""))
     counts = {r: F.lit(0) for r in RULES}
     for rule, literal, token in literal_rules(prefixes, secrets):
-        found = F.size(F.split(text, _quoted(literal), -1)) - 1
+        found = F.size(F.split(text, re.escape(literal), -1)) - 1
         counts[rule] = counts[rule] + found
         text = F.replace(text, F.lit(literal), F.lit(token))
     rows = rows.withColumns({"__text": text, **{f"n_{r}": c for r, c in counts.items()}})
@@ -43,12 +54,6 @@ def redact(rows: DataFrame, column: str, prefixes: dict[str, str], secrets: list
     return rows.withColumn(column, F.col("__text")).drop("__text")
 
 
-def _quoted(literal: str) -> str:
-    import re
-
-    return re.escape(literal)
-
-
 def leaks(rows: DataFrame, column: str, prefixes: dict[str, str], secrets: list[str]) -> DataFrame:
     """One row per rule that still finds something; none for a text that may be shown."""
     names = {"secret_value": "secret_value", "prefix": "dynamic_prefix"}
@@ -57,7 +62,7 @@ def leaks(rows: DataFrame, column: str, prefixes: dict[str, str], secrets: list[
     ]
     found += [
         F.when(F.contains(F.lower(column), F.lit(hint)) & F.col(column).rlike(pattern), "sensitive_path_pattern")
-        for _, hint, pattern, _ in PATTERNS
+        for (_, hint, _, _), pattern in zip(PATTERNS, ("(?i)" + LEAKED_PATHS[0], *LEAKED_PATHS[1:], UNC), strict=True)
     ]
     return rows.withColumn("leak", F.explode(F.array_compact(F.array(*found))))
 
@@ -69,9 +74,15 @@ def report(redacted: DataFrame) -> DataFrame:
 
 
 def json_text(column: Column, prefixes: dict[str, str], secrets: list[str]) -> Column:
-    """Free JSON by its text: literals are replaced in keys and values alike, and the text stays JSON."""
+    """Free JSON by its text: keys and values alike go through all rules, and the text stays JSON.
+
+    Inside JSON a backslash is doubled, so literals are sought in that form too; the patterns allow for it.
+    """
     for _, literal, token in literal_rules(prefixes, secrets):
-        column = F.replace(column, F.lit(literal), F.lit(token))
+        for form in dict.fromkeys((json.dumps(literal, ensure_ascii=False)[1:-1], literal)):
+            column = F.replace(column, F.lit(form), F.lit(token))
+    for _, hint, pattern, token in PATTERNS:
+        column = F.when(F.contains(F.lower(column), F.lit(hint)), F.regexp_replace(column, pattern, token)).otherwise(column)
     return column
 
 

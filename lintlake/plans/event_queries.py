@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lintlake.plans.bindings import EVENTS, view
+from lintlake.plans.bindings import EVENTS, UNITS, view
 from lintlake.streaming import events as E
+from lintlake.streaming import stateful as S
 
 _E = f"with v as ({EVENTS})"
 
@@ -29,12 +30,62 @@ def _definitions(s, d, text):
     )
 
 
+def _stream(s, d):
+    """The events table as a stream, with the columns of the events view."""
+    return E.event_stream(s, f"{d}/event[s].parquet").selectExpr(
+        "event_id", "ts", "concat('run-', cast(user_id % 8 as string)) as run_id", "user_id as unit", "event_type as status",
+        "value as progress", "props",
+    )
+
+
+def _talk_stream(s, d):
+    talk = s.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{d}/conversation[s].parquet")
+    return talk.selectExpr("conv_id as session", "turn as seq", "role = 'assistant' as counts")
+
+
+def _unit_stream(s, d):
+    """Units as they are in the orders table, as a stream, with their costs."""
+    kinds = s.read.parquet(f"{d}/orders.parquet").schema
+    rows = s.readStream.schema(kinds).parquet(f"{d}/order[s].parquet")
+    units = s.sql(UNITS.replace("from orders", "from {o}"), o=rows)
+    return units.withColumns({"cost": F.greatest(F.lit(1), F.ceil(F.col("byte_length") / 4)), "reserved": F.lit(800)})
+
+
+def _eta(s, d):
+    rows = _events(s, d).withColumn("progress", F.expr("progress / 1000"))
+    return E.eta(rows).select("event_id", F.round("eta", 6).alias("eta"))
+
+
+def _meta(s, d):
+    named = _events(s, d).withColumn("status", F.expr("case when status = 'click' then 'Tool.Call' else status end"))
+    items = s.read.parquet(f"{d}/lineitem.parquet").selectExpr(
+        "concat('run-', cast(l_suppkey % 8 as string)) as run_id", "l_suppkey as unit", "l_returnflag = 'R' as malformed"
+    )
+    return E.session_findings(E.session_meta(named), items)
+
+
+_BEATS = lambda s, d: _events(s, d).withColumn(
+    "status", F.expr("case when status = 'view' then 'heartbeat' else status end")
+)
+
 QUERIES = {
+    "t01_event_stream": lambda s, d: S.collected(_stream(s, d)).select("event_id", "run_id", "unit", "status", "progress"),
+    "t02_live_state_stream": lambda s, d: S.latest(S.collected(E.live_state(_stream(s, d)), "update"), "run_id", "unit"),
+    "t03_heartbeats": lambda s, d: E.heartbeats(_BEATS(s, d), 86_400).select(
+        "run_id", "unit", F.round("elapsed", 3).alias("elapsed"), F.round("remaining", 3).alias("remaining")
+    ),
+    "t04_bounded_log_stream": lambda s, d: S.log_stream(_stream(s, d), 100).select("run_id", "event_id", "place"),
+    "t05_ceilings_stream": lambda s, d: S.collected(S.ceiling_stream(_talk_stream(s, d), 2)).drop("batch"),
+    "t06_monotone_progress_stream": lambda s, d: S.collected(S.progress_stream(_stream(s, d))).drop("batch"),
+    "t07_budget_ledger": lambda s, d: S.collected(
+        S.ledger_stream(_unit_stream(s, d), ["unit_id"], 500_000, 160_000)
+    ).drop("batch"),
+    "z05_eta_seconds": _eta,
     "t02_live_state": lambda s, d: E.live_state(_events(s, d)),
     "t04_bounded_log": lambda s, d: E.bounded_log(_events(s, d), 100).select("run_id", "event_id", "place"),
     "t05_ceilings": lambda s, d: E.ceilings(_sessions(s, d), F.col("role") == "assistant", 2),
     "t06_monotone_progress": lambda s, d: E.monotone_progress(_events(s, d)).select("event_id", "shown"),
-    "d25_session_meta": lambda s, d: E.session_meta(_events(s, d)),
+    "d25_session_meta": _meta,
     "e41_log_lines": lambda s, d: _events(s, d).select("event_id", E.log_line().alias("line")),
     "z05_eta": lambda s, d: _events(s, d).select(
         "event_id",
@@ -50,8 +101,28 @@ ORACLES = {
     "t05_ceilings": """with t as (select conv_id as session, turn as seq, role, count(*) filter (role = 'assistant') over (partition by conv_id order by turn rows unbounded preceding) as n
       from conversations) select session, seq, n from t where role = 'assistant' and n = 3""",
     "t06_monotone_progress": f"{_E} select event_id, max(progress) over (partition by run_id order by ts, event_id rows unbounded preceding) as shown from v",
-    "d25_session_meta": f"""{_E} select run_id, unit, count(*) as events, count(*) filter (contains(lower(status), 'click')) as tool_calls,
-      count(*) filter (status = 'error') as errors from v group by 1, 2""",
+    "d25_session_meta": f"""{_E}, e as (select run_id, unit, count(*) as events, count(*) filter (status = 'click') as tool_calls,
+        count(*) filter (status = 'error') as errors from v group by 1, 2),
+      f as (select 'run-' || l_suppkey % 8 as run_id, l_suppkey as unit, count(*) filter (l_returnflag <> 'R') as findings,
+        count(*) filter (l_returnflag = 'R') as malformed from lineitem group by 1, 2)
+      select e.*, coalesce(findings, 0) as findings, coalesce(malformed, 0) as malformed from e left join f using (run_id, unit)""",
+    "t01_event_stream": f"{_E} select event_id, run_id, unit, status, progress from v",
+    "t03_heartbeats": f"""{_E}, b as (select run_id, unit, (epoch_us(max(ts) filter (status = 'view')) - epoch_us(min(ts))) / 1e6 as elapsed from v group by 1, 2)
+      select run_id, unit, round(elapsed, 3) as elapsed, round(greatest(0, 86400 - elapsed), 3) as remaining from b where elapsed is not null""",
+    "t07_budget_ledger": f"""with recursive u as ({UNITS}), t as (select run_id, unit_id, greatest(1, ceil(byte_length / 4))::bigint as cost,
+        row_number() over (partition by run_id order by unit_id) as n from u),
+    f as (select run_id, unit_id, 0::bigint as n, ''::varchar as refused_by, 0::bigint as prompt_spent, 0::bigint as completion_reserved from t where n = 1
+      union all select run_id, unit_id, n, refused_by, case when refused_by is null then spent + cost else spent end,
+          case when refused_by is null then held + 800 else held end
+        from (select t.run_id, t.unit_id, t.cost, t.n, f.prompt_spent as spent, f.completion_reserved as held,
+            case when f.prompt_spent + t.cost > 500000 then 'cost' when f.completion_reserved + 800 > 160000 then 'reserved' end as refused_by
+          from f join t on t.run_id = f.run_id and t.n = f.n + 1))
+    select run_id, unit_id, refused_by, prompt_spent, completion_reserved from f where n > 0""",
+    "z05_eta_seconds": f"""{_E}, p as (select event_id, ts, progress / 1000 as p, first_value(progress / 1000 ignore nulls) over w as p0, first_value(ts) over w as t0
+        from v window w as (partition by run_id, unit order by ts, event_id rows between 9 preceding and current row))
+      select event_id, round(case when p - p0 > 0 and ts > t0 then greatest(0, 1 - p) * ((epoch_us(ts) - epoch_us(t0)) / 1e6) / (p - p0) end, 6) as eta from p""",
     "e41_log_lines": f"{_E} select event_id, strftime(ts, '%H:%M:%S') || ' [' || run_id || '] ' || status as line from v",
     "z05_eta": f"{_E} select event_id, round(avg(progress) over (partition by run_id order by ts, event_id rows between 9 preceding and current row), 6) as mean from v",
 }
+for _name in ("t02_live_state", "t04_bounded_log", "t05_ceilings", "t06_monotone_progress"):
+    ORACLES[f"{_name}_stream"] = ORACLES[_name]

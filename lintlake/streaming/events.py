@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lintlake.operators.ordering import running_max
+
 EVENT_SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 LOG_ROWS = 2000
 
@@ -44,19 +46,45 @@ def ceilings(events: DataFrame, kind: Column, limit: int) -> DataFrame:
 
 def monotone_progress(events: DataFrame) -> DataFrame:
     """A run's progress as shown, which never falls."""
-    run = W.partitionBy("run_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    return events.withColumn("shown", F.max("progress").over(run))
+    return running_max(events, "run_id", [F.col("ts"), F.col("event_id")], "progress", "shown")
+
+
+def heartbeats(events: DataFrame, budget_seconds: float) -> DataFrame:
+    """Of each unit that gives heartbeats, the time it has taken at the last one and what is left of its budget."""
+    seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6
+    beat = F.max(F.when(F.col("status") == "heartbeat", F.col("ts")))
+    out = events.groupBy("run_id", "unit").agg(F.min("ts").alias("started"), beat.alias("last_heartbeat"))
+    out = out.where("last_heartbeat is not null").withColumn("elapsed", seconds(F.col("last_heartbeat")) - seconds(F.col("started")))
+    return out.withColumn("remaining", F.greatest(F.lit(0.0), F.lit(float(budget_seconds)) - F.col("elapsed")))
+
+
+def eta(events: DataFrame, window: int = 10) -> DataFrame:
+    """Seconds until each unit's progress reaches 1 at the mean pace of its last ``window`` events; null while it does not move."""
+    unit = W.partitionBy("run_id", "unit").orderBy("ts", "event_id")
+    recent = unit.rowsBetween(1 - window, 0)
+    gained = F.col("progress") - F.first("progress", ignorenulls=True).over(recent)
+    took = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.first(F.col("ts").cast("timestamp")).over(recent))) / 1e6
+    left = F.greatest(F.lit(0.0), 1 - F.col("progress"))
+    return events.withColumn("eta", F.when((gained > 0) & (took > 0), left * took / gained))
 
 
 def session_meta(events: DataFrame) -> DataFrame:
-    """Events, tool calls and errors of each unit."""
+    """Events, tool calls (any kind named after a tool) and errors of each unit."""
     return events.groupBy("run_id", "unit").agg(
         F.count(F.lit(1)).alias("events"),
-        F.count_if(F.contains(F.lower("status"), F.lit("click"))).alias("tool_calls"),
+        F.count_if(F.contains(F.lower("status"), F.lit("tool"))).alias("tool_calls"),
         F.count_if(F.col("status") == "error").alias("errors"),
     )
 
 
+def session_findings(meta: DataFrame, findings: DataFrame) -> DataFrame:
+    """``meta`` with the findings and the malformed answers of each unit; ``findings`` says which are malformed."""
+    counts = findings.groupBy("run_id", "unit").agg(
+        F.count_if(~F.col("malformed")).alias("findings"), F.count_if("malformed").alias("malformed")
+    )
+    return meta.join(counts, ["run_id", "unit"], "left").fillna(0, ["findings", "malformed"])
+
+
 def run_to_end(stream: DataFrame, checkpoint: str, name: str, mode: str = "complete") -> DataFrame:
     """Feed a stream everything its source holds and return the result table."""
     query = (
