@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 HOME = "<HOME>"
 # Patterns of host paths, in the order they are replaced.
@@ -159,7 +160,7 @@ def canonical_path(raw: Column, source: str) -> Column:
     return F.when(F.coalesce(raw, F.lit("")) == "", "").when(inside, F.substring(folded, len(base) + 1, 1 << 30)).otherwise(folded)
 
 
-@F.udf(returnType="long", useArrow=True)
+@F.udf(returnType=LongType(), useArrow=True)
 def _bad_byte(content):
     try:
         bytes(content).decode("utf-8")

@@ -2,8 +2,28 @@
 
 from __future__ import annotations
 
-from lintlake.plans import accounting_queries, compile_queries, event_queries, report_queries, review_queries, risk_queries, source_queries, text_queries
+from lintlake.plans import (
+    accounting_queries,
+    compile_queries,
+    event_queries,
+    report_queries,
+    response_queries,
+    review_queries,
+    risk_queries,
+    source_queries,
+    text_queries,
+)
 
-_MODULES = (source_queries, review_queries, accounting_queries, text_queries, report_queries, event_queries, compile_queries, risk_queries)
+_MODULES = (
+    review_queries,
+    accounting_queries,
+    text_queries,
+    report_queries,
+    event_queries,
+    compile_queries,
+    risk_queries,
+    source_queries,
+    response_queries,
+)
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
