@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from lintlake.llm import workers
+
 #: Odd multiplier of the polynomial, and the most positions hashed from one base.
 BASE = 0x9E3779B97F4A7C15
 CHUNK = 1 << 20
@@ -39,6 +41,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _forget_powers() -> None:
+    global _powers
+    _powers = (np.ones(1, _U), np.ones(1, _U))
+
+
+workers.on_change(_forget_powers)
+
+
 def spans(blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs where ``blank`` is false."""
     edge = np.diff(np.concatenate(([1], blank.view(np.int8), [1])))

@@ -2,18 +2,22 @@
 
 Counts of words and of neighbouring word pairs are quantised on a logarithmic scale; an n-gram of
 level q is put into a Bloom filter q times, together with each level up to q. Its count is read back
-by probing level after level until one is missing. The filter is built in shards by the hash of the
-n-gram, one group of bounded size per shard. While it is within a checked size it is sent to every
-executor and documents are scored where they are read; beyond that the n-grams of documents are
-shuffled to the shards instead, which gives the same levels.
+by probing level after level until one is missing. The filter grows with the corpus, so it is never
+sent whole to anyone: it is built in shards by the hash of the n-gram, one group of bounded size per
+shard, and each shard is copied to the workers that probe it, one worker for every so many chunks of
+text. Texts are dealt to chunks of bounded size; a chunk asks each shard once for its distinct n-grams
+there, and the levels come back to the chunk, which scores its texts. This is the only path, at every
+size, and every text is scored by the same probes.
 
 The model interpolates pairs with words: P(w | h) = (1 - a) P(w) + a c(hw) / (c(h) + f V), where f is
 the filter's rate of false positives and V the number of words: f V is the false mass that a history
-is expected to gather, so that probabilities do not sum to more than one in expectation. The weight a
-is a constant times c(h) / (c(h) + f V), so histories too rare to stand out from false ones say little.
+is expected to gather. The weight a is a constant times c(h) / (c(h) + f V), so histories too rare to
+stand out from false ones say little. P(w) is normalised by the mass of the quantised counts; a pair
+counts as the least count of its level and a history as the greatest of its own, so the probabilities
+of all words sum to one at most, but for false positives.
 
-Exact word counts for the base score do not come from the filter: documents' word frequencies meet
-the sorted count table, shard by shard, and are summed.
+Exact word counts for the base score do not come from the filter: the shard's sorted count table is
+asked beside it.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm import workers
 from lintlake.llm.hashing import mix, sequence_hashes, words_of
-from lintlake.llm.scratch import crc_mod, documents, keep, small_batches
+from lintlake.llm.scratch import crc_mod, documents, keep, release, small_batches
 from lintlake.llm.vocab import text_slices
 
 #: Base of the count scale, bits per filter entry, probes per membership test.
@@ -35,17 +40,18 @@ LOG_BASE = 1.5
 BITS_PER_ENTRY = 10
 PROBES = 7
 PAIR_WEIGHT = 0.5
-#: Bytes of text behind one shard of the filter, and the largest filter sent to executors.
-SHARD_BYTES = 8 << 20
-BROADCAST_BYTES = 160 << 20
-#: Words in one shard of the exact table, and bytes of text whose requests meet one copy of it.
-TABLE_WORDS = 1_000_000
-REQUEST_BYTES = 64 << 20
-SLICE_BYTES = 4 << 20
+#: Bytes of text behind one shard of the filter, in one chunk, and in a slice that is counted at once.
+SHARD_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+SLICE_BYTES = 8 << 20
+#: Chunks that ask one copy of a shard.
+CHUNKS_PER_COPY = 20_000
 _U = np.uint64
 #: Stands for the end of a text, and as a history for its beginning.
 EDGE = mix(np.array([0x9E3779B9], _U))[0]
 _HALF = _U(32)
+#: Lowest bits of an n-gram's hash that do not count, by its order: pairs, many more, are told apart by 48 bits.
+DROPPED = {1: 0, 2: 16}
 
 
 def edged(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -62,7 +68,29 @@ def edged(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
-    return sequence_hashes(words, 2)
+    drop = _U(DROPPED[2])
+    return sequence_hashes(words, 2) >> drop << drop
+
+
+def pack(grams: np.ndarray, drop: int) -> bytes:
+    """Sorted n-grams without their ``drop`` lowest bits: the first, then differences in as many bytes as these need."""
+    if not len(grams):
+        return b""
+    grams = grams >> _U(drop)
+    steps = np.diff(grams)
+    width = max(1, (int(steps.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + grams[:1].tobytes() + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(packed: bytes, drop: int) -> np.ndarray:
+    if not packed:
+        return np.empty(0, _U)
+    width = packed[0]
+    wide = np.zeros(((len(packed) - 9) // width + 1, 8), np.uint8)
+    wide[1:, :width] = np.frombuffer(packed, np.uint8, offset=9).reshape(-1, width)
+    grams = wide.view("<u8").ravel()
+    grams[0] = np.frombuffer(packed[1:9], "<u8")[0]
+    return np.cumsum(grams, dtype=_U) << _U(drop)
 
 
 def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
@@ -80,15 +108,16 @@ def _sharded(grams: np.ndarray, shards: int):
 
 def _count_grams(shards: int):
     def run(batches):
+        workers.begin("lm")
         for batch in batches:
-            for _, texts in text_slices(batch["text"], 2 * SLICE_BYTES):
+            for _, texts in text_slices(batch["text"], SLICE_BYTES):
                 words, _ = edged(texts)
                 rows = []
                 for order, grams in ((1, words[1:]), (2, pairs_of(words))):
                     found, counts = np.unique(grams, return_counts=True)
                     counts = counts.astype("<u4")
                     for shard, part in _sharded(found, shards):
-                        rows.append((order, shard, found[part].tobytes(), counts[part].tobytes()))
+                        rows.append((order, shard, pack(found[part], DROPPED[order]), counts[part].tobytes()))
                 kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
@@ -104,8 +133,10 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 
 _LIMITS = np.unique(np.ceil(LOG_BASE ** np.arange(110) - 1e-9))[:64]
-#: The count that a level stands for: the middle of its integers.
-LEVEL_COUNTS = np.concatenate(([0.0], (_LIMITS[:-1] + np.diff(_LIMITS) / 2 - 0.5), [_LIMITS[-1]]))
+#: The least, the greatest and the middle count of each level; level 0 stands for no count.
+LEAST = np.concatenate(([0.0], _LIMITS))
+GREATEST = np.concatenate(([0.0], _LIMITS[1:] - 1, [_LIMITS[-1] * LOG_BASE]))
+MIDDLE = (LEAST + GREATEST) / 2
 
 
 def _level_salt(level: int) -> np.uint64:
@@ -131,13 +162,13 @@ def build_bits(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(cells, bitorder="little")
 
 
-TABLES = "shard int, words binary, word_counts binary, n_words long, total long, bits binary, fill double"
+TABLES = "shard int, words binary, word_counts binary, n_words long, total long, mass double, bits binary, fill double"
 
 
 def _build_shard(table: pa.Table) -> pa.Table:
     def summed(order: int) -> tuple[np.ndarray, np.ndarray]:
         rows = table.filter(pc.equal(table["gram_order"], order))
-        grams = np.frombuffer(b"".join(rows["grams"].to_pylist()), _U)
+        grams = np.concatenate([unpack(g.as_py(), DROPPED[order]) for g in rows["grams"]] or [np.empty(0, _U)])
         counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4").astype(np.int64)
         order_ = np.argsort(grams, kind="stable")
         grams, counts = grams[order_], counts[order_]
@@ -150,47 +181,32 @@ def _build_shard(table: pa.Table) -> pa.Table:
     return pa.table(
         {
             "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
-            "words": [words.tobytes()],
+            "words": [pack(words, 0)],
             "word_counts": [word_counts.astype("<u8").tobytes()],
             "n_words": [len(words)],
             "total": [int(word_counts.sum())],
+            "mass": [float(MIDDLE[level_of(word_counts)].sum())],
             "bits": [bits.tobytes()],
             "fill": [float(np.unpackbits(bits).mean())],
         }
     )
 
 
-class Filter:
-    """Levels of n-grams from the shards that are at hand."""
-
-    def __init__(self, shards: int, parts: list[tuple[int, bytes]]):
-        self.shards = shards
-        sizes = np.zeros(shards, np.int64)
-        for shard, bits in parts:
-            sizes[shard] = len(bits)
-        self.starts = np.cumsum(sizes) - sizes
-        self.bits = (sizes * 8).astype(_U)
-        self.data = np.zeros(int(sizes.sum()), np.uint8)
-        for shard, bits in parts:
-            self.data[self.starts[shard] : self.starts[shard] + len(bits)] = np.frombuffer(bits, np.uint8)
+class Shard:
+    """One shard of the filter: levels of its n-grams by repeated membership probes."""
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"data": self.data.tobytes()}
-
-    def __setstate__(self, state: dict) -> None:
-        """Workers read the bits where they were received, without a second copy."""
-        self.__dict__ = state | {"data": np.frombuffer(state["data"], np.uint8)}
+    def __init__(self, bits: bytes):
+        self.data = np.frombuffer(bits, np.uint8)
+        self.n_bits = _U(8 * len(bits))
 
     def holds(self, grams: np.ndarray, level: int) -> np.ndarray:
-        shard = shard_of(grams, self.shards).astype(np.int64)
-        n_bits, starts = self.bits[shard], self.starts[shard]
+        left = np.arange(len(grams) if self.n_bits else 0)
         h = mix(grams + _level_salt(level))
-        left = np.flatnonzero(n_bits > 0)
         for i in range(PROBES):
             x = h[left]
-            at = (((x & _U(0xFFFFFFFF)) + _U(i) * ((x >> _HALF) | _U(1))) & _U(0xFFFFFFFF)) * n_bits[left] >> _HALF
+            at = (((x & _U(0xFFFFFFFF)) + _U(i) * ((x >> _HALF) | _U(1))) & _U(0xFFFFFFFF)) * self.n_bits >> _HALF
             at = at.astype(np.int64)
-            left = left[(self.data[starts[left] + (at >> 3)] >> (at & 7).astype(np.uint8)) & 1 == 1]
+            left = left[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         out = np.zeros(len(grams), bool)
         out[left] = True
         return out
@@ -199,7 +215,7 @@ class Filter:
         """Probes level after level, each n-gram until its first missing one."""
         out = np.zeros(len(grams), np.uint8)
         left = np.arange(len(grams))
-        for level in range(1, len(LEVEL_COUNTS)):
+        for level in range(1, len(MIDDLE)):
             left = left[self.holds(grams[left], level)]
             if not len(left):
                 break
@@ -208,275 +224,144 @@ class Filter:
 
 
 class Model:
-    """What scoring needs besides levels: training tokens, distinct words, rate of false positives."""
+    """What scoring needs besides levels: training tokens, distinct words, quantised mass, false positives."""
 
-    def __init__(self, total: int, n_words: int, false_rate: float, pair_weight: float = PAIR_WEIGHT):
-        self.total, self.n_words, self.pair_weight = total, n_words, pair_weight
+    def __init__(self, total: int, n_words: int, mass: float, false_rate: float, pair_weight: float = PAIR_WEIGHT):
+        self.total, self.n_words, self.mass, self.pair_weight = total, n_words, mass, pair_weight
         self.false_mass = false_rate * n_words
 
     def base(self, counts: np.ndarray) -> np.ndarray:
-        if not self.total + self.n_words:
-            return np.zeros(len(counts))
         return np.log10((counts + 0.1) / (self.total + 0.1 * (self.n_words + 1)))
 
-    def log10(self, word: np.ndarray, history: np.ndarray, pair: np.ndarray) -> np.ndarray:
-        """From levels, the log10 probability at every position."""
-        word, history, pair = LEVEL_COUNTS[word], LEVEL_COUNTS[history], LEVEL_COUNTS[pair]
-        alone = np.minimum(10 ** self.base(word), 1.0)
-        weight = self.pair_weight * history / np.maximum(history + self.false_mass, 1.0)
-        seen = np.where((word > 0) & (history > 0), pair, 0.0)
-        follows = np.minimum(seen / np.maximum(history + self.false_mass, 1.0), 1.0)
-        return np.log10((1 - weight) * alone + weight * follows)
-
-
-ROWS = (
-    "row long, doc_id long, held_out boolean, n_tokens long, score double,"
-    " shard int, part int, rows binary, words binary, uses binary, owners binary, times binary"
-)
-_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.float64(), pa.int32(), pa.int32()] + [pa.binary()] * 5
-_NAMES = [c.split()[0] for c in ROWS.split(", ")]
-
-
-def _requests(words: np.ndarray, sizes: np.ndarray, rows: np.ndarray, shards: int, parts: int):
-    """Word frequencies of a slice, by shard of the exact table: each word once, then who uses it."""
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
-    order = np.lexsort((owner, words))
-    w, o = words[order], owner[order]
-    new = np.concatenate(([True], (w[1:] != w[:-1]) | (o[1:] != o[:-1])))
-    first = np.flatnonzero(new)
-    times = np.diff(np.concatenate((first, [len(w)])))
-    w, o = w[first], o[first]
-    lead = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-    uses = np.diff(np.concatenate((lead, [len(w)])))
-    distinct = w[lead]
-    part = int(mix(rows[:1].astype(_U))[0] % _U(parts))
-    o = o.astype("<u2" if len(sizes) <= 1 << 16 else "<u4")
-    for shard, cut in _sharded(distinct, shards):
-        inner = slice(int(lead[cut.start]), int(lead[cut.stop]) if cut.stop < len(lead) else len(w))
-        yield (
-            shard,
-            part,
-            rows.astype("<i8").tobytes(),
-            distinct[cut].tobytes(),
-            uses[cut].astype("<u4").tobytes(),
-            o[inner].tobytes(),
-            times[inner].astype("<u4").tobytes(),
-        )
+    def probability(self, word: np.ndarray, history: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """From levels, P(word | history)."""
+        alone = (MIDDLE[word] + 0.1) / (self.mass + 0.1 * (self.n_words + 1))
+        seen = np.maximum(GREATEST[history] + self.false_mass, 1.0)
+        weight = self.pair_weight * GREATEST[history] / seen
+        follows = np.where((word > 0) & (history > 0), LEAST[pair], 0.0) / seen
+        return np.minimum((1 - weight) * alone + weight * np.minimum(follows, 1.0), 1.0)
 
 
-def _scan(filter_, model: Model, shards: int, parts: int):
-    """Per text its score, and per slice the requests for exact counts. Without a filter, no score."""
+ASKED = "chunk long, shard int, part int, words binary, pairs binary"
+ANSWERS = "chunk long, shard int, counts binary, word_levels binary, pair_levels binary"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
-    def run(batches):
-        for batch in batches:
-            for first, texts in text_slices(batch["text"], SLICE_BYTES):
-                words, sizes = edged(texts)
-                n = len(texts)
-                here = batch.slice(first, n)
-                scores = pa.nulls(n, pa.float64())
-                if filter_ is not None:
-                    scores = pa.array(_score_block(filter_.value.levels, model, words, sizes))
-                yield pa.RecordBatch.from_arrays(
-                    [here["row"], here["doc_id"], here["held_out"], pa.array(sizes.astype(np.int64)), scores]
-                    + [pa.nulls(n, k) for k in _KINDS[5:]],
-                    _NAMES,
-                )
-                asked = list(_requests(words[1:], sizes, here["row"].to_numpy(), shards, parts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(asked), k) for k in _KINDS[:5]]
-                    + [pa.array([a[i] for a in asked], k) for i, k in enumerate(_KINDS[5:])],
-                    _NAMES,
-                )
 
-    return run
+def _texts(table: pa.Table) -> list[bytes]:
+    return table["text"].cast(pa.large_string()).fill_null("").cast(pa.large_binary()).to_pylist()
+
 
+def _ask(shards: int, parts: int):
+    """The distinct n-grams of a chunk, one row for each shard that holds some of them."""
 
-def _score_block(levels, model: Model, words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    single, at = np.unique(words, return_inverse=True)
-    word_levels = levels(single)[at]
-    pairs, at = np.unique(pairs_of(words), return_inverse=True)
-    pair_levels = levels(pairs)[at]
-    each = model.log10(word_levels[1:], word_levels[:-1], pair_levels)
-    return np.add.reduceat(each, np.cumsum(sizes) - sizes)
-
-
-def _answer(model: Model):
-    """Requests of one shard and part meet the shard's exact counts: sums per row."""
-
-    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
-        words = np.frombuffer(b"".join(table["words"].to_pylist()), _U)
-        counts = np.frombuffer(b"".join(table["word_counts"].to_pylist()), "<u8").astype(np.int64)
-        order = np.argsort(words)
-        words, counts = words[order], counts[order]
-        out: list[tuple[np.ndarray, ...]] = []
-        for i in range(len(asked)):
-            row = {c: asked[c][i].as_py() for c in ("rows", "words", "uses", "owners", "times")}
-            rows = np.frombuffer(row["rows"], "<i8")
-            given = np.frombuffer(row["words"], _U)
-            found = np.zeros(len(given), np.int64)
-            if len(words):
-                at = np.minimum(np.searchsorted(words, given), len(words) - 1)
-                found = np.where(words[at] == given, counts[at], 0)
-            uses = np.frombuffer(row["uses"], "<u4")
-            owners = np.frombuffer(row["owners"], f"<u{len(row['owners']) // int(uses.sum())}")
-            times = np.frombuffer(row["times"], "<u4").astype(float)
-            base = np.bincount(owners, np.repeat(model.base(found), uses) * times, len(rows))
-            known = np.bincount(owners, np.repeat(found > 0, uses) * times, len(rows))
-            some = np.flatnonzero(base != 0)
-            out.append((rows[some], base[some], known[some].astype(np.int64)))
-        join = lambda i, kind: np.concatenate([o[i] for o in out]) if out else np.empty(0, kind)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        chunk = key[0].as_py()
+        words, _ = edged(_texts(table))
+        asked: dict[int, list[bytes]] = {}
+        for order, grams in ((1, words), (2, pairs_of(words))):
+            distinct = np.unique(grams)
+            for shard, cut in _sharded(distinct, shards):
+                asked.setdefault(shard, [b"", b""])[order - 1] = pack(distinct[cut], DROPPED[order])
+        n = len(asked)
         return pa.table(
             {
-                "row": pa.array(join(0, np.int64)),
-                "base_score": pa.array(join(1, float)),
-                "n_known": pa.array(join(2, np.int64)),
+                "chunk": pa.array([chunk] * n, pa.int64()),
+                "shard": pa.array(asked.keys(), pa.int32()),
+                "part": pa.array([chunk % parts] * n, pa.int32()),
+                "words": pa.array([a[0] for a in asked.values()], pa.binary()),
+                "pairs": pa.array([a[1] for a in asked.values()], pa.binary()),
             }
         )
 
     return run
 
 
-def _asked_levels(shards: int):
-    """(row, text) -> one row per text and filter shard with the distinct n-grams it needs."""
-
-    def run(batches):
-        for batch in batches:
-            for first, texts in text_slices(batch["text"], SLICE_BYTES):
-                out = []
-                for row, text in zip(batch["row"].slice(first, len(texts)).to_pylist(), texts, strict=True):
-                    words, _ = edged([text])
-                    grams = np.unique(np.concatenate((words, pairs_of(words))))
-                    out += [(row, shard, grams[cut].tobytes()) for shard, cut in _sharded(grams, shards)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[i] for r in out], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.binary()))],
-                    ["row", "shard", "grams"],
-                )
-
-    return run
-
-
-def _answer_levels(shards: int):
-    def run(asked: pa.Table, table: pa.Table) -> pa.Table:
-        part = Filter(shards, list(zip(table["shard"].to_pylist(), table["bits"].to_pylist(), strict=True)))
-        grams = asked["grams"].to_pylist()
-        levels = part.levels(np.frombuffer(b"".join(grams), _U))
-        ends = np.cumsum([len(g) // 8 for g in grams], dtype=np.int64)
-        found = [levels[e - len(g) // 8 : e].tobytes() for e, g in zip(ends, grams, strict=True)]
-        return pa.table({"row": asked["row"], "grams": asked["grams"], "levels": pa.array(found, pa.binary())})
+def _answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+    """What the chunks asked one copy of a shard: exact counts of words, levels of words and pairs."""
+    at_hand = table.to_pylist()[0] if len(table) else {"words": b"", "word_counts": b"", "bits": b""}
+    known, counts = unpack(at_hand["words"], 0), np.frombuffer(at_hand["word_counts"], "<u8")
+    shard = Shard(at_hand["bits"])
+    out: list[tuple[bytes, bytes, bytes]] = []
+    for words, pairs in zip(asked["words"], asked["pairs"], strict=True):
+        given = unpack(words.as_py(), DROPPED[1])
+        found = np.zeros(len(given), "<u8")
+        if len(known):
+            at = np.minimum(np.searchsorted(known, given), len(known) - 1)
+            found = np.where(known[at] == given, counts[at], 0).astype("<u8")
+        out.append((found.tobytes(), shard.levels(given).tobytes(), shard.levels(unpack(pairs.as_py(), DROPPED[2])).tobytes()))
+    answers = {n: pa.array([o[i] for o in out], pa.binary()) for i, n in enumerate(("counts", "word_levels", "pair_levels"))}
+    return pa.table({"chunk": asked["chunk"], "shard": asked["shard"]} | answers)
 
-    return run
 
+def _score(model: Model):
+    """A chunk's texts and the answers of all shards, which in order of shards are those of its sorted n-grams."""
 
-def _score_chunk(model: Model):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        given: dict[int, list[tuple[bytes, bytes]]] = {}
-        for row, grams, levels in zip(*(answers[c].to_pylist() for c in ("row", "grams", "levels")), strict=True):
-            given.setdefault(row, []).append((grams, levels))
-        scores = []
-        for row, text in zip(texts["row"].to_pylist(), texts["text"].to_pylist(), strict=True):
-            grams = np.frombuffer(b"".join(g for g, _ in given[row]), _U)
-            levels = np.frombuffer(b"".join(x for _, x in given[row]), np.uint8)
-            order = np.argsort(grams)
-            known, levels = grams[order], levels[order]
-            words, sizes = edged([(text or "").encode()])
-            look = lambda g, known=known, levels=levels: levels[np.searchsorted(known, g)]
-            scores.append(float(_score_block(look, model, words, sizes)[0]))
-        return pa.table({"row": texts["row"], "shuffled_score": pa.array(scores, pa.float64())})
+        answers = answers.sort_by("shard")
+        joined = lambda name, kind: np.frombuffer(b"".join(answers[name].to_pylist()), kind)
+        words, sizes = edged(_texts(texts))
+        starts = np.cumsum(sizes) - sizes
+        at = np.unique(words, return_inverse=True)[1]
+        counts = joined("counts", "<u8")[at[1:]]
+        level = joined("word_levels", np.uint8)[at]
+        base = np.add.reduceat(model.base(counts.astype(float)), starts)
+        known = np.add.reduceat((counts > 0).astype(np.int64), starts)
+        at = np.unique(pairs_of(words), return_inverse=True)[1]
+        pair = joined("pair_levels", np.uint8)[at]
+        score = np.add.reduceat(np.log10(model.probability(level[1:], level[:-1], pair)), starts)
+        return pa.table(
+            {
+                "doc_id": texts["doc_id"],
+                "held_out": texts["held_out"],
+                "n_tokens": pa.array(sizes.astype(np.int64)),
+                "n_known": pa.array(known),
+                "base_score": pa.array(base),
+                "score": pa.array(score),
+            }
+        )
 
     return run
 
 
-def _scored_by_shuffle(numbered: DataFrame, tables: DataFrame, model: Model, shards: int, n_bytes: int) -> DataFrame:
-    """row, shuffled_score: the n-grams of each text meet the filter shards that hold them, then the text again."""
-    chunks = max(1, math.ceil(n_bytes / (4 * SLICE_BYTES)))
-    asked = numbered.select("row", "text").mapInArrow(_asked_levels(shards), "row long, shard int, grams binary")
-    answers = (
-        asked.groupBy("shard")
-        .cogroup(tables.select("shard", "bits").groupBy("shard"))
-        .applyInArrow(_answer_levels(shards), "row long, grams binary, levels binary")
-    )
-    chunk = F.pmod(F.xxhash64("row"), F.lit(chunks)).alias("chunk")
-    return (
-        numbered.select("row", "text", chunk)
-        .groupBy("chunk")
-        .cogroup(answers.select("row", "grams", "levels", chunk).groupBy("chunk"))
-        .applyInArrow(_score_chunk(model), "row long, shuffled_score double")
-    )
-
-
 def lm_scores(
     spark: SparkSession,
     docs: DataFrame,
     held_out: Column,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    shard_bytes: int = SHARD_BYTES,
+    chunk_bytes: int = CHUNK_BYTES,
     pair_weight: float = PAIR_WEIGHT,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``held_out`` is false. Null and blank texts have the end alone. With no
-    training rows nothing is known and both scores are those of a uniform guess over nothing: 0 tokens
-    count as log10(1). Null ids, repeated rows and further columns do no harm; no rows give no rows.
+    training rows nothing is known, and every token has the probability of the one unknown word, 1. Null
+    ids and repeated rows are scored each for itself; ties cannot occur; further columns are ignored; no
+    rows give no rows.
     """
     small_batches(spark)
     rows = docs.select("doc_id", "text", held_out.alias("held_out"))
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(n_bytes / SHARD_BYTES))
+    shards = max(1, math.ceil(n_bytes / shard_bytes))
+    chunks = max(1, math.ceil(n_bytes / chunk_bytes))
+    parts = math.ceil(chunks / CHUNKS_PER_COPY)
     grams = rows.where("not held_out").select("text").mapInArrow(
         _count_grams(shards), "gram_order int, shard int, grams binary, counts binary"
     )
     tables = keep(grams.groupBy("shard").applyInArrow(_build_shard, TABLES), "lm-tables")
-    sums = tables.agg(
-        F.sum("total"), F.sum("n_words"), F.sum(F.octet_length("bits")), F.avg("fill"), F.max("fill")
-    ).first()
-    total, n_words, filter_bytes, fill = sums[0] or 0, sums[1] or 0, sums[2] or 0, sums[3] or 0.0
-    model = Model(total, n_words, fill**PROBES, pair_weight)
-    wide = max(1, math.ceil(n_words / TABLE_WORDS))
-    parts = max(1, math.ceil(n_bytes / REQUEST_BYTES / wide))
-    numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
-    filter_ = None
-    if filter_bytes <= broadcast_bytes:
-        packed = tables.select("shard", "bits").toArrow()
-        whole = Filter(shards, list(zip(packed["shard"].to_pylist(), packed["bits"].to_pylist(), strict=True)))
-        del packed
-        filter_ = spark.sparkContext.broadcast(whole)
-        del whole
-    scanned = numbered.mapInArrow(_scan(filter_, model, wide, parts), ROWS)
-    scanned = keep(scanned, "lm-scan")
-    if filter_ is not None:
-        filter_.destroy()
-    own = scanned.where("shard is null").select("row", "doc_id", "held_out", "n_tokens", "score")
-    asked = scanned.where("shard is not null").select("shard", "part", "rows", "words", "uses", "owners", "times")
-    coarse = F.floor(F.col("shard") * wide / shards).cast("int")
-    upto = F.least(F.floor((F.col("shard") + 1) * wide / shards).cast("int"), F.lit(wide - 1))
-    exact = tables.select(F.explode(F.sequence(coarse, upto)).alias("shard"), "words", "word_counts").select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "words", "word_counts"
-    )
-    sums_by_row = (
-        asked.groupBy("shard", "part")
-        .cogroup(exact.groupBy("shard", "part"))
-        .applyInArrow(_answer(model), "row long, base_score double, n_known long")
-    )
-    if filter_ is None:
-        own = own.drop("score").join(
-            _scored_by_shuffle(numbered, tables, model, shards, n_bytes).withColumnRenamed("shuffled_score", "score"), "row"
-        )
-    empty = own.select(
-        "row", "doc_id", "held_out", "n_tokens", "score", F.lit(None).cast("double").alias("base_score"),
-        F.lit(None).cast("long").alias("n_known"),
-    )
-    answers = sums_by_row.select(
-        "row", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("held_out"),
-        F.lit(None).cast("long").alias("n_tokens"), F.lit(None).cast("double").alias("score"), "base_score", "n_known",
-    )
-    merged = empty.unionByName(answers).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.bool_or("held_out").alias("held_out"),
-        F.max("n_tokens").alias("n_tokens"),
-        F.coalesce(F.sum("n_known"), F.lit(0)).alias("n_known"),
-        F.coalesce(F.sum("base_score"), F.lit(0.0)).alias("base_score"),
-        F.max("score").alias("score"),
+    release(spark)
+    sums = tables.agg(F.sum("total"), F.sum("n_words"), F.sum("mass"), F.avg("fill")).first()
+    total, n_words, mass, fill = sums[0] or 0, sums[1] or 0, sums[2] or 0.0, sums[3] or 0.0
+    model = Model(total, n_words, mass, fill**PROBES, pair_weight)
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long"))
+    asked = dealt.groupBy("chunk").applyInArrow(_ask(shards, parts), ASKED)
+    copies = tables.select(
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "words", "word_counts", "bits"
     )
-    return merged.select(
+    answers = asked.groupBy("shard", "part").cogroup(copies.groupBy("shard", "part")).applyInArrow(_answer, ANSWERS)
+    answers = keep(answers, "lm-answers")
+    release(spark)
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score(model), SCORED)
+    return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
     )
 
