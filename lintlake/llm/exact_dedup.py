@@ -3,29 +3,35 @@
 One row for every document goes through a stateful streaming aggregation keyed by the digest of its
 normalised text. The state lives in RocksDB on the executors' disks, is logged to the shared folder,
 and never expires. For every digest it retains the identifier of the row that stays, the locator of
-that row's content and the number of rows. Where the state reports a hit (a digest seen before) the
-full normalised bytes are compared; texts whose digests agree though their bytes differ are told
-apart by the bytes.
+that row's content and the number of rows. Rows come in several batches, so later ones meet the state
+of earlier ones, and a named store can be continued by another call. Where the state reports a hit (a
+digest seen before) the full normalised bytes are compared; texts whose digests agree though their
+bytes differ are told apart by the bytes.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lintlake.llm.scratch import broadcast_if_small, documents, keep, new_path, text_or_empty
+from lintlake.llm.scratch import Plain, broadcast_if_small, documents, keep, new_path, text_or_empty
 
 #: ASCII white space, which does not count when texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
+#: Batches that one call's rows are streamed in.
+BATCHES = 3
+INDEX = "doc_id long, digest string, text_sha256 string, n_points long, locator long, times long"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 STREAM_CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "100",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # many small stores: no space ahead of need
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",  # else every partition's store stays open
     "spark.sql.streaming.noDataMicroBatches.enabled": "false",
     "spark.sql.streaming.metricsEnabled": "false",
 }
@@ -87,20 +93,19 @@ def read_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     )
 
 
-def keyed_state(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """Stream the files of ``index`` through the stateful aggregation and return its state."""
+def keyed_state(spark: SparkSession, store: str, n_files: int, batches: int) -> DataFrame:
+    """Stream the index files that are new in ``store`` through its state, in some batches; the state after that."""
     before = {k: spark.conf.get(k, None) for k in STREAM_CONF}
-    checkpoint = new_path(spark, "dedup-state")
-    folder = index.inputFiles()
     for k, v in STREAM_CONF.items():
         spark.conf.set(k, v)
     try:
-        if not folder:
-            return index.groupBy("digest").agg(best_row().alias("best"), F.sum("times").alias("total"))
+        folder, checkpoint = f"{store}/index", f"{store}/state"
         stream = (
-            spark.readStream.schema(index.schema)
+            spark.readStream.schema(INDEX)
             .option("maxFileAge", "36500d")
-            .parquet(folder[0].rsplit("/", 1)[0])
+            .option("recursiveFileLookup", "true")
+            .option("maxFilesPerTrigger", max(1, -(-n_files // batches)))
+            .parquet(folder)
         )
         run_stream(stream, checkpoint)
         return keep(read_state(spark, checkpoint), "dedup-groups")
@@ -110,16 +115,26 @@ def keyed_state(spark: SparkSession, index: DataFrame) -> DataFrame:
 
 
 def exact_groups(
-    spark: SparkSession, docs: DataFrame, digest: Callable[[Column], Column] = sha256
+    spark: SparkSession,
+    docs: DataFrame,
+    digest: Callable[[Column], Column] = sha256,
+    store: str | None = None,
+    batches: int = BATCHES,
 ) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_points, locator.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_points, locator, times.
 
     Null text counts as empty, and all blank texts are equal. A null ``doc_id`` takes part and loses
     every tie. Of identical rows (same identifier, same text) the first copy stays. An empty table
     gives no rows; further columns of ``docs`` are ignored.
+
+    ``store`` names a folder whose state is continued: rows then meet those of all earlier calls with it
+    too, and ``keep_id`` may be of one of those. Bytes are compared among the rows of this call.
     """
-    index = keep(content_index(docs, digest), "dedup-index")
-    groups = keyed_state(spark, index)
+    store = store or new_path(spark, "dedup-store")
+    part = f"{store}/index/{uuid.uuid4().hex}"
+    content_index(docs, digest).write.parquet(part)
+    index = spark.read.schema(INDEX).parquet(part)
+    groups = keyed_state(spark, store, len(index.inputFiles()), batches)
     hits = groups.where("total > 1").select("digest")
     n_hits = hits.count()
     collided = None
@@ -137,9 +152,9 @@ def exact_groups(
             collided = None
     joined = index.join(groups, "digest")
     if collided is not None:
-        joined = _by_bytes(joined, index, collided)
+        joined = _by_bytes(joined, docs, collided, digest)
     kept = (
-        (F.coalesce(F.bitwise_not(F.col("doc_id")), F.lit(0)) == F.coalesce(F.col("best.inverse_id"), F.lit(0)))
+        F.bitwise_not(F.col("doc_id")).eqNullSafe(F.col("best.inverse_id"))
         & (F.col("n_points") == F.col("best.n_points"))
         & (F.col("locator") == F.col("best.locator"))
     )
@@ -156,44 +171,53 @@ def exact_groups(
     )
 
 
-def _by_bytes(joined: DataFrame, index: DataFrame, collided: DataFrame) -> DataFrame:
-    """Rows of collided digests are grouped by their full texts' own digest, the rest stay as they are.
-
-    ``text_sha256`` differs wherever bytes differ unless SHA-256 itself collides, so the exact groups of
-    a weaker ``digest`` are those of (digest, text_sha256).
-    """
-    parts = index.join(collided, "digest", "left_semi")
-    exact = parts.groupBy("digest", "text_sha256").agg(best_row().alias("b"), F.sum("times").alias("t"))
+def _by_bytes(joined: DataFrame, docs: DataFrame, collided: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    """Rows whose digest stands for several texts are grouped by the normalised bytes, the rest stay as they are."""
+    texts = docs.select(
+        F.col("doc_id").alias("its_id"),
+        digest(normalised()).alias("digest"),
+        F.xxhash64(text_or_empty()).alias("its_locator"),
+        F.char_length(text_or_empty()).cast("long").alias("its_points"),
+        normalised().alias("norm"),
+    ).join(collided, "digest", "left_semi")
+    order = F.struct(
+        F.col("its_points").alias("n_points"),
+        F.bitwise_not(F.col("its_id")).alias("inverse_id"),
+        F.col("its_locator").alias("locator"),
+    )
+    exact = texts.groupBy("digest", "norm").agg(F.max(order).alias("b"), F.count(F.lit(1)).alias("t"))
+    own = texts.distinct().join(exact, ["digest", "norm"]).drop("norm").withColumnRenamed("digest", "its_digest")
+    same = (
+        (F.col("digest") == F.col("its_digest"))
+        & F.col("doc_id").eqNullSafe(F.col("its_id"))
+        & (F.col("locator") == F.col("its_locator"))
+        & (F.col("n_points") == F.col("its_points"))
+    )
     return (
-        joined.join(exact, ["digest", "text_sha256"], "left")
+        joined.join(own, same, "left")
         .withColumn("best", F.coalesce("b", "best"))
         .withColumn("total", F.coalesce("t", "total"))
-        .drop("b", "t")
+        .select(*joined.columns)
     )
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns as they were."""
-    groups = keep(exact_groups(spark, docs), "dedup-decisions")
-    gone = groups.where("not kept and times = 1").select(F.col("doc_id").alias("__id"), F.col("locator").alias("__at"))
-    gone = gone.unionByName(
-        groups.where("times > 1").groupBy("doc_id", "locator").agg(F.max("kept").alias("any"))
-        .where("not any").select(F.col("doc_id").alias("__id"), F.col("locator").alias("__at"))
-    )
-    marked = docs.withColumn("__locator", F.xxhash64(text_or_empty()))
-    left = marked.join(
-        broadcast_if_small(gone, 48),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__locator") == F.col("__at")),
-        "left_anti",
-    )
-    repeated = groups.where("times > 1 and kept").select(
-        F.col("doc_id").alias("__id"), F.col("locator").alias("__at")
-    )
+    """The rows of ``docs`` that stay, with their columns as they were; nulls, ties and repeats as in ``exact_groups``.
+
+    Of rows that repeat one identifier and text, any one stays where that text does.
+    """
+    plain = Plain(docs, "doc_id", "text")
+    groups = keep(exact_groups(spark, plain.df), "dedup-decisions")
+    told = groups.groupBy("doc_id", "locator").agg(F.max("kept").alias("stays"), F.max("times").alias("times"))
+    told = told.select(F.col("doc_id").alias("its_id"), F.col("locator").alias("its_locator"), "stays", "times")
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("at") == F.col("its_locator"))
+    marked = plain.df.withColumn("at", F.xxhash64(text_or_empty()))
+    left = marked.join(broadcast_if_small(told.where("not stays"), 48), same, "left_anti")
+    repeated = keep(told.where("times > 1 and stays"), "dedup-repeated")
     if not repeated.isEmpty():
-        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__locator") == F.col("__at"))
-        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "__locator"])
+        once = left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "at"])
         left = left.join(repeated, same, "left_anti").unionByName(once)
-    return left.drop("__locator")
+    return plain.restored(left)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
