@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lintlake.llm.scratch import broadcast_if_small, documents, keep, text_or_empty
+from lintlake.llm.scratch import Plain, broadcast_if_small, documents, keep, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 1.5
@@ -178,27 +178,22 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, **options) -> DataFram
     Rows that repeat one identifier and text share the sum of their copies evenly, which the join by
     (doc_id, content) keeps whole: their number is divided among them by position.
     """
-    drawn = mix(spark, docs, **options)
-    per_row = drawn.groupBy("doc_id", "locator").agg(
-        F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows")
-    )
-    per_row = per_row.select(F.col("doc_id").alias("__id"), F.col("locator").alias("__at"), "__copies", "__rows")
-    marked = docs.withColumn("__locator", F.xxhash64(text_or_empty()))
-    joined = marked.join(
-        per_row,
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__locator") == F.col("__at")) & (F.col("__copies") > 0),
-    )
-    place = F.row_number().over(W.partitionBy("__id", "__at").orderBy(F.lit(1))) - 1
-    single = joined.where("__rows = 1").withColumn("__n", F.col("__copies"))
-    several = joined.where("__rows > 1").withColumn("__p", place)
-    several = several.withColumn(
-        "__n",
-        F.floor(F.col("__copies") / F.col("__rows"))
-        + F.when(F.col("__p") < F.col("__copies") % F.col("__rows"), 1).otherwise(0),
-    ).drop("__p")
-    counted = single.unionByName(several).where("__n > 0")
-    copies = F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))).alias("__copy")
-    return counted.select("*", copies).select(*docs.columns)
+    plain = Plain(docs, "doc_id", "text", "source")
+    drawn = mix(spark, plain.df, **options)
+    per_row = drawn.groupBy("doc_id", "locator").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    per_row = per_row.select(F.col("doc_id").alias("its_id"), F.col("locator").alias("its_locator"), "copies", "rows")
+    marked = plain.df.withColumn("at", F.xxhash64(text_or_empty()))
+    same = F.col("doc_id").eqNullSafe(F.col("its_id")) & (F.col("at") == F.col("its_locator"))
+    per_row = keep(per_row.where("copies > 0"), "mix-copies")
+    counted = marked.join(per_row.where("rows = 1"), same).withColumn("n", F.col("copies"))
+    if not (repeated := per_row.where("rows > 1")).isEmpty():
+        place = F.row_number().over(W.partitionBy("its_id", "its_locator").orderBy(F.lit(1))) - 1
+        one_more = F.when(F.col("place") < F.col("copies") % F.col("rows"), 1).otherwise(0)
+        several = marked.join(repeated, same).withColumn("place", place)
+        several = several.withColumn("n", F.floor(F.col("copies") / F.col("rows")) + one_more).drop("place")
+        counted = counted.unionByName(several.where("n > 0"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy")
+    return plain.restored(counted.select("*", copies))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
