@@ -82,6 +82,15 @@ def _bucket_rows(tables: int, probes: int, seed: int):
     return run
 
 
+def _distances(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances; where squares could overflow or vanish, of vectors scaled by a power of two."""
+    most = max(np.abs(v).max(), np.abs(x).max())
+    if 1e-100 < most < 1e100:
+        return np.sqrt(((v - x) ** 2).sum(axis=1))
+    scale = 2.0 ** np.clip(np.ceil(np.log2(most)) + 1, -1000, 1000)
+    return np.sqrt(((v / scale - x / scale) ** 2).sum(axis=1)) * scale
+
+
 def _nearest_in_tile(k: int):
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -93,9 +102,10 @@ def _nearest_in_tile(k: int):
             v = vectors["vector"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
             q = queries["vector"].combine_chunks().flatten().to_numpy().reshape(len(queries), -1)
             for query_id, x in zip(queries["vec_id"].to_pylist(), q, strict=True):
-                scores = np.minimum.reduceat(np.sqrt(((v - x) ** 2).sum(axis=1)), first)
-                scores[names == query_id] = np.inf
-                near = np.flatnonzero((scores <= np.partition(scores, last)[last]) & np.isfinite(scores))
+                scores = np.minimum.reduceat(_distances(v, x), first)
+                other = names != query_id
+                cut = np.partition(np.where(other, scores, np.inf), last)[last]
+                near = np.flatnonzero((scores <= cut) & other)
                 near = near[np.lexsort((names[near], scores[near]))][:k]
                 out += [(query_id, int(names[i]), float(scores[i])) for i in near]
         return pa.table(

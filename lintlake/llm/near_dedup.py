@@ -22,9 +22,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm import workers
 from lintlake.llm.components import components
-from lintlake.llm.hashing import sequence_hashes, words_of
-from lintlake.llm.scratch import broadcast_if_small, documents, keep, small_batches, text_or_empty
+from lintlake.llm.hashing import mix, sequence_hashes, words_of
+from lintlake.llm.scratch import Plain, broadcast_if_small, documents, keep, small_batches, text_or_empty
 from lintlake.llm.vocab import text_slices
 
 WORDS = 5
@@ -35,6 +36,9 @@ MANTISSA_BITS = 10
 BAND_ROWS = 4
 #: 4.5 standard deviations of the estimate below 0.75 with 128 registers.
 LEAST_ESTIMATE = 0.58
+#: Sets of up to so many shingles are signed by hashes of their own for every bucket; so are those that a
+#: set of that size can be linked with.
+SMALL = 64
 #: Chance that two different least hashes leave the same register.
 COLLISION = 0.4 / (1 << MANTISSA_BITS)
 BUCKET_TILE = 1024
@@ -42,8 +46,9 @@ TILE_SHINGLES = 400_000
 _U = np.uint64
 _BITS = REGISTERS.bit_length() - 1
 _EDGES = np.arange(REGISTERS, dtype=_U) << _U(64 - _BITS)
+_SALTS = mix(np.arange(1, REGISTERS + 1, dtype=_U))
 _DONORS = np.array([np.random.default_rng([7, i]).permutation(REGISTERS) for i in range(REGISTERS)])
-SIGNATURES = "doc_id long, n_shingles long, set_digest binary, registers binary"
+SIGNATURES = "doc_id long, n_shingles long, set_digest binary, registers binary, small_registers binary"
 
 
 def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -59,6 +64,27 @@ def shingle_sets(texts: list[bytes]) -> Iterator[np.ndarray]:
         at += n
 
 
+def _compressed(least: np.ndarray) -> np.ndarray:
+    """Leading zeros and mantissa bits of 64-bit least hashes."""
+    zeros = 53 - np.frexp((least >> _U(11)).astype(np.float64))[1]
+    mantissa = (least << (zeros + 1).astype(_U)) >> _U(64 - MANTISSA_BITS)
+    return (zeros.astype(np.uint16) << np.uint16(MANTISSA_BITS)) | mantissa.astype(np.uint16)
+
+
+def small_registers(sets: list[np.ndarray]) -> np.ndarray:
+    """As ``registers``, but every bucket has a hash of its own and sees the whole set.
+
+    In few shingles, two that fall into one bucket would hide one another; here none does.
+    """
+    out = np.empty((len(sets), REGISTERS), np.uint16)
+    for at in range(0, len(sets), 256):
+        part = sets[at : at + 256]
+        sizes = np.array([len(s) for s in part])
+        hashes = mix(np.concatenate(part)[:, None] ^ _SALTS)
+        out[at : at + len(part)] = _compressed(np.minimum.reduceat(hashes, np.cumsum(sizes) - sizes, axis=0))
+    return out
+
+
 def registers(sets: list[np.ndarray]) -> np.ndarray:
     """One row of registers for each non-empty sorted set."""
     least = np.zeros((len(sets), REGISTERS), _U)
@@ -69,9 +95,7 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
         found = s[np.minimum(first, len(s) - 1)]
         have &= (found >> _U(64 - _BITS)) == np.arange(REGISTERS, dtype=_U)
         least[k], filled[k] = found << _U(_BITS), have
-    zeros = 53 - np.frexp((least >> _U(11)).astype(np.float64))[1]
-    mantissa = (least << (zeros + 1).astype(_U)) >> _U(64 - MANTISSA_BITS)
-    out = (zeros.astype(np.uint16) << np.uint16(MANTISSA_BITS)) | mantissa.astype(np.uint16)
+    out = _compressed(least)
     row, col = np.nonzero(~filled)
     for step in range(REGISTERS):
         if not len(row):
@@ -84,22 +108,26 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _sign(batches):
+    workers.begin("near dedup")
     for batch in batches:
         for first, texts in text_slices(batch["text"], 2 << 20):
             sets = list(shingle_sets(texts))
-            some = [k for k, s in enumerate(sets) if len(s)]
-            signs: list[bytes | None] = [None] * len(sets)
-            for k, row in zip(some, registers([sets[k] for k in some]), strict=True):
-                signs[k] = row.astype("<u2").tobytes()
+            signs: list[list[bytes | None]] = [[None] * len(sets), [None] * len(sets)]
+            kinds = ((registers, SMALL + 1, np.inf), (small_registers, 1, SMALL * 100 / PERCENT))
+            for kind, (sign, least, most) in enumerate(kinds):
+                some = [k for k, s in enumerate(sets) if least <= len(s) <= most]
+                for k, row in zip(some, sign([sets[k] for k in some]), strict=True):
+                    signs[kind][k] = row.astype("<u2").tobytes()
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch["doc_id"].slice(first, len(texts)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digests, pa.binary()),
-                    pa.array(signs, pa.binary()),
+                    pa.array(signs[0], pa.binary()),
+                    pa.array(signs[1], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "set_digest", "registers"],
+                ["doc_id", "n_shingles", "set_digest", "registers", "small_registers"],
             )
 
 
@@ -185,6 +213,7 @@ def _estimated(least: float):
 
 
 def _sets(batches):
+    workers.begin("near dedup")
     for batch in batches:
         for first, texts in text_slices(batch["text"], 2 << 20):
             sets = [s.tobytes() for s in shingle_sets(texts)]
@@ -230,20 +259,22 @@ def _tiles(rows: DataFrame, key: str, payload: str) -> DataFrame:
 
 def _band_key(band: Column) -> Column:
     part = F.substring(F.col("registers"), band * (2 * BAND_ROWS) + 1, F.lit(2 * BAND_ROWS))
-    return F.xxhash64(band, part)
+    return F.xxhash64("kind", band, part)
 
 
 def candidate_edges(classes: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
     """Edges (a, b) that connect all candidates with one another: same band, estimate at least ``least``."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // BAND_ROWS - 1)), _band_key)
-    bands = classes.select("doc_id", F.explode(keys).alias("key"))
+    signs = classes.select("doc_id", F.posexplode(F.array("registers", "small_registers")).alias("kind", "registers"))
+    signs = signs.where("registers is not null")
+    bands = signs.select("doc_id", "kind", F.explode(keys).alias("key"))
     busy = (
         bands.groupBy("key")
         .agg(F.count(F.lit(1)).alias("n"))
         .where("n > 1")
         .select("key", F.ceil(F.col("n") / BUCKET_TILE).alias("blocks"))
     )
-    members = bands.join(busy, "key").join(classes.select("doc_id", "registers"), "doc_id")
+    members = bands.join(busy, "key").join(signs, ["doc_id", "kind"])
     return _tiles(members, "key", "registers").mapInArrow(_estimated(least), "a long, b long")
 
 
@@ -263,6 +294,7 @@ def near_duplicates(
         some.groupBy("set_digest").agg(
             F.min("doc_id").alias("doc_id"),
             F.first("registers").alias("registers"),
+            F.first("small_registers").alias("small_registers"),
             F.first("n_shingles").alias("n_shingles"),
         ),
         "set-classes",
@@ -293,10 +325,14 @@ def near_duplicates(
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay: those of each component's smallest identifier, columns as they were."""
-    gone = keep(near_duplicates(spark, docs).where("not kept").select("doc_id").distinct(), "near-gone")
-    gone = gone.select(F.col("doc_id").alias("__id"))
-    return docs.join(broadcast_if_small(gone, 16), F.col("doc_id") == F.col("__id"), "left_anti")
+    """The rows of ``docs`` that stay: those of each component's smallest identifier, columns as they were.
+
+    Rows without words or without ``doc_id`` stay, and so do all rows that repeat an identifier that stays.
+    """
+    plain = Plain(docs, "doc_id", "text")
+    gone = keep(near_duplicates(spark, plain.df).where("not kept").select("doc_id").distinct(), "near-gone")
+    gone = gone.select(F.col("doc_id").alias("gone_id"))
+    return plain.restored(plain.df.join(broadcast_if_small(gone, 16), F.col("doc_id") == F.col("gone_id"), "left_anti"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,13 +8,16 @@ trained table is reduced to one number per bucket, which is what executors get f
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm import workers
 from lintlake.llm.hashing import span_hashes, spans
-from lintlake.llm.scratch import crc_mod, documents, small_batches
+from lintlake.llm.scratch import Plain, crc_mod, documents, keep, small_batches
 from lintlake.llm.vocab import text_slices
 
 BUCKET_BITS = 17
@@ -69,6 +72,7 @@ def features(codes: np.ndarray):
 
 def _featurise(batches):
     """(quality, text) -> (quality, buckets, shares): what a document's average is made of."""
+    workers.begin("quality")
     for batch in batches:
         for first, texts in text_slices(batch["text"]):
             rows = []
@@ -135,10 +139,14 @@ def fit(
 ) -> tuple[bytes, float]:
     """Weights per bucket and bias, from at most ``sample_rows`` labelled documents per label.
 
-    The sample is the rows of least hash among those where ``usable`` (a condition on doc_id) holds.
+    The sample is the rows of least hash among those documents where ``usable`` (a condition on doc_id)
+    holds. The bias is moved by how much the sample's ratio of labels differs from that of all usable
+    documents, so a score means the same whatever share of them the sample is.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & usable)
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = known.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    known = keep(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    n = {r["quality"]: r["count"] for r in known.groupBy("quality").count().collect()}
     parts = [
         known.where(F.col("quality") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         for y in (0, 1)
@@ -149,11 +157,16 @@ def fit(
     model = found.withColumn("model", F.lit(1)).groupBy("model").applyInArrow(_train_group, "weights binary, bias double").first()
     if model is None:
         return b"", 0.0
-    return bytes(model["weights"]), model["bias"]
+    prior = 0.0
+    if len(n) == 2:
+        taken = {y: min(n[y], sample_rows) for y in n}
+        prior = math.log(n[1] / n[0]) - math.log(taken[1] / taken[0])
+    return bytes(model["weights"]), model["bias"] + prior
 
 
 def _score(model, columns: list[str]):
     def run(batches):
+        workers.begin("quality")
         weights, bias = model.value
         weights = np.frombuffer(weights, np.float32) if weights else np.zeros(1 << BUCKET_BITS, np.float32)
         for batch in batches:
@@ -203,12 +216,14 @@ def classify(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFra
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the classifier predicts to be good, with their columns as they were."""
+    """The rows of ``docs`` that the classifier predicts to be good, with their columns as they were.
+
+    Null, empty and blank texts are judged by the bias alone; equal texts get equal scores, so of repeated
+    rows all stay or none; a null ``doc_id`` does no harm; an empty table gives no rows.
+    """
     model = fit(spark, docs, labels, ~held_out())
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.select(*[F.col(f"`{c}`").alias("text" if c == "text" else n) for c, n in zip(docs.columns, names)])
-    kept = score(spark, plain, model, plain.columns).where(F.col("score") >= THRESHOLD)
-    return kept.select(*[F.col(p).alias(c) for p, c in zip(plain.columns, docs.columns)])
+    plain = Plain(docs, "text")
+    return plain.restored(score(spark, plain.df, model, plain.df.columns).where(F.col("score") >= THRESHOLD))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lintlake.llm import workers
 from lintlake.llm.scratch import documents, keep, small_batches
 from lintlake.llm.vocab import load, text_slices, tokenizer_path
 
@@ -58,8 +59,12 @@ def pre_tokenizer(path: str) -> PreTokenizer:
     return PreTokenizer(path)
 
 
+workers.on_change(pre_tokenizer.cache_clear)
+
+
 def _count_pretokens(path: str):
     def run(batches):
+        workers.begin("token counts")
         split = pre_tokenizer(path).split
         for batch in batches:
             seen: Counter = Counter()
@@ -75,6 +80,7 @@ def _count_pretokens(path: str):
 
 def _count_pieces(path: str):
     def run(batches):
+        workers.begin("token counts")
         tokenizer = load(path)
         for batch in batches:
             words = batch["pretoken"].to_pylist()
@@ -91,6 +97,7 @@ def _frequencies(path: str, hot):
     """For each row: one record of its own with what the hot table settles, one per other pre-token."""
 
     def run(batches):
+        workers.begin("token counts")
         split = pre_tokenizer(path).split
         known = hot.value
         for batch in batches:
