@@ -36,8 +36,11 @@ def first_of_each(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...]
     return hashed.join(repeated, "key_hash", "left_anti").unionByName(firsts).drop("key_hash")
 
 
-def graded(findings: DataFrame) -> DataFrame:
-    """Severity, review level, fingerprint and category of every finding."""
+def graded(findings: DataFrame, paths: bool = True) -> DataFrame:
+    """Severity, review level, fingerprint and category of every finding.
+
+    With ``paths`` the file is its own canonical path, else there is a column of these already.
+    """
     c = F.col
     out = findings.withColumn(
         "severity", S.severity(c("tool"), c("original_severity"), c("severity_scale"), c("engine"))
@@ -48,7 +51,7 @@ def graded(findings: DataFrame) -> DataFrame:
             "review_level": S.review_level(c("original_severity")),
             "producer_rank": S.producer_rank(c("tool")),
             "line_no": S.line_number(c("line")),
-            "canonical_path": c("file"),
+            "canonical_path": c("file") if paths else c("canonical_path"),
             "gate_eligible": c("engine") == "static",
             "category": S.category(c("engine"), c("declared"), c("cwe"), c("rule_id"), c("message")),
             "fingerprint": S.fingerprint(c("tool"), c("file"), c("line"), c("col"), c("rule_id"), c("message")),
@@ -56,9 +59,9 @@ def graded(findings: DataFrame) -> DataFrame:
     )
 
 
-def total_order() -> list[Column]:
+def total_order(ingest: tuple[str, ...] = INGEST) -> list[Column]:
     keys = [F.desc("rank"), "producer_rank", "canonical_path", "line_no", "line", "fingerprint"]
-    return [F.col(k) if isinstance(k, str) else k for k in (*keys, *INGEST)]
+    return [F.col(k) if isinstance(k, str) else k for k in (*keys, *ingest)]
 
 
 def reviewed(findings: DataFrame) -> DataFrame:
@@ -71,9 +74,9 @@ def ordered(review: DataFrame) -> DataFrame:
     return positions(review, "run_id", total_order(), "sort_pos")
 
 
-def order_key(*first: Column) -> Column:
+def order_key(*first: Column, ingest: tuple[str, ...] = INGEST) -> Column:
     """The total order as one value that sorts, after ``first``."""
-    rest = [(-F.col("rank")).alias("r")] + [F.col(c) for c in ("producer_rank", "canonical_path", "line_no", "line", "fingerprint", *INGEST)]
+    rest = [(-F.col("rank")).alias("r")] + [F.col(c) for c in ("producer_rank", "canonical_path", "line_no", "line", "fingerprint", *ingest)]
     return F.struct(*first, *rest)
 
 
@@ -222,7 +225,9 @@ def _anchored(batches):
         yield batch.append_column("line_start", pa.array(starts, pa.int32()))
 
 
-def overlap_groups(review: DataFrame, key: str = "tool", least: int = 2, native_only: bool = True) -> DataFrame:
+def overlap_groups(
+    review: DataFrame, key: str = "tool", least: int = 2, native_only: bool = True, ingest: tuple[str, ...] = INGEST
+) -> DataFrame:
     """W02 (and Z01): findings of several producers on one file and category within a few lines.
 
     Clusters are anchored at their first line. The narrow rows are shuffled and sorted by file and
@@ -231,7 +236,7 @@ def overlap_groups(review: DataFrame, key: str = "tool", least: int = 2, native_
     rows = review.where((F.col("canonical_path") != "") & (F.col("line_no") < S.NO_LINE))
     if native_only:
         rows = rows.where(F.col("tool").isin(*S.NATIVE_TOOLS))
-    at = order_key(F.col("line_no").alias("at_line"), F.col("producer_rank").alias("at_rank"))
+    at = order_key(F.col("line_no").alias("at_line"), F.col("producer_rank").alias("at_rank"), ingest=ingest)
     rows = rows.select(*_CLUSTER, "line_no", F.col(key).alias("producer"), "producer_rank", "engine", "fingerprint", at.alias("at"))
     dealt = rows.repartition(*_CLUSTER).sortWithinPartitions(*_CLUSTER, "line_no")
     anchored = dealt.mapInArrow(_anchored, StructType([*rows.schema.fields, StructField("line_start", IntegerType())]))

@@ -6,11 +6,13 @@ from lintlake.plans import (
     accounting_queries,
     compile_queries,
     event_queries,
+    planner_queries,
     report_queries,
     response_queries,
     review_queries,
     risk_queries,
     source_queries,
+    stored_queries,
     text_queries,
 )
 
@@ -22,7 +24,9 @@ _MODULES = (
     event_queries,
     compile_queries,
     risk_queries,
+    planner_queries,
     source_queries,
+    stored_queries,
     response_queries,
 )
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lintlake.operators import accounting as A
+from lintlake.operators import full_review as X
 from lintlake.operators.review import INGEST
+from lintlake.plans.accounting_queries import _COVER
 from lintlake.plans.bindings import FINDINGS, view
+from lintlake.plans.review_queries import _OVERLAP_SQL, REVIEW
 from lintlake.sources import reports as P
 
 _ORDER = ", ".join(INGEST)
@@ -67,16 +71,21 @@ def _sarif(s, d):
         )
     )
     head = F.lit(
-        '{"version":"2.1.0","runs":[{"tool":{"driver":{"rules":[{"id":"R1","properties":{"security-severity":"9.1"}},'
-        '{"id":"R2","name":"CWE-88"}]}},"results":['
+        '{"version":"2.1.0","runs":[{"tool":{"driver":{"rules":[{"name":"no id"},{"id":"R1","properties":{"security-severity":"1.0"}},'
+        '{"id":"R1","properties":{"security-severity":"9.1"}},{"id":"R2","name":"CWE-88"}]}},"invocations":[{"toolExecutionNotifications":'
+        '[{"level":"error","message":{"text":"stopped early"}}]}],"results":['
     )
-    return _reports(s, d, "flawfinder", entry, head, "]}]}", ",", F.lit('{"version":"2.0.0","runs":[]}'))
+    broken = F.when(F.expr("unit_id % 2 = 0"), '{"version":"2.0.0","runs":[]}').otherwise('{"version":"2.1.0","runs":[{"results":[]},{"results":7}]}')
+    return _reports(s, d, "flawfinder", entry, head, "]}]}", ",", broken)
 
 
 def _csv(s, d):
     c = F.col
     entry = F.concat_ws(",", "file", "line", "col", F.concat(F.lit('"'), c("message"), F.lit(', see "')), F.when(c("pos") % 2 == 0, c("rule_id")).otherwise(""))
-    return _reports(s, d, "splint", entry, F.lit(" File ,Line,Column,Warning,Rule\n"), "\n\n", "\n", F.lit("a,b\n1,2,3"))
+    head = F.when(F.expr("unit_id % 4 = 0"), "File,File,Line,Column,Warning,Rule\nold,").otherwise(" File ,Line,Column,Warning,Rule\n")
+    rows = _reports(s, d, "splint", entry, F.lit("<head>"), "\n\n", "\n<row>", F.lit("a,b\n1,2,3"))
+    text = F.replace(F.replace("text", F.lit("<head>"), head), F.lit("<row>"), F.when(F.expr("unit_id % 4 = 0"), "old,").otherwise(""))
+    return rows.withColumn("text", F.when(F.expr("unit_id % 13 = 0"), 'a,b\n"open').otherwise(text))
 
 
 def _json(s, d):
@@ -115,7 +124,40 @@ def _integrity(reports, problem, category="report-integrity"):
     return P.integrity(reports, problem(F.col("text")), category).select("unit_id", "severity", "category", "message")
 
 
+def _stored(s, d):
+    """Reports of all kinds in one table, as they are stored."""
+    kinds = {"xml": _xml, "sarif": _sarif, "csv": _csv, "log": _log, "json": _json}
+    parts = [make(s, d).withColumn("kind", F.lit(kind)) for kind, make in kinds.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _full(table, *columns):
+    return lambda s, d: getattr(X.Review(_stored(s, d), "/work/src"), table).select(*columns)
+
+
+_SAID = ("unit_id", "tool", "severity", "category", "message", "file", "line", "fatal")
+_SEEN = ("run_id", "unit_id", "tool", "engine", "canonical_path", "line", "col", "rule_id", "cwe", "severity", "review_level", "category")
+
+
+def _tiles(s, d):
+    units = view(s, d, "v_units")
+    return X.tiles(X.Review(_stored(s, d), "/work/src").graded, A.tool_coverage(units, "run_id", "producer"))
+
+
 QUERIES = {
+    "x07_u01_review_findings": _full("findings", *_SEEN, "sort_pos"),
+    "o02_review_diagnostics": _full("diagnostics", "run_id", *_SAID, "sort_pos"),
+    "d09_report_integrity": _full("integrity", "run_id", "status", "included_reports", "omitted"),
+    "d04_review_tools": _full("tools", "run_id", "tool", "total", "build_aware", "source_only", "diagnostics"),
+    "d02_review_counts": _full("counts", "run_id", "total", "build_aware", "source_only", "static", "llm"),
+    "x07_review_overlap_groups": _full("overlap_groups", "run_id", "canonical_path", "category", "line_start", "line_end", "tools"),
+    "d28_tiles": _tiles,
+    "a04_splint_csv": lambda s, d: _findings(P.splint_csv(_csv(s, d)), "is_diagnostic"),
+    "b11_splint_integrity": lambda s, d: _integrity(_csv(s, d), P.csv_problem),
+    "a03_notifications": lambda s, d: P.notifications(_sarif(s, d)).select("unit_id", "severity", "message", "fatal"),
     "a02_cppcheck": lambda s, d: _findings(P.cppcheck(_xml(s, d)), "is_diagnostic"),
     "b09_cppcheck_integrity": lambda s, d: _integrity(_xml(s, d), P.xml_problem),
     "a03_flawfinder": lambda s, d: _findings(P.flawfinder(_sarif(s, d)), "severity_scale"),
@@ -155,6 +197,10 @@ def _bad(cut: str, other: str, severity="error", category="report-integrity") ->
       from rows where not ({_GOOD}) group by unit_id"""
 
 
+_SARIF_FAULT = "(case when unit_id % 2 = 0 then 'Flawfinder report is not SARIF 2.1.0' else 'invalid Flawfinder SARIF: results must be an array' end)"
+_MESSAGE_CWE = "''"
+_GOOD_CSV = _GOOD
+_CSV_FAULT = "case when unit_id % 13 = 0 then 'unexpected end of data' else 'inconsistent or truncated rows' end"
 _CWE_MSG = "case when cwe <> '' then cwe else '' end"
 ORACLES = {
     "a02_cppcheck": f"""{_R} select unit_id, pos, case when pos % 4 = 3 then '' else file end as file, case when pos % 4 = 3 then '' else line end as line,
@@ -165,7 +211,13 @@ ORACLES = {
       case when pos % 2 = 0 then trim(original_severity) when rule_id = 'R1' then '9.1' when pos % 3 = 0 then 'warning' else 'unknown' end as original_severity,
       case when pos % 2 = 0 then 'level' when rule_id = 'R1' then 'security-severity' when pos % 3 = 0 then 'level' end as severity_scale
       from rows where {_GOOD}""",
-    "b10_flawfinder_integrity": _bad("invalid Flawfinder SARIF", "Flawfinder report is not SARIF 2.1.0"),
+    "b10_flawfinder_integrity": _bad("invalid Flawfinder SARIF", "{}").replace("'{}'", _SARIF_FAULT),
+    "a03_notifications": f"{_R} select unit_id, 'error' as severity, 'stopped early' as message, true as fatal from rows where {_GOOD} group by 1",
+    "a04_splint_csv": f"""{_R} select unit_id, pos, file, line, col, case when pos % 2 = 0 then rule_id else 'splint-warning' end as rule_id, {_MESSAGE_CWE} as cwe,
+      message || ', see ' as message, 'unknown' as original_severity, false as is_diagnostic from rows where {_GOOD_CSV}""",
+    "b11_splint_integrity": f"""{_R} select unit_id, 'error' as severity, 'report-integrity' as category,
+      case when unit_id % 19 = 0 then 'unit did not declare a valid native report' else 'invalid Splint CSV: ' || {_CSV_FAULT} end as message
+      from rows where not ({_GOOD_CSV}) group by unit_id""",
     "a06_encoding_exclusions": f"{_R} select unit_id, file, line::bigint as byte_offset from rows",
     "a07_scanner": f"""{_R} select unit_id, pos, '<HOME>/' || file as file, line, '' as col,
       case when pos % 4 = 0 then rule_id when pos % 3 = 0 then 'buffer' else 'llm-finding' end as rule_id, cwe, message,
@@ -186,3 +238,72 @@ ORACLES = {
       case when pos % 4 = 2 then '' else col end as col, message || case pos % 4 when 0 then ' more of it and more' when 2 then ' parse error' else '' end as message,
       pos % 4 = 2 as is_diagnostic from rows where pos % 4 <> 3 and unit_id % 17 <> 0 and unit_id % 13 <> 0""",
 }
+
+
+# The whole review: what every reader's SQL gives, put together, and then the SQL of the review itself.
+_BASE = f"""{_R}, evidence as (
+  select run_id, unit_id, 'cppcheck' as tool, 'static' as engine, case when pos % 4 = 3 then '' else file end as file,
+    case when pos % 4 = 3 then '' else line end as line, case when pos % 4 = 3 then '' else col end as col, rule_id, cwe, message,
+    trim(original_severity) as original_severity, null as severity_scale, '' as declared, 'xml' as kind, pos from rows where {_GOOD}
+  union all select run_id, unit_id, 'flawfinder', 'static', file, line, col, rule_id, case when rule_id = 'R2' then 'CWE-88' else '' end, message,
+    case when pos % 2 = 0 then trim(original_severity) when rule_id = 'R1' then '9.1' when pos % 3 = 0 then 'warning' else 'unknown' end,
+    case when pos % 2 = 0 then 'level' when rule_id = 'R1' then 'security-severity' when pos % 3 = 0 then 'level' end, '', 'sarif', pos from rows where {_GOOD}
+  union all select run_id, unit_id, 'splint', 'static', file, line, col, case when pos % 2 = 0 then rule_id else 'splint-warning' end, '',
+    message || ', see ', 'unknown', null, '', 'csv', pos from rows where {_GOOD_CSV}
+  union all select run_id, unit_id, 'splint', 'static', file, line, col, 'splint-warning', '', message || case pos % 4 when 0 then ' more of it and more' else '' end,
+    'unknown', null, '', 'log', pos from rows where pos % 4 < 2 and unit_id % 17 <> 0 and unit_id % 13 <> 0
+  union all select run_id, unit_id, 'llm-security', 'llm', '<HOME>/' || file, line, '',
+    case when pos % 4 = 0 then rule_id when pos % 3 = 0 then 'buffer' else 'llm-finding' end, cwe, message, lower(trim(original_severity)), null,
+    case when pos % 3 = 0 then 'buffer' else 'unknown' end, 'json', pos from rows where {_GOOD}),
+v as (select *, 'source-only' as evidence_context from evidence),
+first as (select * from (select *, row_number() over (partition by run_id, tool, file, line, col, rule_id, message
+    order by cast(unit_id as varchar), kind, pos) as n from v) where n = 1),
+"""
+_X07 = _BASE + REVIEW[REVIEW.index("g1 as ("):].replace(_ORDER, "cast(unit_id as varchar), kind, pos").replace(
+    "cast(line as int) as line_no", "coalesce(try_cast(line as int), 2147483647) as line_no"
+).replace("lower(message)))", "lower(trim(message))))")
+_INTEGRITY = " union all ".join(
+    f"""select run_id, unit_id, '{tool}' as tool, '{severity}' as severity, '{category}' as category, case when unit_id % 19 = 0
+      then 'unit did not declare a valid native report' when unit_id % 13 = 0 then '{cut}' else {other} end as message,
+      '' as file, false as fatal, '{kind}' as kind, 0 as pos from rows where not ({_GOOD}) group by 1, 2"""
+    for tool, severity, category, cut, other, kind in (
+        ("cppcheck", "error", "report-integrity", "invalid Cppcheck XML", "'Cppcheck XML root is not results'", "xml"),
+        ("flawfinder", "error", "report-integrity", "invalid Flawfinder SARIF", _SARIF_FAULT, "sarif"),
+        ("splint", "error", "report-integrity", "invalid Splint CSV: unexpected end of data", "'invalid Splint CSV: inconsistent or truncated rows'", "csv"),
+        ("llm-security", "warning", "llm-report-integrity", "invalid LLM findings report",
+         "'invalid LLM findings report: schema_version must be an integer'", "json"),
+    )
+)
+_DIAGNOSTICS = f"""{_R}, said as ({_INTEGRITY}
+  union all select run_id, unit_id, 'flawfinder', 'error', 'tool', 'stopped early', '', true, 'sarif', 0 from rows where {_GOOD} group by 1, 2
+  union all select run_id, unit_id, 'llm-security', 'warning', 'llm-malformed', '1 model finding(s) failed validation and were dropped: finding[0]: at <HOME>/x',
+    '', false, 'json', 0 from rows where {_GOOD} and unit_id % 3 = 0 group by 1, 2
+  union all select run_id, unit_id, 'splint', 'error', 'parsing', message || ' parse error', '< Location unknown >', true, 'log', pos
+    from rows where pos % 4 = 2 and unit_id % 17 <> 0 and unit_id % 13 <> 0),
+d1 as (select * from (select *, row_number() over (partition by run_id, tool, unit_id, file, category, message order by kind, pos) as n from said) where n = 1),
+diagnostics as (select *, '' as line, row_number() over (partition by run_id order by
+    list_position(['cppcheck', 'flawfinder', 'splint', 'llm-security'], tool), not fatal, file, message, cast(unit_id as varchar), kind, pos) as sort_pos from d1)"""
+_OWN = lambda sql: sql.replace("rows as (select * from review", "seen as (select * from review").replace("from rows", "from seen")
+_COUNTED = f"""count(*) as total, count(*) filter (evidence_context = 'build-aware') as build_aware, count(*) filter (evidence_context = 'source-only') as source_only"""
+ORACLES |= {
+    "x07_u01_review_findings": f"{_X07} select {', '.join(_SEEN)}, sort_pos from review",
+    "o02_review_diagnostics": f"{_DIAGNOSTICS} select run_id, {', '.join(_SAID)}, sort_pos from diagnostics",
+    "d09_report_integrity": f"""{_DIAGNOSTICS}, u as (select run_id, 3 * count(distinct unit_id) as units from rows group by 1),
+      o as (select run_id, count(*) as omitted from diagnostics where category = 'report-integrity' group by 1)
+      select run_id, case when coalesce(omitted, 0) > 0 then 'partial' else 'complete' end as status,
+        greatest(0, units - coalesce(omitted, 0)) as included_reports, coalesce(omitted, 0) as omitted from u left join o using (run_id)""",
+    "d04_review_tools": f"""{_X07}, {_DIAGNOSTICS.removeprefix(_R + ", ")}, a as (select run_id, tool, {_COUNTED} from review group by 1, 2),
+      b as (select run_id, tool, count(*) as diagnostics from diagnostics group by 1, 2)
+      select run_id, tool, coalesce(total, 0) as total, coalesce(build_aware, 0) as build_aware, coalesce(source_only, 0) as source_only,
+        coalesce(diagnostics, 0) as diagnostics from a full join b using (run_id, tool)""",
+    "d02_review_counts": f"""{_X07} select run_id, {_COUNTED}, count(*) filter (engine = 'static') as static, count(*) filter (engine = 'llm') as llm
+      from review group by 1""",
+    "x07_review_overlap_groups": "select run_id, canonical_path, category, line_start, line_end, tools from ("
+    + _OWN(_OVERLAP_SQL.format(review=_X07, native="and engine = 'static' and line_no < 2147483647", least=2)) + ")",
+    "d28_tiles": f"""{_X07}, {_COVER.removeprefix("with ")}, m as (select run_id, count(*) filter (review_level <> 'unmapped') as mapped,
+        count(*) filter (review_level = 'unmapped') as unmapped from review group by 1),
+      c2 as (select run_id, sum(analyzed)::bigint as scanned, sum(greatest(0, total - analyzed))::bigint as pending,
+        sum(excluded + greatest(0, effective_total - analyzed))::bigint as left_out from cover group by 1)
+      select run_id, coalesce(mapped, 0) as mapped, coalesce(unmapped, 0) as unmapped, coalesce(scanned, 0) as scanned, coalesce(pending, 0) as pending,
+        coalesce(left_out, 0) as left_out from m full join c2 using (run_id)""",
+}

@@ -64,9 +64,9 @@ _ASCII = "regexp_replace({}, '[^ -~\\n]', '', 'g')"
 #: A document as bytes: sound, cut in the middle of a character, with a stray byte at its end, or at its beginning.
 _URL = """case doc_id % 6 when 0 then url when 1 then concat('http://u@h', doc_id, ':80') when 2 then concat('https://h/', doc_id, '/a@b')
   when 3 then concat('https://a:b:c@h?x=', doc_id) when 4 then concat('ftp://me:p%40w@h/', doc_id, '#f@g') else concat('h', doc_id, '/me@x') end"""
-_LINK_HEAD = F.expr("element_at(array('', 'a/../', '/', 'a b/', './', 'x//', 'javascript:'), cast(doc_id % 7 + 1 as int))")
-_BYTES = F.expr("concat(case when doc_id % 4 = 3 then x'ff' else x'' end, cast(content as binary),"
-                " case doc_id % 4 when 1 then x'e282' when 2 then x'c0af' else x'' end)")
+_LINK_HEAD = lambda: F.expr("element_at(array('', 'a/../', '/', 'a b/', './', 'x//', 'javascript:'), cast(doc_id % 7 + 1 as int))")
+_BYTES = lambda: F.expr("concat(case when doc_id % 4 = 3 then x'ff' else x'' end, cast(content as binary),"
+                " case doc_id % 4 when 1 then x'e282' when 2 then x'c0af' else x'' end)")
 
 QUERIES = {
     "b01_is_source": _select(lambda: [T.is_source(c("path")).alias("is_source"), T.language(c("path")).alias("language")]),
@@ -94,9 +94,9 @@ QUERIES = {
     "e36_location": _select(
         lambda: [T.location(c("path"), F.expr("case when doc_id % 2 = 0 then cast(doc_id as string) end"), F.expr("case when doc_id % 4 = 0 then '7' else '' end")).alias("location")]
     ),
-    "e37_safe_link": _select(lambda: [T.safe_link(F.concat(_LINK_HEAD, c("path"))).alias("safe")]),
+    "e37_safe_link": _select(lambda: [T.safe_link(F.concat(_LINK_HEAD(), c("path"))).alias("safe")]),
     "e38_endpoint": _select(lambda: [T.without_userinfo(F.expr(_URL)).alias("endpoint")]),
-    "b18_utf8": _select(lambda: [T.first_bad_byte(_BYTES).alias("first_bad_byte"), T.first_bad_byte(_BYTES).isNull().alias("valid")]),
+    "b18_utf8": _select(lambda: [T.first_bad_byte(_BYTES()).alias("first_bad_byte"), T.first_bad_byte(_BYTES()).isNull().alias("valid")]),
     "d05_suffix_counts": lambda s, d: view(s, d, "v_sources")
     .groupBy("run_id", F.lower(T.suffix(c("path"))).alias("suffix")).agg(F.count(F.lit(1)).alias("n")),
     "a01_selected": lambda s, d: view(s, d, "v_sources").where(

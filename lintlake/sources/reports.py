@@ -6,9 +6,15 @@ A malformed report costs only itself: it gives no findings and exactly one integ
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lintlake.functions import severity as S
 from lintlake.functions.text import scrub_host_paths
@@ -95,50 +101,66 @@ def xml_problem(text: Column) -> Column:
 
 
 def sarif_problem(text: Column) -> Column:
-    """Null for SARIF 2.1.0 of the expected shape; the first rule that fails is named."""
+    """Null for SARIF 2.1.0 of the expected shape in every run; the first rule that fails is named."""
     v = F.try_parse_json(text)
-    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
-    array = lambda path: F.startswith(kind(path), F.lit("ARRAY"))
-    objects = lambda path: F.startswith(kind(path), F.lit("ARRAY<OBJECT")) | (kind(path) == "ARRAY<VOID>")
-    has = lambda path: F.try_variant_get(v, path, "variant").isNotNull()
-    parsed = F.from_json(text, SARIF_SCHEMA)
-    return (
+    at = lambda x, path: F.try_variant_get(x, path, "variant")
+    kind = lambda x, path: F.coalesce(F.schema_of_variant(at(x, path)), F.lit(""))
+    has = lambda x, path: at(x, path).isNotNull()
+    is_object = lambda x, path: ~has(x, path) | F.startswith(kind(x, path), F.lit("OBJECT"))
+    is_array = lambda x, path: ~has(x, path) | F.startswith(kind(x, path), F.lit("ARRAY"))
+    of_objects = lambda x, path: ~has(x, path) | F.startswith(kind(x, path), F.lit("ARRAY<OBJECT")) | (kind(x, path) == "ARRAY<VOID>")
+    each = lambda x, path: F.coalesce(F.try_variant_get(x, path, "array<variant>"), F.array().cast("array<variant>"))
+    runs = each(v, "$.runs")
+    in_results = lambda r, ok: F.forall(each(r, "$.results"), ok)
+    in_places = lambda r, ok: in_results(r, lambda x: F.forall(each(x, "$.locations"), ok))
+    physical = lambda x: (
+        is_object(x, "$.physicalLocation") & is_object(x, "$.physicalLocation.region") & is_object(x, "$.physicalLocation.artifactLocation")
+    )
+    rules = (
+        ("results must be an array", lambda r: is_array(r, "$.results")),
+        ("results must contain objects", lambda r: of_objects(r, "$.results")),
+        ("tool must be an object", lambda r: is_object(r, "$.tool")),
+        ("driver rules must be an array of objects", lambda r: is_object(r, "$.tool.driver") & of_objects(r, "$.tool.driver.rules")),
+        ("locations must be an array of objects", lambda r: in_results(r, lambda x: of_objects(x, "$.locations"))),
+        ("physical locations must be objects", lambda r: in_places(r, physical)),
+        ("invocations must be an array of objects", lambda r: of_objects(r, "$.invocations")),
+        (
+            "notifications must be an array of objects",
+            lambda r: F.forall(each(r, "$.invocations"), lambda x: of_objects(x, "$.toolExecutionNotifications")),
+        ),
+    )
+    out = (
         F.when(v.isNull(), "invalid Flawfinder SARIF")
         .when(F.coalesce(F.try_variant_get(v, "$.version", "string"), F.lit("")) != "2.1.0", "Flawfinder report is not SARIF 2.1.0")
-        .when(~F.coalesce(objects("$.runs"), F.lit(False)), "invalid Flawfinder SARIF: runs must be an array of objects")
-        .when(has("$.runs[0].results") & ~array("$.runs[0].results"), "invalid Flawfinder SARIF: results must be an array")
-        .when(has("$.runs[0].results") & ~objects("$.runs[0].results"), "invalid Flawfinder SARIF: results must contain objects")
-        .when(has("$.runs[0].tool.driver.rules") & ~objects("$.runs[0].tool.driver.rules"), "invalid Flawfinder SARIF: driver rules must be an array of objects")
-        .when(has("$.runs[0].invocations") & ~objects("$.runs[0].invocations"), "invalid Flawfinder SARIF: invocations must be an array of objects")
-        .when(parsed["runs"].isNull(), "invalid Flawfinder SARIF: unexpected shape")
+        .when(~has(v, "$.runs") | ~of_objects(v, "$.runs"), "invalid Flawfinder SARIF: runs must be an array of objects")
     )
+    for said, sound_run in rules:
+        out = out.when(~F.forall(runs, sound_run), f"invalid Flawfinder SARIF: {said}")
+    return out.when(F.from_json(text, SARIF_SCHEMA)["runs"].isNull(), "invalid Flawfinder SARIF: unexpected shape")
 
 
-def csv_lines(text: Column) -> Column:
-    """The lines that are not blank."""
-    return F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
-
+def _csv_rows(text: str) -> tuple[list[list[str]], str | None]:
+    """Rows of a table that are not blank, or what keeps it from being read."""
+    if not text.strip() or "\0" in text:
+        return [], "report is empty or contains NUL"
+    try:
+        rows = [r for r in csv.reader(io.StringIO(text, newline=""), strict=True) if any(c.strip() for c in r)]
+    except csv.Error as error:
+        return [], str(error)
+    if not rows or len(rows[0]) < 2:
+        return [], "expected comma-separated columns"
+    return rows, "inconsistent or truncated rows" if any(len(r) != len(rows[0]) for r in rows) else None
 
-def csv_width(line: Column) -> Column:
-    """Number of cells: commas outside of quotes, and one."""
-    return F.size(F.split(F.regexp_replace(line, '"[^"]*"', ""), ",", -1))
 
-
-def csv_cells(line: Column) -> Column:
-    """The cells of a line; quotes around a cell go and doubled ones inside become one."""
-    raw = F.slice(F.regexp_extract_all(line, F.lit(r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1)), 1, csv_width(line))
-    return F.transform(raw, lambda c: F.when(c.startswith('"'), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+@F.udf(returnType=StringType(), useArrow=True)
+def _csv_said(text):
+    problem = _csv_rows(text)[1] if text is not None else None
+    return f"invalid Splint CSV: {problem}" if problem else None
 
 
 def csv_problem(text: Column) -> Column:
-    """Null for a rectangular table of at least two columns."""
-    widths = F.transform(csv_lines(text), csv_width)
-    width = F.coalesce(F.try_element_at(widths, F.lit(1)), F.lit(0))
-    return (
-        F.when((F.trim(text) == "") | F.contains(text, F.lit("\0")), "invalid Splint CSV: report is empty or contains NUL")
-        .when(width < 2, "invalid Splint CSV: expected comma-separated columns")
-        .when(F.exists(widths, lambda w: w != width), "invalid Splint CSV: inconsistent or truncated rows")
-    )
+    """Null for a rectangular table of at least two columns. A report is bounded and read in one pass."""
+    return _csv_said(text)
 
 
 def scanner_problem(text: Column) -> Column:
@@ -187,10 +209,11 @@ def first_given(values: list[tuple[Column, str]]) -> tuple[Column, Column]:
 def flawfinder(reports: DataFrame) -> DataFrame:
     """One row per result and location, with the rule's own grade where the result has none."""
     doc = sound(reports, sarif_problem(F.col("text"))).select("run_id", "unit_id", "tool", "evidence_context", F.from_json("text", SARIF_SCHEMA).alias("j"))
-    runs = doc.select("run_id", "unit_id", "tool", "evidence_context", F.explode("j.runs").alias("r"))
-    rules = F.map_from_entries(F.transform(F.coalesce("r.tool.driver.rules", F.array()), lambda x: F.struct(x["id"], x)))
-    results = runs.select("run_id", "unit_id", "tool", "evidence_context", rules.alias("rules"), F.posexplode("r.results").alias("pos", "x"))
-    rule = F.try_element_at("rules", F.col("x.ruleId"))
+    runs = doc.select("run_id", "unit_id", "tool", "evidence_context", F.posexplode("j.runs").alias("run_no", "r"))
+    rules = F.coalesce("r.tool.driver.rules", F.array())
+    results = runs.select("run_id", "unit_id", "tool", "evidence_context", "run_no", rules.alias("rules"), F.posexplode("r.results").alias("pos", "x"))
+    # Of rules with one id the last counts; rules without an id are nobody's.
+    rule = F.try_element_at(F.filter("rules", lambda r: r["id"] == F.col("x.ruleId")), F.lit(-1))
     rows = results.withColumn("rule", rule).select("*", F.posexplode_outer("x.locations").alias("loc_pos", "l"))
     prop = lambda base, key: F.try_element_at(F.col(f"{base}.properties"), F.lit(key))
     value, scale = first_given(
@@ -206,40 +229,64 @@ def flawfinder(reports: DataFrame) -> DataFrame:
         empty("l.physicalLocation.region.startLine").alias("line"), empty("l.physicalLocation.region.startColumn").alias("col"),
         empty("x.ruleId").alias("rule_id"), S.cwe_of(said).alias("cwe"), empty("x.message.text").alias("message"),
         value.alias("original_severity"), scale.alias("severity_scale"), "evidence_context",
-        is_diagnostic(F.concat_ws(" ", empty("x.ruleId"), empty("x.message.text"))).alias("is_diagnostic"), "pos", "loc_pos",
+        is_diagnostic(F.concat_ws(" ", empty("x.ruleId"), empty("x.message.text"))).alias("is_diagnostic"), "run_no", "pos", "loc_pos",
     )
 
 
+def notifications(reports: DataFrame) -> DataFrame:
+    """What the tool says of its own execution, from the first invocation of every run."""
+    doc = sound(reports, sarif_problem(F.col("text"))).select("run_id", "unit_id", "tool", "evidence_context", F.from_json("text", SARIF_SCHEMA).alias("j"))
+    runs = doc.select("run_id", "unit_id", "tool", "evidence_context", F.explode("j.runs").alias("r"))
+    first = F.try_element_at("r.invocations", F.lit(1))["toolExecutionNotifications"]
+    rows = runs.select("run_id", "unit_id", "tool", "evidence_context", F.explode(first).alias("n"))
+    level = F.coalesce("n.level", F.lit("warning"))
+    return rows.select(
+        "run_id", "unit_id", "tool", level.alias("severity"), F.lit("tool").alias("category"),
+        F.coalesce("n.message.text", F.lit("")).alias("message"), (level == "error").alias("fatal"), "evidence_context",
+    )
+
+
+# The names of the columns of a Splint table, any of which may head it.
+CSV_NAMES = {
+    "file": ("file", "filename", "path", "source"), "line": ("line", "linenumber", "line number"), "col": ("column", "col"),
+    "message": ("message", "warning", "description", "text"), "rule_id": ("rule", "rule_id"),
+}
+
+
+def _csv_findings(rows: list[list[str]]) -> Iterator[dict[str, str | int]]:
+    """Lines with a message by the names of their columns; of equal names the last one counts."""
+    head = {name.strip().lower(): i for i, name in enumerate(rows[0])}
+    for pos, row in enumerate(rows[1:]):
+        given = {
+            c: next((row[head[n]] for n in names if n in head and row[head[n]]), "") for c, names in CSV_NAMES.items()
+        }
+        if not given["message"] and len(row) >= 3:
+            given |= {"file": row[0], "line": row[1], "message": ",".join(row[2:])}
+        if given["message"]:
+            yield given | {"rule_id": given["rule_id"] or "splint-warning", "pos": pos}
+
+
+def _read_csv(batches):
+    for batch in batches:
+        out = [
+            row | {k: report[k] for k in ("run_id", "unit_id", "tool", "evidence_context")}
+            for report in batch.to_pylist()
+            for row in _csv_findings(_csv_rows(report["text"])[0])
+        ]
+        kinds = {c: batch.schema.field(c).type for c in ("run_id", "unit_id", "tool", "evidence_context")}
+        kinds |= dict.fromkeys(CSV_NAMES, pa.string()) | {"pos": pa.int32()}
+        yield pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in out], k) for c, k in kinds.items()})
+
+
 def splint_csv(reports: DataFrame) -> DataFrame:
-    """One row per line with a message, columns found by any of their names."""
-    doc = sound(reports, csv_problem(F.col("text"))).withColumn("lines", csv_lines(F.col("text")))
-    rows = doc.select(
-        "run_id", "unit_id", "tool", "evidence_context", F.element_at("lines", 1).alias("first"),
-        F.posexplode(F.slice("lines", 2, F.greatest(F.lit(0), F.size("lines") - 1))).alias("pos", "line_text"),
+    """One row per line with a message, columns found by any of their names."""
+    doc = sound(reports, csv_problem(F.col("text"))).select("run_id", "unit_id", "tool", "evidence_context", "text")
+    keys = [doc.schema[c] for c in ("run_id", "unit_id", "tool", "evidence_context")]
+    schema = StructType([*keys, *[StructField(c, StringType()) for c in CSV_NAMES], StructField("pos", IntegerType())])
+    rows = doc.mapInArrow(_read_csv, schema)
+    return rows.withColumns(
+        {"original_severity": F.lit("unknown"), "cwe": S.cwe_of(F.col("message")), "is_diagnostic": is_diagnostic(F.col("message"))}
     )
-    # Exploding one-element arrays keeps the cells and the message from being worked out anew for each use.
-    head = F.transform(csv_cells(F.col("first")), lambda h: F.lower(F.trim(h)))
-    keys = ["run_id", "unit_id", "tool", "evidence_context", "pos"]
-    rows = rows.select(*keys, F.inline(F.array(F.struct(head.alias("head"), csv_cells(F.col("line_text")).alias("cells")))))
-    named = F.map_from_arrays("head", "cells")
-    found = lambda *names: F.coalesce(*[F.nullif(F.try_element_at("m", F.lit(n)), F.lit("")) for n in names])
-    rows = rows.select(*keys, "cells", F.inline(F.array(F.struct(named.alias("m")))))
-    message = found("message", "warning", "description", "text")
-    rows = rows.select(*keys, "cells", "m", F.inline(F.array(F.struct(message.alias("said")))))
-    whole = (F.size("cells") >= 3) & F.col("said").isNull()
-    text = F.when(whole, F.array_join(F.slice("cells", 3, 100), ",")).otherwise(F.col("said"))
-    empty = lambda c: F.coalesce(c, F.lit(""))
-    cell = lambda i, *names: empty(F.when(whole, F.try_element_at("cells", F.lit(i))).otherwise(found(*names)))
-    out = rows.select(
-        *keys,
-        cell(1, "file", "filename", "path", "source").alias("file"),
-        cell(2, "line", "linenumber", "line number").alias("line"),
-        empty(found("column", "col")).alias("col"),
-        F.coalesce(found("rule", "rule_id"), F.lit("splint-warning")).alias("rule_id"),
-        F.lit("unknown").alias("original_severity"),
-        F.inline(F.array(F.struct(empty(text).alias("message")))),
-    ).where("message <> ''")
-    return out.withColumns({"cwe": S.cwe_of(F.col("message")), "is_diagnostic": is_diagnostic(F.col("message"))})
 
 
 def splint_log(logs: DataFrame) -> DataFrame:
@@ -261,7 +308,7 @@ def splint_log(logs: DataFrame) -> DataFrame:
     parts = F.array_sort(F.collect_list(F.struct("pos", "kind", "raw")))
     grouped = lines.withColumn("head", at).groupBy("run_id", "unit_id", "tool", "evidence_context", "head").agg(parts.alias("p"))
     first = F.element_at("p", 1)
-    more = F.array_join(F.transform(F.slice("p", 2, 1 << 20), lambda x: F.trim(x["raw"])), " ")
+    more = F.array_join(F.transform(F.slice("p", 2, F.size("p")), lambda x: F.trim(x["raw"])), " ")
     text = F.when(first["kind"] == "located", F.trim(F.regexp_extract(first["raw"], located, 4))).when(
         first["kind"] == "unknown", F.trim(F.regexp_extract(first["raw"], unknown, 1))
     ).otherwise(F.trim(first["raw"]))
