@@ -1,27 +1,34 @@
 """Licence scan by canonical digest lookup, in DataFrame functions only.
 
-A text is brought to a canonical form: lower case, no copyright lines, one spelling for equivalent
-words, and no punctuation or line breaks. The digest of the whole form is joined to the digests of
-known licence texts.
+A text is brought to a canonical form: lower case, no copyright lines and no title, no punctuation,
+comment marks or line breaks, and one spelling for equivalent words. The digest of the whole form is
+joined to the digests of known licence texts: those below and those in the folder ``licenses``.
 """
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lintlake.llm.scratch import documents, text_or_empty
 
-#: Lines that name a copyright holder; they differ between copies of one licence.
-COPYRIGHT_LINE = (
-    r"(?m)^[ \t*#/;-]*(?:copyright[ \t]+(?:\(c\)|©|[0-9]{4}|<|\[|\{)|\(c\)[ \t]|©|all rights reserved)[^\n]*$"
+#: A statement that names a copyright holder: to the end of its line or sentence, which differ between copies.
+COPYRIGHT = (
+    r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright|\(c\)|©)[ \t:]*(?:\(c\)|©|[0-9]{4}|<|\[|\{|by |the regents)[^\n]{0,160}?(?:[^ \t\n.]{2}\.[ \t]|$)"
+    r"|all rights reserved[^\p{L}\n]*$)"
 )
-# Spellings that count as the same word.
+#: A first line that names the licence.
+TITLE = r"\A[^\p{L}\p{N}]*[^\n]{0,70}\blicen[cs]e\b[^\n]{0,40}\n"
+#: Behind this, some licences say how to apply them, which copies often leave out.
+END = "END OF TERMS AND CONDITIONS"
+# Spellings that count as the same word, once there is no punctuation.
 SPELLINGS = (
     ("licence", "license"),
-    ("sub-license", "sublicense"),
     ("sub license", "sublicense"),
-    ("non-commercial", "noncommercial"),
+    ("non commercial", "noncommercial"),
     ("acknowledgement", "acknowledgment"),
     ("organisation", "organization"),
     ("authorisation", "authorization"),
@@ -31,7 +38,7 @@ SPELLINGS = (
     ("whilst", "while"),
     ("per cent", "percent"),
     ("copyright owner", "copyright holder"),
-    ("https://", "http://"),
+    ("https", "http"),
 )
 # Short texts of well known licences and licence notices.
 KNOWN = {
@@ -82,27 +89,57 @@ DAMAGE.""",
 }
 
 
+_THIRD_CLAUSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED"""
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of every known text; long ones also without what stands behind their terms."""
+    rows = list(KNOWN.items())
+    rows.append(("BSD-3-Clause", KNOWN["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED", _THIRD_CLAUSE, 1)))
+    for file in sorted((Path(__file__).parent / "licenses").glob("*.txt")):
+        text = file.read_text(encoding="utf-8")
+        rows.append((file.stem, text))
+        if END in text:
+            rows.append((file.stem, text.split(END)[0] + END))
+    return rows
+
+
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+    out = F.regexp_replace(out, TITLE, " ")
+    out = F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return out
 
 
-def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
+def canonical_text(text: str) -> str:
+    """The same form in plain Python."""
+    import regex
+
+    out = regex.sub(TITLE, " ", regex.sub(COPYRIGHT, " ", text.lower()))
+    out = regex.sub(r"[^\p{L}\p{N}]+", " ", out).strip(" ")
+    for old, new in SPELLINGS:
+        out = out.replace(old, new)
+    return out
+
+
+def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """license, license_digest: one row per distinct canonical text (the first name in order stays)."""
-    rows = spark.createDataFrame(list((known or KNOWN).items()), "license string, text string")
+    rows = spark.createDataFrame(known or known_texts(), "license string, text string")
     return rows.groupBy(F.sha2(canonical(F.col("text")), 256).alias("license_digest")).agg(
         F.min("license").alias("license")
     )
 
 
-def scan(spark: SparkSession, docs: DataFrame, known: dict[str, str] | None = None) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per input row: doc_id, digest, license (null: the text is none of the known ones).
 
     Null texts count as empty; a text without letters or digits has the digest of the empty form and
     no licence. A null ``doc_id`` stays, repeated rows stay, an empty table gives no rows, further
-    columns are ignored. The list of known texts is a constant of this module and is broadcast.
+    columns are ignored. The list of known texts is fixed (under 40) and its digests are broadcast.
     """
     form = canonical(text_or_empty())
     rows = docs.select("doc_id", F.sha2(form, 256).alias("digest"))
@@ -115,19 +152,58 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(spark, documents(spark, sf_dir))
 
 
+def varied() -> list[tuple[int, str, str | None]]:
+    """(id, text, licence): known texts as copies have them; the last form adds a word and is none of them."""
+    import regex
+
+    titled = regex.compile(TITLE)
+    forms = (
+        lambda t: t.upper(),
+        lambda t: ("" if titled.match(t.lower()) else "The Licence Of This Work\n\n") + "Copyright (c) 2019-2021 A. Person <a@b.c>\nAll rights reserved.\n\n" + t,
+        lambda t: "\n".join(f" * {line}" for line in t.split("\n")),
+        lambda t: t.replace("license", "licence").replace("sublicense", "sub-license"),
+        lambda t: "  ".join(t.split("\n")) if "license" not in t.lower()[:120] else t.replace("\n", "\r\n"),
+        lambda t: t + " indeed",
+    )
+    first = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in sorted(known_texts(), reverse=True)}
+    rows = []
+    for name, text in known_texts():
+        for k, form in enumerate(forms):
+            stays = first[hashlib.sha256(canonical_text(text).encode()).hexdigest()] if k < len(forms) - 1 else None
+            rows.append((-1 - len(rows), form(text), stays))
+    return rows
+
+
+def variants_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and, beside them, the known texts in varied form."""
+    rows = spark.createDataFrame([(i, t) for i, t, _ in varied()], "doc_id long, text string")
+    return scan(spark, documents(spark, sf_dir).select("doc_id", "text").unionByName(rows)).select("doc_id", "license")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def _sql_form(text: str) -> str:
-    quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    out = f"regexp_replace(lower({text}), {quoted(COPYRIGHT_LINE)}, ' ', 'g')"
+    out = f"regexp_replace(lower({text}), {_quoted(COPYRIGHT)}, ' ', 'g')"
+    out = f"regexp_replace({out}, {_quoted(TITLE)}, ' ')"
+    out = rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
     for old, new in SPELLINGS:
-        out = f"replace({out}, {quoted(old)}, {quoted(new)})"
-    return rf"trim(regexp_replace({out}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+        out = f"replace({out}, {_quoted(old)}, {_quoted(new)})"
+    return out
 
 
-_VALUES = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in KNOWN.items())
+#: The digests of known texts are those of the form in plain Python, the documents' those of the form in SQL.
+_VALUES = ", ".join(
+    f"('{name}', '{hashlib.sha256(canonical_text(text).encode()).hexdigest()}')" for name, text in known_texts()
+)
 SQL = f"""
-with known as (
-  select sha256({_sql_form("text")}) as license_digest, min(license) as license
-  from (values {_VALUES}) as t(license, text) group by 1),
+with known as (select license_digest, min(license) as license from (values {_VALUES}) as t(license, license_digest) group by 1),
 d as (select doc_id, sha256({_sql_form("coalesce(text, '')")}) as digest from documents)
 select doc_id, digest, license from d left join known on digest = license_digest
 """
+_FORMS = ", ".join(f"({i}, {_quoted(name) if name else 'null'})" for i, _, name in varied())
+VARIANTS_SQL = f"""
+with found as ({SQL}) select doc_id, license from found
+union all select * from (values {_FORMS}) as t(doc_id, license)
+"""

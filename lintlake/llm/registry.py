@@ -15,8 +15,10 @@ QUERIES = {
     "op8_chat_formatting": chat.query,
     "op9_near_dedup": near_dedup.query,
     "op10_mixing": mixing.query,
+    "license_scan_variants": license_scan.variants_query,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_license_scan": license_scan.SQL,
+    "license_scan_variants": license_scan.VARIANTS_SQL,
 }
