@@ -162,7 +162,7 @@ def varied() -> list[tuple[int, str, str | None]]:
         lambda t: ("" if titled.match(t.lower()) else "The Licence Of This Work\n\n") + "Copyright (c) 2019-2021 A. Person <a@b.c>\nAll rights reserved.\n\n" + t,
         lambda t: "\n".join(f" * {line}" for line in t.split("\n")),
         lambda t: t.replace("license", "licence").replace("sublicense", "sub-license"),
-        lambda t: "  ".join(t.split("\n")) if "license" not in t.lower()[:120] else t.replace("\n", "\r\n"),
+        lambda t: t.replace("\n", "\r\n") if regex.search("license|rights reserved", t.lower()[:200]) else "  ".join(t.split("\n")),
         lambda t: t + " indeed",
     )
     first = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in sorted(known_texts(), reverse=True)}
