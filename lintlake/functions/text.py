@@ -163,15 +163,15 @@ def canonical_path(raw: Column, source: str) -> Column:
 @F.udf(returnType=LongType(), useArrow=True)
 def _bad_byte(content):
     try:
-        bytes(content).decode("utf-8")
+        bytes(content or b"").decode("utf-8")
     except UnicodeDecodeError as error:
         return error.start
     return None
 
 
 def first_bad_byte(content: Column) -> Column:
-    """Where bytes stop being UTF-8; null if they are. Only invalid contents are looked at by Python."""
-    return F.when(content.isNotNull() & ~F.is_valid_utf8(content.cast("string")), _bad_byte(content))
+    """Where bytes stop being UTF-8; null if they are. Only invalid contents are sent to Python."""
+    return _bad_byte(F.when(~F.is_valid_utf8(content.cast("string")), content))
 
 
 def scrub_host_paths(text: Column) -> Column:

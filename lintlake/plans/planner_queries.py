@@ -28,7 +28,6 @@ def _full(s, d):
 
 
 _names = lambda c: F.array_join(F.transform(F.coalesce(c, F.array()), lambda e: e["name"]), ",")
-_PLAIN = F.lit(r"[^\x01-\x7F]")
 
 QUERIES = {
     "x03_w06_w07_segments": lambda s, d: _units(s, d).groupBy("run_id", "path", "kind").agg(

@@ -299,7 +299,7 @@ ORACLES |= {
     "d02_review_counts": f"""{_X07} select run_id, {_COUNTED}, count(*) filter (engine = 'static') as static, count(*) filter (engine = 'llm') as llm
       from review group by 1""",
     "x07_review_overlap_groups": "select run_id, canonical_path, category, line_start, line_end, tools from ("
-    + _OWN(_OVERLAP_SQL.format(review=_X07, native="and engine = 'static' and line_no < 2147483647", least=2)) + ")",
+    + _OWN(_OVERLAP_SQL).format(review=_X07, native="and engine = 'static' and line_no < 2147483647", least=2) + ")",
     "d28_tiles": f"""{_X07}, {_COVER.removeprefix("with ")}, m as (select run_id, count(*) filter (review_level <> 'unmapped') as mapped,
         count(*) filter (review_level = 'unmapped') as unmapped from review group by 1),
       c2 as (select run_id, sum(analyzed)::bigint as scanned, sum(greatest(0, total - analyzed))::bigint as pending,

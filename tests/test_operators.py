@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 from lintlake.functions import severity as S
 from lintlake.functions import text as T
 from lintlake.operators import accounting as A
+from lintlake.operators import ordering as O
+from lintlake.operators import redaction as X
 from lintlake.operators import review as R
 from lintlake.operators import spans as P
+from lintlake.operators import stored as D
+from lintlake.operators.planner import pieces, prompt, segments
 from lintlake.sources import reports
+from lintlake.sources.c_source import masked, parse
+from lintlake.sources.responses import repaired
 from lintlake.streaming import events as E
+from lintlake.streaming import stateful as S2
 
 
 def one(spark, column):
@@ -30,15 +37,20 @@ def test_severity_scales(spark):
 
 
 def test_clusters_are_anchored_at_their_first_line(spark):
-    lines = F.array(*map(F.lit, [1, 2, 5, 6, 20]))
-    assert one(spark, R.anchors(lines, F.lit(3))) == [1, 5, 20]
-    assert one(spark, R.anchors(lines, F.lit(0))) == [1, 2, 5, 6, 20]
+    import pyarrow as pa
+
+    rows = [("r", "a.c", k, line) for k in ("buffer", "unknown") for line in (1, 2, 5, 6, 20)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("run_id", "canonical_path", "category", "line_no"), r, strict=True)) for r in part]) for part in (rows[:3], rows[3:])]
+    starts = [s for b in R._anchored(iter(batches)) for s in b["line_start"].to_pylist()]
+    assert starts == [1, 1, 5, 5, 20, 1, 2, 5, 6, 20]  # the state is carried across batches
 
 
 def test_budget_skips_what_does_not_fit_and_goes_on(spark):
     df = spark.createDataFrame([("r", i, c) for i, c in enumerate([5, 9, 4, 2, 1])], "run_id string, i int, cost long")
-    got = A.admitted(df, ["run_id"], ["i"], "cost", 10, [])
+    got = A.admitted(df, ["run_id"], ["i"], {"cost": 10}, [])
     assert [r["admitted"] for r in got.orderBy("i").collect()] == [True, False, True, False, True]
+    both = A.admitted(df.withColumn("n", F.lit(1)), ["run_id"], ["i"], {"cost": 10, "n": 2}, [])
+    assert [r["refused_by"] for r in both.orderBy("i").collect()] == [None, "cost", None, "cost", "n"]
 
 
 def test_chunks_cut_after_line_feeds(spark):
@@ -94,3 +106,174 @@ def test_live_state_streams_to_the_batch_result(spark, tmp_path):
     stream = E.live_state(shape(E.event_stream(spark, path, raw.schema)))
     live = E.run_to_end(stream, str(tmp_path / "c"), "live_state")
     assert sorted(map(tuple, live.collect()), key=repr) == sorted(map(tuple, batch.collect()), key=repr)
+
+
+def test_positions_and_running_values_spread_over_ranges(spark):
+    rng = random.Random(5)
+    rows = [(f"r{rng.randrange(3)}", rng.randrange(500), i, rng.choice([None, float(rng.randrange(90))])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "run_id string, k int, i int, v double").repartition(7)
+    order = [F.col("k"), F.col("i")]
+    placed = {r["i"]: r["place"] for r in O.positions(df, "run_id", order, "place").collect()}
+    tops = {r["i"]: r["top"] for r in O.running_max(df, "run_id", order, "v", "top").collect()}
+    sums = {r["i"]: r["before"] for r in O.running_sum(df, "run_id", order, "v", "before").collect()}
+    for run in ("r0", "r1", "r2"):
+        top, total = None, 0.0
+        for n, (_, _, i, v) in enumerate(sorted((r for r in rows if r[0] == run), key=lambda r: r[1:3]), 1):
+            assert abs(sums[i] - total) < 1e-6
+            top = v if top is None else top if v is None else max(top, v)
+            total += v or 0.0
+            assert (placed[i], tops[i]) == (n, top)
+
+
+def sarif(rules, runs=""):
+    return '{"version":"2.1.0","runs":[{"tool":{"driver":{"rules":[' + rules + ']}},"results":[{"ruleId":"R","message":{"text":"m"}}]}' + runs + "]}"
+
+
+REPORT = "run_id string, unit_id long, tool string, evidence_context string, text string, valid_report boolean"
+
+
+def test_sarif_rules_that_repeat_or_have_no_id_cost_nothing(spark):
+    twice = sarif('{"id":"R","properties":{"level":"note"}},{"id":"R","properties":{"level":"error"}},{"name":"x"},{"id":null}')
+    texts = [twice, sarif("", ',{"results":7}'), sarif("", ',{"results":[{"locations":[7]}]}'), sarif("", ',{"tool":7}'), sarif("", ',{"invocations":[7]}')]
+    df = spark.createDataFrame([("r", i, "flawfinder", "source-only", t, True) for i, t in enumerate(texts)], REPORT)
+    assert [(r["unit_id"], r["original_severity"]) for r in reports.flawfinder(df).collect()] == [(0, "error")]
+    said = {r["unit_id"]: r["message"].split(": ")[1] for r in reports.integrity(df, reports.sarif_problem(F.col("text"))).collect()}
+    assert said == {
+        1: "results must be an array", 2: "locations must be an array of objects", 3: "tool must be an object",
+        4: "invocations must be an array of objects",
+    }
+
+
+def test_splint_csv_with_repeated_header_and_wide_rows(spark):
+    wide = ",".join(["File", "Line"] + ["x"] * 150) + "\n" + ",".join(["a.c", "3"] + [f"w{i}" for i in range(150)])
+    texts = ["File,File,Line,Message\nold.c,new.c,7,m\n", wide, 'a,b\n"open']
+    df = spark.createDataFrame([("r", i, "splint", "source-only", t, True) for i, t in enumerate(texts)], REPORT)
+    got = {r["unit_id"]: (r["file"], r["line"], r["message"]) for r in reports.splint_csv(df).collect()}
+    assert got == {0: ("new.c", "7", "m"), 1: ("a.c", "3", ",".join(f"w{i}" for i in range(150)))}
+
+
+def test_ignored_directories_are_pruned(spark):
+    ignored = lambda path, *rules: one(spark, T.ignored(F.lit(path), list(rules)))
+    assert ignored("buildx/a.c", "build*/")
+    assert ignored("src/gen/a.c", "gen/", "!src/gen/a.c")  # what is below an ignored directory does not come back
+    assert not ignored("src/a.c", "*.c", "!src/a.c")
+    assert ignored("x/[a].c", "[[]a].c") and ignored("q1/f.c", "q[0-9]") and not ignored("qx/f.c", "q[0-9]")
+    assert one(spark, T.left_out(F.lit("a/b/c.c"), ["a/b"])) and not one(spark, T.left_out(F.lit("ab/c.c"), ["a"]))
+
+
+def test_json_is_redacted_by_all_rules(spark):
+    text = '{"/home/ann":["/home/bob/x","C:\\\\Users\\\\eve\\\\q","D:\\\\src\\\\y",7,null],"k":"s3cr3t-value"}'
+    got = one(spark, X.json_text(F.lit(text), {"/mnt/d/src": "<SRC>"}, ["s3cr3t-value"]))
+    assert got == '{"<HOME>":["<HOME>/x","<HOME>\\\\q","<SRC>\\\\y",7,null],"k":"<SECRET>"}'
+
+
+def test_first_bad_byte(spark):
+    rows = [(b"fine \xc3\xa9", None), (b"ab\xff", 2), (b"", None), (None, None), ("é".encode() + b"\xe2\x82", 2)]
+    df = spark.createDataFrame(rows, "content binary, want long")
+    assert all(r["got"] == r["want"] for r in df.withColumn("got", T.first_bad_byte(F.col("content"))).collect())
+
+
+SOURCE = """/* a { " */
+#include <x.h>
+#include "y.h"
+#define LIM 3
+#define MIN(a,b) \\
+  ((a)<(b))
+typedef struct it { int x; } it_t;
+extern int proto(int a);
+static int g = 3, h[2];
+#ifdef A
+static int f(int a, char *b)
+{ if (a) { log("} // x"); return proto(a); } return 1'000; }
+#elif 0
+int gone(void) { return 1; }
+#else
+int fb(void) noexcept { return MIN(1, LIM); }
+#endif
+int old(a, b)
+int a; char *b;
+{ return a; }
+Foo::Foo(int a) : x(a), y(b) { go(); }
+const char *s = R"x(abc " ; })x";
+"""
+
+
+def test_index_of_one_file():
+    got = parse(SOURCE)
+    assert [(f["name"], f["line_start"], f["conditional"], f["kr_style"], f["calls"]) for f in got["functions"]] == [
+        ("f", 11, "#ifdef A", False, ["log", "proto"]), ("fb", 16, "#else", False, ["MIN"]), ("old", 18, "", True, []), ("Foo::Foo", 21, "", False, ["go"]),
+    ]
+    for f in got["functions"]:
+        assert SOURCE[f["body_start"]] == "{" and SOURCE[f["end_byte"] - 1] == "}"
+    assert [(t["name"], t["kind"]) for t in got["types"] + got["globals"]] == [("it_t", "typedef"), ("proto", "prototype"), ("g", "global"), ("s", "global")]
+    assert [(m["name"], m["function_like"]) for m in got["macros"]] == [("LIM", False), ("MIN", True)]
+    assert [(i["target"], i["system"]) for i in got["includes"]] == [("x.h", True), ("y.h", False)]
+    assert [(a["kind"], a["depth"], a["dead"]) for a in got["conditionals"]] == [("ifdef", 0, False), ("elif", 0, True), ("else", 0, False)]
+    assert got["parse_problems"] == [] and got["parse_confidence"] == round(1 - 0.3 / 4, 4)
+
+
+def test_masking_keeps_every_offset():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(['"', "'", "/*", "*/", "//", "\\", "\n", "a", "1", "R\"(", ")\"", "{", "}", ";", "#if 0\n", "#endif\n"]) for _ in range(40))
+        plain, _ = masked(text)
+        assert len(plain) == len(text)
+        assert [i for i, c in enumerate(plain) if c == "\n"] == [i for i, c in enumerate(text) if c == "\n"]
+        parts = segments(text, (got := parse(text))["functions"], got["unparsed_from"])
+        spans = [span for kind, a, b, _ in parts for span in pieces(text, a, b, kind, 16)]
+        assert [a for a, _ in spans] == [0, *(b for _, b in spans)][:-1] and (not text or spans[-1][1] == len(text))
+
+
+def test_broken_answers_are_repaired():
+    find = lambda text: (repaired(text)[0], repaired(text)[1])
+    one_ = {"file": "f", "message": "m"}
+    import json
+
+    plain = json.dumps({"findings": [one_]})
+    for text in (plain, f"so\n```json\n{plain}\n```\nok", f"```json\n{plain}", f"I {{think}} {plain} so", plain[:-2] + ",],}", json.dumps(one_),
+                 json.dumps({"a": {"b": {"findings": [one_]}}}), json.dumps([one_])):
+        assert find(text) == ([one_], None), text
+    assert find("") == (None, "empty response") and find("7") == (None, "response is not a JSON object or array")
+    assert find('{"a":1}') == (None, "response has no findings array")
+    assert find("nothing [here") == (None, "no JSON object or array found in the response")
+
+
+def test_prompts_hold_the_source_and_the_budget():
+    unit = {
+        "unit_id": "u", "path": "a.c", "kind": "function", "name": "f", "line_start": 9, "line_end": 10, "risk_tier": "medium", "conditional": "#if A",
+        "parse_confidence": 1.0, "source": "int f(void)\n{}", "types": [], "macros": None, "globals": [{"name": "g", "definition": "int g;"}],
+        "callees": [{"name": f"c{i}", "signature": f"int c{i}(void) {{ body", "summary": "s " * 90} for i in range(8)], "callers": None,
+    }
+    text = prompt(unit)
+    assert " 9 | int f(void)\n10 | {}" in text and "body" not in text and "int g;" not in text
+    assert text.count("- `int c") == 6 and "(2 further context entries omitted: context budget)" in text
+    critical = prompt(unit | {"risk_tier": "critical"})
+    assert "### Globals\n```c\nint g;" in critical and critical.count("- `int c") == 8
+
+
+def test_log_stream_keeps_the_last_of_all_batches(spark, tmp_path):
+    rows = [(i, i % 3, f"r{i % 2}") for i in range(60)]
+    path = str(tmp_path / "in")
+    for k in range(0, 60, 20):
+        spark.createDataFrame(rows[k : k + 20], "event_id long, ts long, run_id string").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("event_id long, ts long, run_id string").option("maxFilesPerTrigger", 1).parquet(path)
+    got = S2.log_stream(stream, 5)
+    want = E.bounded_log(spark.read.parquet(path), 5)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_progress_never_falls_across_batches(spark, tmp_path):
+    path = str(tmp_path / "p")
+    schema = "event_id long, ts long, run_id string, progress double"
+    for part in ([(0, 0, "r", 0.5)], [(1, 1, "r", 0.2), (2, 2, "r", None)], [(3, 3, "r", 0.9)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = {r["event_id"]: r["shown"] for r in S2.collected(S2.progress_stream(stream)).collect()}
+    assert got[2] is not None and got[3] >= got[0] and max(got.values()) == 0.9
+
+
+def test_include_flags(spark):
+    command = "cc -Iinc -I /abs -isystem sys -DX=1 -D 'Y=a b' -U Z -include pre.h -O2 -iquoteq -c f.c"
+    flags = one(spark, D.include_flags(F.lit(None).cast("array<string>"), F.lit(command), F.lit("/w")))
+    assert flags == ["-I/w/inc", "-I/abs", "-I/w/sys", "-DX=1", "-DY=a b", "-UZ", "-I/w/q"]
+    assert one(spark, D.include_flags(F.lit(None).cast("array<string>"), F.lit("cc 'open"), F.lit("/w"))) == []

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from lintlake.functions.text import HOST_PATHS, KEYWORDS, UNC
+from lintlake.functions.text import HOST_PATHS, KEYWORDS, LEAKED_PATHS, UNC
 from lintlake.plans import registry
 
 LATE = {
@@ -26,13 +26,14 @@ def path(d):
 def note(d):
     return (
         (LATE[d] or "") + f" at /home/user{d % 7}/p/{path(d)}" + (f" and C:\\Users\\bob{d % 5}\\x.c" if d % 3 == 0 else "")
-        + (" and /mnt/c/x/Users/ann/y" if d % 5 == 0 else "") + (" key s3cr3t-value /work/src/main.c" if d % 4 == 0 else "")
+        + (" and /mnt/c/x/Users/ann/y" if d % 5 == 0 else "") + (" on \\\\srv1\\share$\\x" if d % 6 == 1 else "")
+        + (" in D:\\work\\src\\m.c" if d % 8 == 3 else "") + (" key s3cr3t-value /work/src/main.c" if d % 4 == 0 else "")
     )
 
 
 def redacted(d):
     text, n = note(d), Counter()
-    for rule, literal, token in (("secret_value", "s3cr3t-value", "<SECRET>"), ("prefix", "/work/src", "<SRC>"), ("prefix", "/work", "<ROOT>")):
+    for rule, literal, token in (("secret_value", "s3cr3t-value", "<SECRET>"), ("prefix", "D:\\work\\src", "<SRC>"), ("prefix", "/work/src", "<SRC>"), ("prefix", "/work", "<ROOT>")):
         n[rule] += text.count(literal)
         text = text.replace(literal, token)
     for rule, pattern, token in (
@@ -92,11 +93,11 @@ def test_redaction_reads_whole_documents(got):
     assert {r["doc_id"]: (r["note"], *(r[f"n_{x}"] for x in rules)) for r in got("e26_redacted_whole")} == want
     totals = sum((redacted(d)[1] for d in LATE), Counter())
     assert {r["rule"]: r["n"] for r in got("d24_redaction_report_whole")} == {r: totals[r] for r in rules}
-    assert totals["unc_pattern"] == 1
+    assert totals["unc_pattern"] == 2
     leaks = Counter()
     for d in LATE:
         leaks[d, "secret_value"] += "s3cr3t-value" in note(d)
-        leaks[d, "dynamic_prefix"] += ("/work/src" in note(d)) + ("/work" in note(d))
-        leaks[d, "sensitive_path_pattern"] += sum(bool(re.search(p, note(d))) for p in ("(?i)" + HOST_PATHS[0], *HOST_PATHS[1:], UNC))
+        leaks[d, "dynamic_prefix"] += ("/work/src" in note(d)) + ("/work" in note(d)) + ("D:\\work\\src" in note(d))
+        leaks[d, "sensitive_path_pattern"] += sum(bool(re.search(p, note(d))) for p in ("(?i)" + LEAKED_PATHS[0], *LEAKED_PATHS[1:], UNC))
     assert {(r["doc_id"], r["leak"]): r["n"] for r in got("b17_leaks_whole")} == +leaks
     assert got("b17_no_leaks_left_whole") == []
