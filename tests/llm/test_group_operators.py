@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 import numpy as np
 from pyspark.sql import functions as F
 
-from lintlake.llm import ann, mixing, near_dedup
+from lintlake.llm import ann, mixing, near_dedup, quality, vocab
 from lintlake.llm.components import components
 from tests.llm.cases import LOREM, empty, hard, rows_of, words
 
@@ -236,14 +236,80 @@ def test_pivotal_rounding_keeps_expectation_and_sum():
     assert np.abs(mean / 4000 - 0.3).max() < 0.04
 
 
-def test_pipeline_stages(spark):
+def plain_exact(rows):
+    """Of equal texts the row with most code points, then the smallest id."""
+    best = {}
+    for r in rows:
+        key = "".join(c for c in r["text"] or "" if c not in " \t\n\x0b\x0c\r")
+        rank = (-len(r["text"] or ""), r["doc_id"])
+        if key not in best or rank < best[key][0]:
+            best[key] = (rank, r)
+    return [r for _, r in best.values()]
+
+
+def test_pipeline_stages_equal_plain_versions(spark):
+    """Every stage on what the one before it left: exact and near duplicates and targets against plain versions."""
     import corpus_pipeline
 
+    sf = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "exact dedup", "near dedup", "mixing", "packing"]
-    got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").cache()
-    assert got.count() > 0
-    doubled = got.where("start = 0").groupBy("doc_id").count().where("count > 2").count()
-    assert doubled == 0
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    good = stages[0](spark, docs, sf).cache()
+    scores = {r["doc_id"]: r["score"] for r in quality.classify(spark, docs, labels).collect()}
+    whole = {r["doc_id"]: r for r in docs.collect()}
+    assert {r["doc_id"]: r for r in good.collect()} == {i: r for i, r in whole.items() if scores[i] >= quality.THRESHOLD}
+    distinct = stages[1](spark, good, sf).cache()
+    rows = plain_exact(good.collect())
+    assert sorted(distinct.collect()) == sorted(rows)
+    single = stages[2](spark, distinct, sf).cache()
+    roots = brute_components({r["doc_id"]: r["text"] for r in rows})
+    kept = [r for r in rows if roots[r["doc_id"]][1] == r["doc_id"]]
+    assert sorted(single.collect()) == sorted(kept)
+    mixed = stages[3](spark, single, sf).cache()
+    sizes, taken = Counter(), Counter()
+    for r in kept:
+        sizes[r["source"]] += len(words(r["text"]))
+    copies = Counter(r["doc_id"] for r in mixed.collect())
+    longest = Counter()
+    for r in kept:
+        n = len(words(r["text"]))
+        taken[r["source"]] += n * copies[r["doc_id"]]
+        longest[r["source"]] = max(longest[r["source"]], n)
+    want = plain_targets(dict(sizes), mixing.WEIGHTS, mixing.EPOCHS * sum(sizes.values()))
+    assert max(copies.values()) <= 2 and set(copies) <= {r["doc_id"] for r in kept}
+    assert all(abs(taken[s] - want[s]) <= longest[s] for s in sizes)
+    tokenizer = vocab.load(vocab.tokenizer_path("word_bpe_49k.json"))
+    ids = {r["doc_id"]: len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in kept}
+    covered = Counter()
+    for r in stages[4](spark, mixed, sf).collect():
+        covered.update((r["doc_id"], at) for at in range(r["start"], r["start"] + r["length"]))
+    assert covered == Counter({(d, at): n for d, n in copies.items() for at in range(ids[d])})
+    assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_small_sets_lose_no_links():
+    """At exactly three quarters, pairs of few shingles share a band and pass the estimate, as the larger ones do."""
+    rng = np.random.default_rng(6)
+    lost = Counter()
+    for size in (4, 8, 16, 32, 64):
+        for _ in range(400):
+            both = rng.integers(1, 1 << 63, size).astype(np.uint64)
+            a, b = np.sort(both), np.sort(both[: size * 3 // 4])
+            r = near_dedup.small_registers([a, b]).reshape(2, -1, near_dedup.BAND_ROWS)
+            close = ((r[0] == r[1]).mean() - near_dedup.COLLISION) / (1 - near_dedup.COLLISION) >= near_dedup.LEAST_ESTIMATE
+            lost[size] += not (close and (r[0] == r[1]).all(axis=1).any())
+    assert sum(lost.values()) <= 1, lost
+
+
+def test_distances_that_overflow_are_found(spark):
+    rows = [(0, [1e300, 0.0]), (1, [-1e300, 0.0]), (2, [0.0, 1e300]), (3, [1e-200, 1e-200]), (4, [2e-200, 1e-200])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(rows_of(ann.nearest(spark, table, F.col("vec_id") == 0, k=4)), key=lambda r: r["rank"])
+    assert [r["vec_id"] for r in got] == [3, 4, 2, 1] and abs(got[-1]["score"] / 2e300 - 1) < 1e-12
+    tiny = rows_of(ann.nearest(spark, table.where("vec_id > 2"), F.col("vec_id") == 3, k=1))
+    assert abs(tiny[0]["score"] / 1e-200 - 1) < 1e-12
 
 
 def test_lorem_is_long_enough():
