@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -134,8 +136,14 @@ def _stored(s, d):
     return out
 
 
+@lru_cache(maxsize=1)
+def _review(s, d):
+    """The review of a folder of tables, which the queries of one session share: its tables are written once."""
+    return X.Review(_stored(s, d), "/work/src")
+
+
 def _full(table, *columns):
-    return lambda s, d: getattr(X.Review(_stored(s, d), "/work/src"), table).select(*columns)
+    return lambda s, d: getattr(_review(s, d), table).select(*columns)
 
 
 _SAID = ("unit_id", "tool", "severity", "category", "message", "file", "line", "fatal")
@@ -144,7 +152,7 @@ _SEEN = ("run_id", "unit_id", "tool", "engine", "canonical_path", "line", "col",
 
 def _tiles(s, d):
     units = view(s, d, "v_units")
-    return X.tiles(X.Review(_stored(s, d), "/work/src").graded, A.tool_coverage(units, "run_id", "producer"))
+    return X.tiles(_review(s, d).graded, A.tool_coverage(units, "run_id", "producer"))
 
 
 QUERIES = {

@@ -73,8 +73,14 @@ def evidence_context(tool: Column, unit_id: Column, scope: Column, declared: Col
     return F.when(declared.isin("build-aware", "source-only"), declared).when(implied, "build-aware").otherwise("source-only")
 
 
+def _known(reports: DataFrame, problem: Column) -> Column:
+    """What is wrong with a report: its column ``problem`` where it has been checked already."""
+    return F.col("problem") if "problem" in reports.columns else problem
+
+
 def integrity(reports: DataFrame, problem: Column, category: str = "report-integrity") -> DataFrame:
     """One diagnostic for each report that is undeclared, missing or malformed."""
+    problem = _known(reports, problem)
     declared = F.col("valid_report") if "valid_report" in reports.columns else F.lit(True)
     reason = (
         F.when(~F.coalesce(declared, F.lit(False)), "unit did not declare a valid native report")
@@ -90,7 +96,7 @@ def integrity(reports: DataFrame, problem: Column, category: str = "report-integ
 
 def sound(reports: DataFrame, problem: Column) -> DataFrame:
     declared = F.col("valid_report") if "valid_report" in reports.columns else F.lit(True)
-    return reports.where(F.coalesce(declared, F.lit(False)) & F.col("text").isNotNull() & problem.isNull())
+    return reports.where(F.coalesce(declared, F.lit(False)) & F.col("text").isNotNull() & _known(reports, problem).isNull())
 
 
 def xml_problem(text: Column) -> Column:
@@ -100,9 +106,9 @@ def xml_problem(text: Column) -> Column:
     return F.when(root != "results", "Cppcheck XML root is not results").when(broken, "invalid Cppcheck XML")
 
 
-def sarif_problem(text: Column) -> Column:
+def sarif_problem(text: Column, parsed: Column | None = None) -> Column:
     """Null for SARIF 2.1.0 of the expected shape in every run; the first rule that fails is named."""
-    v = F.try_parse_json(text)
+    v = F.try_parse_json(text) if parsed is None else parsed
     at = lambda x, path: F.try_variant_get(x, path, "variant")
     kind = lambda x, path: F.coalesce(F.schema_of_variant(at(x, path)), F.lit(""))
     has = lambda x, path: at(x, path).isNotNull()
@@ -163,9 +169,9 @@ def csv_problem(text: Column) -> Column:
     return _csv_said(text)
 
 
-def scanner_problem(text: Column) -> Column:
+def scanner_problem(text: Column, parsed: Column | None = None) -> Column:
     """Null for a scanner report whose findings all have a message."""
-    v = F.try_parse_json(text)
+    v = F.try_parse_json(text) if parsed is None else parsed
     kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(""))
     parsed = F.from_json(text, SCANNER_SCHEMA)
     said = F.forall(parsed["findings"], lambda f: F.trim(F.coalesce(f["message"], F.lit(""))) != "")
