@@ -24,16 +24,21 @@ OVERLAP_LINES = 3
 def first_of_each(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...] = INGEST) -> DataFrame:
     """The first row of each key within its run; the key holds the tool, so producers never merge.
 
-    Most keys occur once. Their rows pass as they are: a sum over hashes of keys tells the others, and
-    only rows of keys that repeat are shuffled and put in order.
+    ``order`` is where a row stood, so no two rows share it. Most keys occur once and pass as they are: a
+    sum over hashes of keys tells the others, and only rows of keys that repeat are shuffled and put in
+    order, to find the later copies that go.
     """
     hashed = rows.withColumn("key_hash", F.xxhash64("run_id", *key))
     counts = hashed.groupBy("key_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key_hash")
     repeated = keep(counts, "repeated-keys")
-    repeated = F.broadcast(repeated) if repeated.count() <= BROADCAST_ROWS else repeated
+    n = repeated.count()
+    if not n:
+        return rows
+    small = lambda df, size: F.broadcast(df) if size <= BROADCAST_ROWS else df
     place = F.row_number().over(W.partitionBy("run_id", *key).orderBy(*order))
-    firsts = hashed.join(repeated, "key_hash", "left_semi").withColumn("place", place).where("place = 1").drop("place")
-    return hashed.join(repeated, "key_hash", "left_anti").unionByName(firsts).drop("key_hash")
+    members = hashed.join(small(repeated, n), "key_hash", "left_semi").withColumn("place", place)
+    later = keep(members.where("place > 1").select("key_hash", *order), "later-copies")
+    return hashed.join(small(later, later.count()), ["key_hash", *order], "left_anti").drop("key_hash")
 
 
 def graded(findings: DataFrame, paths: bool = True) -> DataFrame:
