@@ -151,10 +151,10 @@ def _positions(grams: np.ndarray, level: int, bits: int):
         yield (((low + _U(i) * step) & _U(0xFFFFFFFF)) * _U(bits)) >> _HALF
 
 
-def build_bits(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def build_bits(grams: np.ndarray, counts: np.ndarray, bits_per_entry: int = BITS_PER_ENTRY) -> np.ndarray:
     """The filter of one shard, as packed bits."""
     levels = level_of(counts)
-    n_bits = -(-int(levels.sum()) * BITS_PER_ENTRY // 8) * 8 + 64
+    n_bits = -(-int(levels.sum()) * bits_per_entry // 8) * 8 + 64
     cells = np.zeros(n_bits, bool)
     for level in range(1, int(levels.max()) + 1):
         for at in _positions(grams[levels >= level], level, n_bits):
@@ -165,7 +165,11 @@ def build_bits(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 TABLES = "shard int, words binary, word_counts binary, n_words long, total long, mass double, bits binary, fill double"
 
 
-def _build_shard(table: pa.Table) -> pa.Table:
+def _build_shard(bits_per_entry: int):
+    return lambda table: _shard_tables(table, bits_per_entry)
+
+
+def _shard_tables(table: pa.Table, bits_per_entry: int) -> pa.Table:
     def summed(order: int) -> tuple[np.ndarray, np.ndarray]:
         rows = table.filter(pc.equal(table["gram_order"], order))
         grams = np.concatenate([unpack(g.as_py(), DROPPED[order]) for g in rows["grams"]] or [np.empty(0, _U)])
@@ -177,7 +181,7 @@ def _build_shard(table: pa.Table) -> pa.Table:
 
     words, word_counts = summed(1)
     pairs, pair_counts = summed(2)
-    bits = build_bits(np.concatenate((words, pairs)), np.concatenate((word_counts, pair_counts)))
+    bits = build_bits(np.concatenate((words, pairs)), np.concatenate((word_counts, pair_counts)), bits_per_entry)
     return pa.table(
         {
             "shard": pa.array([table["shard"][0].as_py()], pa.int32()),
@@ -330,6 +334,7 @@ def lm_scores(
     shard_bytes: int = SHARD_BYTES,
     chunk_bytes: int = CHUNK_BYTES,
     pair_weight: float = PAIR_WEIGHT,
+    bits_per_entry: int = BITS_PER_ENTRY,
 ) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -347,7 +352,7 @@ def lm_scores(
     grams = rows.where("not held_out").select("text").mapInArrow(
         _count_grams(shards), "gram_order int, shard int, grams binary, counts binary"
     )
-    tables = keep(grams.groupBy("shard").applyInArrow(_build_shard, TABLES), "lm-tables")
+    tables = keep(grams.groupBy("shard").applyInArrow(_build_shard(bits_per_entry), TABLES), "lm-tables")
     release(spark)
     sums = tables.agg(F.sum("total"), F.sum("n_words"), F.sum("mass"), F.avg("fill")).first()
     total, n_words, mass, fill = sums[0] or 0, sums[1] or 0, sums[2] or 0.0, sums[3] or 0.0
