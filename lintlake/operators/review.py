@@ -76,7 +76,7 @@ def reviewed(findings: DataFrame) -> DataFrame:
 
 def ordered(review: DataFrame) -> DataFrame:
     """Findings with their place ``sort_pos`` in the run's total order."""
-    return positions(review, "run_id", total_order(), "sort_pos")
+    return positions(keep(review, "graded"), "run_id", total_order(), "sort_pos")  # ranges read their rows twice
 
 
 def order_key(*first: Column, ingest: tuple[str, ...] = INGEST) -> Column:
