@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lintlake.functions import severity as S
-from lintlake.operators.ordering import BROADCAST_ROWS, keep, positions
+from lintlake.operators.ordering import keep, positions
 
 #: The row order of a report, which decides between duplicates and ends every tie.
 INGEST = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -24,21 +24,13 @@ OVERLAP_LINES = 3
 def first_of_each(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...] = INGEST) -> DataFrame:
     """The first row of each key within its run; the key holds the tool, so producers never merge.
 
-    ``order`` is where a row stood, so no two rows share it. Most keys occur once and pass as they are: a
-    sum over hashes of keys tells the others, and only rows of keys that repeat are shuffled and put in
-    order, to find the later copies that go.
+    ``order`` is where a row stood; of rows that share even that, one stays. Each task keeps one row of a key
+    before rows are shuffled, so a key of any frequency is a few rows. Rows are sorted by a hash first, which
+    is one number, and by the key itself only where hashes meet.
     """
+    place = F.row_number().over(W.partitionBy("key_hash", "run_id", *key).orderBy(*order))
     hashed = rows.withColumn("key_hash", F.xxhash64("run_id", *key))
-    counts = hashed.groupBy("key_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key_hash")
-    repeated = keep(counts, "repeated-keys")
-    n = repeated.count()
-    if not n:
-        return rows
-    small = lambda df, size: F.broadcast(df) if size <= BROADCAST_ROWS else df
-    place = F.row_number().over(W.partitionBy("run_id", *key).orderBy(*order))
-    members = hashed.join(small(repeated, n), "key_hash", "left_semi").withColumn("place", place)
-    later = keep(members.where("place > 1").select("key_hash", *order), "later-copies")
-    return hashed.join(small(later, later.count()), ["key_hash", *order], "left_anti").drop("key_hash")
+    return hashed.withColumn("key_place", place).where("key_place = 1").drop("key_hash", "key_place")
 
 
 def graded(findings: DataFrame, paths: bool = True) -> DataFrame:

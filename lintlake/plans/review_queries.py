@@ -142,10 +142,19 @@ def _drill_down(review):
     return _shown(review.join(members, ["run_id", "fingerprint"], "left_semi"))
 
 
+def _thrice(rows):
+    """The table read three times: every row shares its place with two copies of itself."""
+    return rows.withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).drop("copy")
+
+
 QUERIES = {
     "u01_w01_first_findings": lambda s, d: R.first_of_each(view(s, d, "v_findings"), R.FINDING_KEY).select(
         *_FINDING_FIELDS.split(", ")
     ),
+    "w01_repeated_findings": lambda s, d: R.first_of_each(_thrice(view(s, d, "v_findings")), R.FINDING_KEY).select(
+        *_FINDING_FIELDS.split(", ")
+    ),
+    "d03_repeated_findings": lambda s, d: R.tool_summary(R.reviewed(_thrice(view(s, d, "v_findings")))),
     "e02_severity": lambda s, d: R.graded(view(s, d, "v_findings"))
     .groupBy("tool", "original_severity", "severity_scale", "severity", "rank")
     .agg(F.count(F.lit(1)).alias("n")),
@@ -212,6 +221,10 @@ ORACLES = {
     "a16_markdown": f"""{REVIEW} select run_id, string_agg({_MARK}, chr(10) order by sort_pos) as findings
         from review where sort_pos <= 50 group by 1""",
 }
+_THRICE = REVIEW.replace("from v)", "from (select v.* from v cross join range(3)))", 1)
+assert _THRICE != REVIEW
+ORACLES["w01_repeated_findings"] = f"{_THRICE} select {_FINDING_FIELDS} from first"
+ORACLES["d03_repeated_findings"] = ORACLES["d03_tool_summary"].replace(REVIEW, _THRICE)
 ORACLES["d19_tool_chart"] = ORACLES["d03_tool_summary"]
 _inner = _OVERLAP_SQL.format(review="", native="and engine = 'static'", least=2).lstrip(", \n")
 _ctes, _, _final = _inner.partition("\nselect run_id, substr")

@@ -12,6 +12,7 @@ from lintlake.operators import redaction as X
 from lintlake.operators import review as R
 from lintlake.operators import spans as P
 from lintlake.operators import stored as D
+from lintlake.operators.full_review import Review
 from lintlake.operators.planner import pieces, prompt, segments
 from lintlake.sources import reports
 from lintlake.sources.c_source import masked, parse
@@ -45,6 +46,23 @@ def test_clusters_are_anchored_at_their_first_line(spark):
     assert starts == [1, 1, 5, 5, 20, 1, 2, 5, 6, 20]  # the state is carried across batches
 
 
+def test_repeated_rows_keep_one_copy(spark):
+    row = ("r", 1, "cppcheck", "source-only", "a.c", "1", "", "R", "m")
+    names = "run_id string, place long, tool string, evidence_context string, file string, line string, col string, rule_id string, message string"
+    df = spark.createDataFrame([row, row, (*row[:1], 0, *row[2:]), (*row[:-1], None), (*row[:-1], None)], names)
+    got = R.first_of_each(df, R.FINDING_KEY, ("place",))
+    assert sorted((r["place"], r["message"] or "") for r in got.collect()) == [(0, "m"), (1, "")]
+    assert got.columns == df.columns
+    assert R.first_of_each(df.where("false"), R.FINDING_KEY, ("place",)).count() == 0
+
+
+def test_a_report_stored_twice_keeps_its_findings(spark):
+    text = '<results><errors><error id="a" msg="m CWE-12" severity="style"/></errors></results>'
+    row = ("r", 1, "cppcheck", "xml", "source-only", text, True)
+    names = "run_id string, unit_id long, tool string, kind string, evidence_context string, text string, valid_report boolean"
+    assert Review(spark.createDataFrame([row, row], names), "/work/src").findings.count() == 1
+
+
 def test_budget_skips_what_does_not_fit_and_goes_on(spark):
     df = spark.createDataFrame([("r", i, c) for i, c in enumerate([5, 9, 4, 2, 1])], "run_id string, i int, cost long")
     got = A.admitted(df, ["run_id"], ["i"], {"cost": 10}, [])
