@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.llm import ann, chat, exact_dedup, license_scan, lm_scoring, mixing, near_dedup, packing, quality, token_counts
+from lintlake.llm import ann, chat, exact_dedup, filter_audit, license_scan, lm_scoring, mixing, near_dedup, packing, quality, token_counts
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_chat_formatting": chat.query,
     "op9_near_dedup": near_dedup.query,
     "op10_mixing": mixing.query,
+    "op11_filter_audit": filter_audit.query,
     "license_scan_variants": license_scan.variants_query,
 }
 ORACLES = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_license_scan": license_scan.SQL,
+    "op11_filter_audit": filter_audit.SQL,
     "license_scan_variants": license_scan.VARIANTS_SQL,
 }
