@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.llm import ann, chat, exact_dedup, filter_audit, license_scan, lm_scoring, mixing, near_dedup, packing, quality, token_counts
+from lintlake.llm import ann, chat, exact_dedup, filter_audit, license_scan, lm_scoring, mixing, near_dedup, packing, periodic_runs, quality, token_counts
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_near_dedup": near_dedup.query,
     "op10_mixing": mixing.query,
     "op11_filter_audit": filter_audit.query,
+    "op12_periodic_runs": periodic_runs.query,
     "license_scan_variants": license_scan.variants_query,
 }
 ORACLES = {

@@ -1,12 +1,16 @@
 """Filter audit, periodic runs and toxicity against plain versions."""
 
+import hashlib
+import random
 import re
+import zlib
 from collections import Counter
 from itertools import permutations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from lintlake.llm import filter_audit
+from lintlake.llm import filter_audit, periodic_runs
 from tests.llm.cases import SCHEMA, empty, hard, hard_rows, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -73,3 +77,104 @@ def test_audit_of_documents(spark):
     assert len(last) == len(total)  # what is left at the end is the same in every order
     for g in got:
         assert g["unique_fails"] <= g["removed"] <= total[g["part"]] and g["redundant"] >= 0
+
+
+def plain_runs(ids):
+    """Every run of a sequence, by trying every period."""
+    ids, out = np.asarray(ids), []
+    n = len(ids)
+    for q in range(1, n // 3 + 1):
+        equal = np.concatenate(([False], ids[:-q] == ids[q:], [False])).astype(np.int8)
+        edge = np.diff(equal)
+        for s, e in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + q).tolist(), strict=True):
+            least = not any((ids[s : e - r] == ids[s + r : e]).all() for r in range(1, q))
+            if e - s >= max(24, 3 * q) and least:
+                out.append((s, e - s, q))
+    return sorted(out)
+
+
+def sequences():
+    rng = random.Random(5)
+    for _ in range(150):
+        n, k = rng.randrange(20, 220), rng.choice([1, 2, 2, 3, 5])
+        w = [rng.randrange(k) for _ in range(n)]
+        for _ in range(rng.randrange(4)):
+            a = rng.randrange(n)
+            p = 1 + rng.randrange(max(1, (n - a) // 3))
+            for i in range(a + p, min(n, a + rng.randrange(p, n + 1))):
+                w[i] = w[i - p]
+        yield w
+    x, y = [0], [1]
+    for _ in range(7):  # words whose polynomial hashes modulo powers of two are equal
+        x, y = x + y, y + x
+    yield x * 3
+    a, b = [0], [0, 1]
+    for _ in range(11):  # overlapping runs of many periods
+        a, b = b, b + a
+    yield b
+    yield [0] * 23
+    yield [0, 1, 2, 3, 4, 5, 6, 7] * 3
+
+
+def test_runs_are_those_of_all_periods_however_words_are_appended():
+    found = 0
+    for i, w in enumerate(sequences()):
+        want, ids = plain_runs(w), np.array(w, np.int64)
+        found += len(want)
+        for step in (1, 7, 64, 5000) if i % 5 == 0 else (13, 5000):
+            assert periodic_runs.runs_of(ids, step) == want
+    assert found > 100
+
+
+def test_long_runs_take_few_steps():
+    for w, want in (
+        (np.zeros(200_000, np.int64), [(0, 200_000, 1)]),
+        (np.tile(np.arange(1000), 200), [(0, 200_000, 1000)]),
+        (np.concatenate((np.arange(50_000), np.tile(np.arange(7), 9), np.arange(50_000))), [(50_000, 70, 7)]),
+    ):
+        assert periodic_runs.runs_of(w) == want
+
+
+def plain_summary(doc_id, text):
+    w = WORD.findall(text or "")
+    n, h = len(w), zlib.crc32(("" if doc_id is None else str(doc_id)).encode())
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+    ids = {}
+    runs = plain_runs([ids.setdefault(x, len(ids)) for x in w])
+    gone = {i for s, m, q in runs for i in range(s + q, s + m)}
+    from fractions import Fraction
+
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=(None, None, None))
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (
+        doc_id, len(runs), *best, best[1] and 1000 * best[1] // best[2],
+        digest("".join(f"{s},{m},{q}\n" for s, m, q in runs)), digest(" ".join(x for i, x in enumerate(w) if i not in gone)),
+    )
+
+
+def shown_runs(df):
+    names = ("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+    return Counter(tuple(r[n] for n in names) for r in rows_of(df))
+
+
+def test_run_summaries(spark):
+    docs = spark.read.parquet(DOCS)
+    want = Counter(plain_summary(r["doc_id"], r["text"]) for r in docs.collect() if len((r["text"] or "").split()) < 1500)
+    got = shown_runs(periodic_runs.query(spark, DOCS.rsplit("/", 1)[0]))
+    assert sum(got.values()) == docs.count() and not want - got
+    assert sum(k[1] > 0 for k in got) > 10
+
+
+def test_runs_of_hard_rows(spark):
+    small = hard(spark).where("length(text) < 6000 or text is null")
+    kept = [(r["doc_id"], r["text"]) for r in small.collect()]
+    got = periodic_runs.summary(periodic_runs.collapse(periodic_runs.rewritten(small)))
+    assert shown_runs(got) == Counter(plain_summary(*r) for r in kept)
+    whole = periodic_runs.collapse(hard(spark).withColumnRenamed("row", "runs"))
+    assert whole.columns == [*hard(spark).withColumnRenamed("row", "runs").columns, "runs", "collapsed"]
+    assert "word" in [r[-1] for r in whole.collect()]
+    assert rows_of(periodic_runs.collapse(empty(spark))) == []
