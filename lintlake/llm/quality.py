@@ -43,16 +43,21 @@ def code_points(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return codes, starts
 
 
-def features(codes: np.ndarray):
+def blanks(codes: np.ndarray) -> np.ndarray:
+    blank = (codes <= 0x20) | (codes >= 0x85)
+    blank[blank] = np.isin(codes[blank], BLANKS)
+    return blank
+
+
+def features(codes: np.ndarray, bits: int = BUCKET_BITS):
     """(positions, buckets) of words, then of the n-grams of each length.
 
     An n-gram may begin or end with the blank beside a word, but holds none inside.
     """
-    blank = (codes <= 0x20) | (codes >= 0x85)
-    blank[blank] = np.isin(codes[blank], BLANKS)
+    blank = blanks(codes)
     starts, ends = spans(blank)
     words = span_hashes(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), starts, ends)
-    yield starts, (words >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    yield starts, (words >> np.uint64(64 - bits)).astype(np.int64)
     values = codes * _U(0x9E3779B1)
     values ^= values >> _U(15)
     values[blank] = 0x2545F491
@@ -67,7 +72,7 @@ def features(codes: np.ndarray):
             h = (total[at] ^ _U(n)) * _U(0x85EBCA6B)
             h ^= h >> _U(13)
             h *= _U(0xC2B2AE35)
-            yield at, (h >> _U(32 - BUCKET_BITS)).astype(np.int64)
+            yield at, (h >> _U(32 - bits)).astype(np.int64)
 
 
 def _featurise(batches):

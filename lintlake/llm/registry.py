@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lintlake.llm import ann, chat, exact_dedup, filter_audit, license_scan, lm_scoring, mixing, near_dedup, packing, periodic_runs, quality, token_counts
+from lintlake.llm import ann, chat, exact_dedup, filter_audit, license_scan, lm_scoring, mixing, near_dedup, packing, periodic_runs, quality, token_counts, toxicity
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_mixing": mixing.query,
     "op11_filter_audit": filter_audit.query,
     "op12_periodic_runs": periodic_runs.query,
+    "op13_toxicity": toxicity.query,
     "license_scan_variants": license_scan.variants_query,
 }
 ORACLES = {
