@@ -17,11 +17,21 @@ from lintlake.llm.scratch import documents, text_or_empty
 
 #: A statement that names a copyright holder: to the end of its line or sentence, which differ between copies.
 COPYRIGHT = (
-    r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright|\(c\)|©)[ \t:]*(?:\(c\)|©|[0-9]{4}|<|\[|\{|by |the regents)[^\n]{0,160}?(?:[^ \t\n.]{2}\.[ \t]|$)"
+    r"(?m)^[^\p{L}\p{N}\n]*(?:(?:copyright|\(c\)|©)[ \t:]*(?:\(c\)|©|[0-9]{4}|<|\[|\{|by |the regents)[^\n]*?(?:[^ \t\n.]{2}\.[ \t]|$)"
     r"|all rights reserved[^\p{L}\n]*$)"
 )
-#: A first line that names the licence.
-TITLE = r"\A[^\p{L}\p{N}]*[^\n]{0,70}\blicen[cs]e\b[^\n]{0,40}\n"
+# Names of licences as headings have them, before the word "license".
+NAMES = (
+    "mit", "mit open source", "expat", "isc", "isc open source", "apache", "apache software", "artistic", "zlib",
+    "bsd", "0bsd", "bsd zero clause", "zero-clause bsd", "bsd 2-clause", "bsd 3-clause", "2-clause bsd", "3-clause bsd",
+    "simplified bsd", "new bsd", "modified bsd", "mozilla public", "gnu general public", "gnu lesser general public",
+    "gnu library general public", "gnu affero general public", "gnu free documentation",
+)
+#: A first line that is the title of a known licence and nothing else; other lines that speak of a license stay.
+TITLE = (
+    r"\A[^\p{L}\p{N}]*(?:the )?(?:" + "|".join(NAMES) + r") licen[cs]e(?:,? version [0-9.]+)?(?: \((?:mit|expat|isc|bsd)\))?"
+    r"[^\p{L}\p{N}\n]*\n"
+)
 #: Behind this, some licences say how to apply them, which copies often leave out.
 END = "END OF TERMS AND CONDITIONS"
 # Spellings that count as the same word, once there is no punctuation.
@@ -137,6 +147,9 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
 def scan(spark: SparkSession, docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per input row: doc_id, digest, license (null: the text is none of the known ones).
 
+    Copyright statements of any length end with their line or sentence; a first line goes only if it is the
+    title of a known licence as a whole. Equivalent spellings are replaced inside longer words too.
+
     Null texts count as empty; a text without letters or digits has the digest of the empty form and
     no licence. A null ``doc_id`` stays, repeated rows stay, an empty table gives no rows, further
     columns are ignored. The list of known texts is fixed (under 40) and its digests are broadcast.
@@ -153,23 +166,29 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def varied() -> list[tuple[int, str, str | None]]:
-    """(id, text, licence): known texts as copies have them; the last form adds a word and is none of them."""
+    """(id, text, licence): known texts as copies have them; the forms of ``others`` say more and are none of them."""
     import regex
 
     titled = regex.compile(TITLE)
+    holders = ", ".join(f"Holder {chr(65 + i)} of Works" for i in range(12))
     forms = (
         lambda t: t.upper(),
-        lambda t: ("" if titled.match(t.lower()) else "The Licence Of This Work\n\n") + "Copyright (c) 2019-2021 A. Person <a@b.c>\nAll rights reserved.\n\n" + t,
+        lambda t: ("" if titled.match(t.lower()) else "The MIT Licence\n\n") + "Copyright (c) 2019-2021 A. Person <a@b.c>\nAll rights reserved.\n\n" + t,
         lambda t: "\n".join(f" * {line}" for line in t.split("\n")),
         lambda t: t.replace("license", "licence").replace("sublicense", "sub-license"),
         lambda t: t.replace("\n", "\r\n") if regex.search("license|rights reserved", t.lower()[:200]) else "  ".join(t.split("\n")),
+        lambda t: f"Copyright (c) 1999-2024 {holders}\n{t}",
+    )
+    others = (
         lambda t: t + " indeed",
+        lambda t: "Proprietary. No license is granted to anyone.\n" + t,
+        lambda t: "Not licensed under the MIT License\n\n" + t,
     )
     first = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, t in sorted(known_texts(), reverse=True)}
     rows = []
     for name, text in known_texts():
-        for k, form in enumerate(forms):
-            stays = first[hashlib.sha256(canonical_text(text).encode()).hexdigest()] if k < len(forms) - 1 else None
+        for form in (*forms, *others):
+            stays = first[hashlib.sha256(canonical_text(text).encode()).hexdigest()] if form in forms else None
             rows.append((-1 - len(rows), form(text), stays))
     return rows
 
