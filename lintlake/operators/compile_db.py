@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ENTRIES = "array<struct<directory: string, file: string, command: string, arguments: array<string>, output: string>>"
@@ -16,13 +16,14 @@ def entries(databases: DataFrame) -> DataFrame:
 
 
 def entry_problem(rows: DataFrame) -> DataFrame:
-    """The first rule that an entry breaks, null for a valid one."""
-    given = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    """The first rule that an entry breaks, null for a valid one; arguments or a command are enough, one of them."""
+    given = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    arguments = (F.size("arguments") > 0) & F.forall("arguments", lambda a: a.isNotNull())
     problem = (
         F.when(~given("file"), "file is missing")
         .when(~given("directory"), "directory is missing")
-        .when(F.col("arguments").isNull() & ~given("command"), "neither arguments nor command")
-        .when(F.size("arguments") == 0, "arguments are empty")
+        .when(F.col("arguments").isNull() & F.col("command").isNull(), "neither arguments nor command")
+        .when(~(F.coalesce(arguments, F.lit(False)) | given("command")), "arguments and command are empty")
     )
     return rows.withColumn("problem", problem)
 
@@ -47,24 +48,64 @@ def configurations(rows: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
-def statistics(rows: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Entries, distinct files, files missing from the inventory, and the covered share of it."""
-    known = inventory.select("run_id", "path").distinct().withColumn("known", F.lit(True))
-    total = inventory.where("language <> 'header'").groupBy("run_id").agg(F.count_distinct("path").alias("sources"))
-    joined = rows.join(known, ["run_id", "path"], "left")
-    out = joined.groupBy("run_id", "db_path").agg(
-        F.count(F.lit(1)).alias("entries"),
-        F.count_distinct("path").alias("files"),
-        F.count_distinct(F.when(F.col("known").isNull(), F.col("path"))).alias("missing"),
-        F.count_distinct("directory").alias("directories"),
+def inspected(databases: DataFrame, rows: DataFrame, tree: DataFrame) -> DataFrame:
+    """How good every database (run_id, db_path, mtime, text) is for its source tree.
+
+    ``rows`` are all its entries, ``tree`` what exists there: run_id, path, is_dir, mtime, in_source (a source
+    file of the tree under review). One row per database: whether it is valid (not empty and without a
+    broken entry), entries, distinct files and how many of these are missing, covered sources and their
+    share of the files, entries whose working directory exists and their share, the newest covered source,
+    whether one is newer than the database, and whether it can be used. Entries are counted by directory
+    and by file before they meet the tree, so a directory that all entries share is one row.
+    """
+    key = ["run_id", "db_path"]
+    checked = entry_problem(rows)
+    whole = checked.groupBy(*key).agg(F.count(F.lit(1)).alias("entries"), F.count("problem").alias("broken"))
+    there = lambda d: tree.where(F.col("is_dir") if d else ~F.col("is_dir"))
+    dirs = there(True).select("run_id", F.col("path").alias("directory"), F.lit(True).alias("exists"))
+    by_directory = checked.groupBy(*key, "directory").agg(F.count(F.lit(1)).alias("n")).join(dirs, ["run_id", "directory"], "left")
+    directories = by_directory.groupBy(*key).agg(F.coalesce(F.sum(F.when(F.col("exists"), F.col("n"))), F.lit(0)).alias("valid_directories"))
+    own = there(False).select("run_id", "path", F.col("mtime").alias("file_mtime"), "in_source")
+    by_file = checked.select(*key, "path").distinct().join(own, ["run_id", "path"], "left")
+    files = by_file.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_if(F.col("in_source").isNull()).alias("missing_files"),
+        F.count_if("in_source").alias("covered_sources"),
+        F.max(F.when(F.col("in_source"), F.col("file_mtime"))).alias("newest_source"),
+    )
+    counted = whole.join(directories, key).join(files, key)
+    out = databases.select(*key, "mtime").join(counted, key, "left")
+    valid = F.coalesce(F.col("broken") == 0, F.lit(False))
+    out = out.withColumn("valid", valid)
+    for name in ("entries", "files", "missing_files", "covered_sources", "valid_directories"):
+        out = out.withColumn(name, F.when(F.col("valid"), F.col(name)).otherwise(F.lit(0)))
+    share = lambda a, b: F.coalesce(F.bround(F.try_divide(F.col(a), F.col(b)), 6), F.lit(0.0))
+    return out.select(
+        *key, "mtime", "valid", "entries", "files", "missing_files", "covered_sources", share("covered_sources", "files").alias("source_ratio"),
+        "valid_directories", (F.col("entries") - F.col("valid_directories")).alias("invalid_directories"),
+        share("valid_directories", "entries").alias("directory_ratio"),
+        F.coalesce(F.col("valid") & (F.col("newest_source") > F.col("mtime")), F.lit(False)).alias("possibly_stale"),
+        ((F.col("valid_directories") > 0) & (F.col("covered_sources") > 0)).alias("usable"),
     )
-    share = F.try_divide(F.col("files") - F.col("missing"), F.col("sources"))
-    return out.join(total, "run_id", "left").withColumn("coverage", F.bround(share, 6))
 
 
 def best(stats: DataFrame) -> DataFrame:
-    """The database that covers most of each run's sources; of equals the first path."""
-    key: Column = F.struct(F.col("files") - F.col("missing"), "entries")
-    ranked = stats.groupBy("run_id").agg(F.max(key).alias("k"))
-    tied = stats.join(ranked, "run_id").where(key == F.col("k"))
-    return tied.groupBy("run_id").agg(F.min("db_path").alias("db_path"))
+    """Of each run's usable databases the one that covers most sources, then with the greatest share of
+    existing directories, then the youngest; of equals the first path."""
+    order = F.struct(
+        -F.col("covered_sources"), -F.col("directory_ratio"), -F.coalesce(F.col("mtime").cast("double"), F.lit(0.0)), F.col("db_path").alias("db_path")
+    )
+    return stats.where("usable").groupBy("run_id").agg(F.min(order).alias("k")).select("run_id", "k.db_path")
+
+
+def degraded(stats: DataFrame) -> DataFrame:
+    """What a review should say about each database: one row per remark."""
+    remark = lambda test, text: F.when(test, text)
+    said = F.array(
+        remark(~F.col("valid"), F.lit("database is not valid")),
+        remark(F.col("invalid_directories") > 0, F.concat(F.col("invalid_directories").cast("string"), F.lit(" working directories do not exist"))),
+        remark(F.col("missing_files") > 0, F.concat(F.col("missing_files").cast("string"), F.lit(" source files do not exist"))),
+        remark(F.col("possibly_stale"), F.lit("a covered source is newer than the database")),
+        remark(F.col("valid") & ~F.col("usable"), F.lit("no working directory or no source exists")),
+    )
+    return stats.select("run_id", "db_path", F.explode(F.array_compact(said)).alias("remark"))

@@ -30,12 +30,12 @@ def _rows(s, d):
     return s.sql(ROWS.replace("v_findings", "{v}"), v=view(s, d, "v_findings"))
 
 
-def _reports(s, d, tool: str, entry: Column, head: Column, tail: str, joint: str, broken: Column):
-    """One text per order; every 13th is cut short, every 17th malformed otherwise, every 19th undeclared."""
+def _reports(s, d, tool: str, entry: Column, head: Column, tail: str, joint: str, broken: Column, cut: int = 9):
+    """One text per order; every 13th is cut short by ``cut``, every 17th malformed otherwise, every 19th undeclared."""
     items = F.array_sort(F.collect_list(F.struct("pos", entry.alias("t"))))
     text = F.concat(head, F.array_join(F.transform(items, lambda x: x["t"]), joint), F.lit(tail))
     out = _rows(s, d).groupBy("run_id", "unit_id").agg(text.alias("text"), F.first("evidence_context").alias("e"))
-    text = F.when(F.expr("unit_id % 13 = 0"), F.expr("left(text, length(text) - 9)")).when(F.expr("unit_id % 17 = 0"), broken).otherwise(F.col("text"))
+    text = F.when(F.expr("unit_id % 13 = 0") if cut else F.lit(False), F.expr(f"left(text, length(text) - {cut})")).when(F.expr("unit_id % 17 = 0"), broken).otherwise(F.col("text"))
     return out.select(
         "run_id", "unit_id", F.lit(tool).alias("tool"), F.lit("source-only").alias("evidence_context"), text.alias("text"),
         F.expr("unit_id % 19 <> 0").alias("valid_report"),
@@ -115,7 +115,7 @@ def _log(s, d):
         .when(c("pos") % 4 == 2, F.concat(F.lit("< Location unknown >: "), c("message"), F.lit(" parse error")))
         .otherwise(F.lit("noise without place\nFinished checking --- 3 warnings"))
     )
-    return _reports(s, d, "splint", entry, F.lit("Splint 3\n\n"), "\n", "\n", F.lit("")).where("unit_id % 13 <> 0")
+    return _reports(s, d, "splint", entry, F.lit("Splint 3\n\n"), "\n", "\n", F.lit(""), cut=0)
 
 
 def _findings(rows, *more):
@@ -244,7 +244,7 @@ ORACLES = {
         count(*) as n from w group by all""",
     "a05_splint_log": f"""{_R} select unit_id, case when pos % 4 = 2 then '< Location unknown >' else file end as file, case when pos % 4 = 2 then '' else line end as line,
       case when pos % 4 = 2 then '' else col end as col, message || case pos % 4 when 0 then ' more of it and more' when 2 then ' parse error' else '' end as message,
-      pos % 4 = 2 as is_diagnostic from rows where pos % 4 <> 3 and unit_id % 17 <> 0 and unit_id % 13 <> 0""",
+      pos % 4 = 2 as is_diagnostic from rows where pos % 4 <> 3 and unit_id % 17 <> 0""",
 }
 
 
@@ -259,7 +259,7 @@ _BASE = f"""{_R}, evidence as (
   union all select run_id, unit_id, 'splint', 'static', file, line, col, case when pos % 2 = 0 then rule_id else 'splint-warning' end, '',
     message || ', see ', 'unknown', null, '', 'csv', pos from rows where {_GOOD_CSV}
   union all select run_id, unit_id, 'splint', 'static', file, line, col, 'splint-warning', '', message || case pos % 4 when 0 then ' more of it and more' else '' end,
-    'unknown', null, '', 'log', pos from rows where pos % 4 < 2 and unit_id % 17 <> 0 and unit_id % 13 <> 0
+    'unknown', null, '', 'log', pos from rows where pos % 4 < 2 and unit_id % 17 <> 0
   union all select run_id, unit_id, 'llm-security', 'llm', '<HOME>/' || file, line, '',
     case when pos % 4 = 0 then rule_id when pos % 3 = 0 then 'buffer' else 'llm-finding' end, cwe, message, lower(trim(original_severity)), null,
     case when pos % 3 = 0 then 'buffer' else 'unknown' end, 'json', pos from rows where {_GOOD}),
@@ -287,7 +287,7 @@ _DIAGNOSTICS = f"""{_R}, said as ({_INTEGRITY}
   union all select run_id, unit_id, 'llm-security', 'warning', 'llm-malformed', '1 model finding(s) failed validation and were dropped: finding[0]: at <HOME>/x',
     '', false, 'json', 0 from rows where {_GOOD} and unit_id % 3 = 0 group by 1, 2
   union all select run_id, unit_id, 'splint', 'error', 'parsing', message || ' parse error', '< Location unknown >', true, 'log', pos
-    from rows where pos % 4 = 2 and unit_id % 17 <> 0 and unit_id % 13 <> 0),
+    from rows where pos % 4 = 2 and unit_id % 17 <> 0),
 d1 as (select * from (select *, row_number() over (partition by run_id, tool, unit_id, file, category, message order by kind, pos) as n from said) where n = 1),
 diagnostics as (select *, '' as line, row_number() over (partition by run_id order by
     list_position(['cppcheck', 'flawfinder', 'splint', 'llm-security'], tool), not fatal, file, message, cast(unit_id as varchar), kind, pos) as sort_pos from d1)"""
