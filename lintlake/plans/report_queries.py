@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from lintlake.operators import accounting as A
 from lintlake.operators import full_review as X
+from lintlake.operators.derivation import Derivations
+from lintlake.operators.ordering import keep, shared_dir
 from lintlake.operators.review import INGEST
 from lintlake.plans.accounting_queries import _COVER
 from lintlake.plans.bindings import FINDINGS, view
@@ -155,7 +158,21 @@ def _tiles(s, d):
     return X.tiles(_review(s, d).graded, A.tool_coverage(units, "run_id", "producer"))
 
 
+def _rederived(s, d):
+    """A store that has seen other reports before: some runs are new, some differ, one is gone; the rest is not read again."""
+    now = keep(_stored(s, d), "reports")
+    c = F.col("run_id")
+    was = now.where(~c.isin("run-3", "run-4")).where((c != "run-5") | F.expr("unit_id % 5 <> 0"))
+    was = was.withColumn("text", F.when((c == "run-6") & (F.col("kind") == "json"), "").otherwise(F.col("text")))
+    was = was.unionByName(now.where(c == "run-1").withColumn("run_id", F.lit("run-99")))
+    store = Derivations(s, f"{shared_dir(s)}/derived-{uuid.uuid4().hex}", "/work/src")
+    store.update(was)
+    return store, store.update(now)
+
+
 QUERIES = {
+    "x08_rederived_findings": lambda s, d: _rederived(s, d)[0].table("findings").select(*_SEEN),
+    "x08_rederivation_counts": lambda s, d: s.createDataFrame([vars(_rederived(s, d)[1])], "added int, replaced int, removed int, kept int"),
     "x07_u01_review_findings": _full("findings", *_SEEN, "sort_pos"),
     "o02_review_diagnostics": _full("diagnostics", "run_id", *_SAID, "sort_pos"),
     "d09_report_integrity": _full("integrity", "run_id", "status", "included_reports", "omitted"),
@@ -294,6 +311,10 @@ diagnostics as (select *, '' as line, row_number() over (partition by run_id ord
 _OWN = lambda sql: sql.replace("rows as (select * from review", "seen as (select * from review").replace("from rows", "from seen")
 _COUNTED = f"""count(*) as total, count(*) filter (evidence_context = 'build-aware') as build_aware, count(*) filter (evidence_context = 'source-only') as source_only"""
 ORACLES |= {
+    "x08_rederived_findings": f"{_X07} select {', '.join(_SEEN)} from review",
+    "x08_rederivation_counts": f"""{_R} select count(distinct run_id) filter (run_id in ('run-3', 'run-4')) as added,
+      count(distinct run_id) filter (run_id in ('run-5', 'run-6')) as replaced, 1 as removed,
+      count(distinct run_id) filter (run_id not in ('run-3', 'run-4', 'run-5', 'run-6')) as kept from rows""",
     "x07_u01_review_findings": f"{_X07} select {', '.join(_SEEN)}, sort_pos from review",
     "o02_review_diagnostics": f"{_DIAGNOSTICS} select run_id, {', '.join(_SAID)}, sort_pos from diagnostics",
     "d09_report_integrity": f"""{_DIAGNOSTICS}, u as (select run_id, 3 * count(distinct unit_id) as units from rows group by 1),
