@@ -14,6 +14,7 @@ from lintlake.plans import (
     source_queries,
     stored_queries,
     text_queries,
+    token_queries,
 )
 
 _MODULES = (
@@ -28,6 +29,7 @@ _MODULES = (
     source_queries,
     stored_queries,
     response_queries,
+    token_queries,
 )
 QUERIES = {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
