@@ -7,9 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-from lintlake.operators.ordering import positions
+from lintlake.operators.ordering import keep, positions, running_sum
 
 # Unit statuses, tiers in order, finish reasons and exit codes.
 STARTED = ("completed", "partial", "timed_out", "failed", "interrupted")
@@ -225,18 +225,58 @@ def admitted(tasks: DataFrame, group: list[str], order: list[str], budgets: dict
     return out.withColumn("admitted", F.col("refused_by").isNull())
 
 
-def shards(files: DataFrame, most_files: int = 1000, most_bytes: int = 256 * 1024, prefix: int = 200) -> DataFrame:
-    """Greedy shards of a run's sorted paths, closed before the file or byte cap would be passed."""
-    rows = files.select("run_id", "path", (F.octet_length("path") + 1).alias("cost"))
+def next_starts(rows: DataFrame, most_rows: int, most_cost: int) -> DataFrame:
+    """run_id, pos and next: the row that begins the next shard if one begins at ``pos``.
+
+    ``rows`` have run_id, pos (from 1, without gaps), cost (at least 1) and before, the cost of all rows before.
+    How many rows from one on fit is a count over a range of ``before``. Rows are dealt by buckets as wide as
+    the cap, each also to the bucket before its own, so that a bucket holds all that its rows can reach: at most
+    twice the cap in rows, however long the run is.
+    """
+    ends = rows.groupBy("run_id").agg((F.max("pos") + 1).alias("pos"), F.sum("cost").alias("before"))
+    points = rows.select("run_id", "pos", "before", F.lit(True).alias("asks")).unionByName(ends.withColumn("asks", F.lit(False)))
+    own = F.floor(F.col("before") / (most_cost + 1))
+    dealt = points.select(
+        "run_id", "pos", "before",
+        F.inline(F.array(F.struct(own.alias("bucket"), "asks"), F.struct((own - 1).alias("bucket"), F.lit(False).alias("asks")))),
+    )
+    reach = W.partitionBy("run_id", "bucket").orderBy("before").rangeBetween(0, most_cost)
+    counted = dealt.withColumn("n", F.count(F.lit(1)).over(reach)).where("asks")
+    return counted.select("run_id", "pos", (F.col("pos") + F.greatest(F.lit(1), F.least(F.lit(most_rows), F.col("n") - 1))).alias("next"))
+
 
-    def step(state, row):
-        n, size, shard = state or (0, prefix, 0)
-        if n and (n >= most_files or size + row["cost"] > most_bytes):
-            n, size, shard = 0, prefix, shard + 1
-        return (n + 1, size + row["cost"], shard), shard
+def reached(links: DataFrame) -> DataFrame:
+    """The rows (run_id, pos) that are met from row 1 of each run along ``links`` (run_id, pos, next), by pointer doubling.
 
-    out = _in_order(rows, ["run_id"], ["path"], step, StructType([*rows.schema.fields, StructField("shard", IntegerType())]))
-    return out.drop("cost")
+    After k rounds the first 2**k of them are known, and links lead 2**k rows on; so a run of n shards takes
+    log n joins of evenly dealt rows. Each round is written, which cuts its lineage.
+    """
+    links = keep(links, "links")
+    found = keep(links.where("pos = 1").select("run_id", "pos"), "reached")
+    known = found.count()
+    while True:
+        found = keep(found.unionByName(found.join(links, ["run_id", "pos"]).select("run_id", F.col("next").alias("pos"))), "reached")
+        n = found.count()
+        if n == known:
+            return found
+        known = n
+        onward = links.select("run_id", F.col("pos").alias("next"), F.col("next").alias("after"))
+        links = keep(links.join(onward, ["run_id", "next"]).select("run_id", "pos", F.col("after").alias("next")), "links")
+
+
+def shards(files: DataFrame, most_files: int = 1000, most_bytes: int = 256 * 1024, prefix: int = 200) -> DataFrame:
+    """Greedy shards of a run's sorted paths, closed before the file or byte cap would be passed.
+
+    No task holds a run: places and sums come from ranges, each row's next start from its bucket, and the starts
+    that count from pointer doubling. A path that is longer than the cap has a shard of its own.
+    """
+    rows = keep(files.select("run_id", "path", (F.octet_length("path") + 1).cast("long").alias("cost")), "paths")
+    placed = positions(rows, "run_id", [F.col("path")], "pos")
+    summed = keep(running_sum(keep(placed, "places"), "run_id", [F.col("pos")], "cost", "before"), "sums")
+    starts = reached(next_starts(summed, most_files, max(0, most_bytes - prefix))).withColumn("starts", F.lit(1).cast("long"))
+    marked = keep(summed.join(starts, ["run_id", "pos"], "left").fillna(0, ["starts"]), "starts")
+    numbered = running_sum(marked, "run_id", [F.col("pos")], "starts", "earlier")
+    return numbered.select("run_id", "path", (F.col("earlier") + F.col("starts") - 1).cast("int").alias("shard"))
 
 
 def inventory_diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -71,6 +71,20 @@ def test_budget_skips_what_does_not_fit_and_goes_on(spark):
     assert [r["refused_by"] for r in both.orderBy("i").collect()] == [None, "cost", None, "cost", "n"]
 
 
+def test_shards_are_those_of_a_plain_walk(spark):
+    rng = random.Random(8)
+    rows = [(f"r{r}", f"{i:04d}" + "x" * rng.choice([0, 1, 30, 90])) for r, n in enumerate((1, 7, 300)) for i in range(n)]
+    want = {}
+    for r in sorted(rows):
+        n, size, shard = want.get(r[0], (0, 20, 0))
+        if n and (n >= 9 or size + len(r[1]) + 1 > 120):
+            n, size, shard = 0, 20, shard + 1
+        want[r[0]], want[r] = (n + 1, size + len(r[1]) + 1, shard), shard
+    got = A.shards(spark.createDataFrame(rows, "run_id string, path string"), 9, 120, 20)
+    assert {(r["run_id"], r["path"]): r["shard"] for r in got.collect()} == {k: v for k, v in want.items() if isinstance(k, tuple)}
+    assert A.shards(spark.createDataFrame([], "run_id string, path string")).count() == 0
+
+
 def test_chunks_cut_after_line_feeds(spark):
     rng = random.Random(1)
     for _ in range(30):
