@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lintlake.plans.bindings import EVENTS, UNITS, view
+from lintlake.operators.ordering import shared_dir
 from lintlake.streaming import events as E
 from lintlake.streaming import stateful as S
 
@@ -38,6 +41,18 @@ def _stream(s, d):
     )
 
 
+def _daily_stream(s, d):
+    """The events as a stream of three files, ten days each, one to a batch."""
+    folder = f"{shared_dir(s)}/events-{uuid.uuid4().hex}"
+    rows = s.read.parquet(f"{d}/events.parquet").selectExpr(
+        "concat('run-', cast(user_id % 8 as string)) as run_id", "user_id as unit", "cast(ts as timestamp) as ts", "event_type as status"
+    )
+    for part in range(3):
+        own = rows.where(F.least(F.lit(2), F.floor((F.dayofmonth("ts") - 1) / 10)) == part)
+        own.coalesce(1).write.mode("append").parquet(folder)
+    return s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
 def _talk_stream(s, d):
     talk = s.readStream.schema("conv_id long, turn long, role string, text string").parquet(f"{d}/conversation[s].parquet")
     return talk.selectExpr("conv_id as session", "turn as seq", "role = 'assistant' as counts")
@@ -74,6 +89,9 @@ QUERIES = {
     "t03_heartbeats": lambda s, d: E.heartbeats(_BEATS(s, d), 86_400).select(
         "run_id", "unit", F.round("elapsed", 3).alias("elapsed"), F.round("remaining", 3).alias("remaining")
     ),
+    "t03_heartbeat_stream": lambda s, d: S.with_timers(
+        S.heartbeat_stream(_daily_stream(s, d), F.col("status") == "error", 21_600_000, 20 * 86_400_000, "5 seconds")
+    ).drop("batch"),
     "t04_bounded_log_stream": lambda s, d: S.log_stream(_stream(s, d), 100).select("run_id", "event_id", "place"),
     "t05_ceilings_stream": lambda s, d: S.collected(S.ceiling_stream(_talk_stream(s, d), 2)).drop("batch"),
     "t06_monotone_progress_stream": lambda s, d: S.collected(S.progress_stream(_stream(s, d))).drop("batch"),
@@ -109,6 +127,11 @@ ORACLES = {
     "t01_event_stream": f"{_E} select event_id, run_id, unit, status, progress from v",
     "t03_heartbeats": f"""{_E}, b as (select run_id, unit, (epoch_us(max(ts) filter (status = 'view')) - epoch_us(min(ts))) / 1e6 as elapsed from v group by 1, 2)
       select run_id, unit, round(elapsed, 3) as elapsed, round(greatest(0, 86400 - elapsed), 3) as remaining from b where elapsed is not null""",
+    "t03_heartbeat_stream": f"""{_E}, u as (select run_id, unit, epoch_ms(min(ts)) as started, epoch_ms(min(ts) filter (status = 'error')) - 1 as ended from v group by 1, 2),
+      n as (select *, greatest(0, floor(least(coalesce(ended, w), w, started + 1728000000) - started) // 21600000) as n
+        from u, (select epoch_ms(max(ts)) - 5000 as w from v)),
+      k as (select run_id, unit, started, unnest(generate_series(1, n::bigint)) as k from n)
+      select run_id, unit, k::int as k, make_timestamp_ms(started + k * 21600000) as at, k * 21600.0::double as elapsed, 1728000.0::double - k * 21600 as remaining from k""",
     "t07_budget_ledger": f"""with recursive u as ({UNITS}), t as (select run_id, unit_id, greatest(1, ceil(byte_length / 4))::bigint as cost,
         row_number() over (partition by run_id order by unit_id) as n from u),
     f as (select run_id, unit_id, 0::bigint as n, ''::varchar as refused_by, 0::bigint as prompt_spent, 0::bigint as completion_reserved from t where n = 1

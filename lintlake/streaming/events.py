@@ -49,6 +49,20 @@ def monotone_progress(events: DataFrame) -> DataFrame:
     return running_max(events, "run_id", [F.col("ts"), F.col("event_id")], "progress", "shown")
 
 
+def beats(events: DataFrame, ends: Column, every_ms: int, budget_ms: int, until_ms: Column) -> DataFrame:
+    """T03 in a batch: beats of each unit from its first event to its end, its budget or ``until_ms``, what comes first."""
+    ms = F.unix_millis("ts")
+    units = events.groupBy("run_id", "unit").agg(F.min(ms).alias("started"), (F.min(F.when(ends, ms)) - 1).alias("end"))
+    due = F.least(F.coalesce("end", until_ms), until_ms) - F.col("started")
+    n = F.greatest(F.lit(0), F.floor(F.least(due, F.lit(budget_ms)) / every_ms)).cast("int")
+    rows = units.withColumn("n", n).where("n > 0").select("run_id", "unit", "started", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("k"))
+    elapsed = F.col("k").cast("long") * every_ms
+    return rows.select(
+        "run_id", "unit", "k", F.timestamp_millis(F.col("started") + elapsed).alias("at"), (elapsed / 1000).alias("elapsed"),
+        ((F.lit(budget_ms) - elapsed) / 1000).alias("remaining"),
+    )
+
+
 def heartbeats(events: DataFrame, budget_seconds: float) -> DataFrame:
     """Of each unit that gives heartbeats, the time it has taken at the last one and what is left of its budget."""
     seconds = lambda c: F.unix_micros(c.cast("timestamp")) / 1e6

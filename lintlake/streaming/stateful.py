@@ -5,13 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from lintlake.operators.ordering import shared_dir
 from lintlake.streaming.events import bounded_log
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
 
 def _new_folder(spark: SparkSession, label: str) -> str:
     import uuid
@@ -28,17 +33,25 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
     query.awaitTermination()
 
 
-def collected(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All rows that a stream gives until its source is exhausted, with ``batch``; a batch that runs again replaces itself."""
+def collected(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """All rows that a stream gives until its source is exhausted, with ``batch``; a batch that runs again replaces itself.
+
+    A stream with a ``folder`` of its own goes on where it stopped: state and earlier rows are in there.
+    """
     spark = stream.sparkSession
-    folder = _new_folder(spark, "stream")
+    folder = folder or _new_folder(spark, "stream")
 
     def each(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={batch}")
 
     run_batches(stream, each, f"{folder}/checkpoint", mode)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
-    return spark.read.schema(f"{schema}, batch int").parquet(f"{folder}/rows")
+    schema = StructType([*stream.schema.fields, StructField("batch", IntegerType())])
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/rows")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # a source that holds nothing gives no batch
 
 
 def latest(updates: DataFrame, *keys: str) -> DataFrame:
@@ -64,7 +77,9 @@ def log_stream(stream: DataFrame, rows: int) -> DataFrame:
         last.append(path)
 
     run_batches(stream, each, f"{folder}/checkpoint")
-    return bounded_log(spark.read.schema(stream.schema).parquet(last[-1]), rows)
+    # a source that holds nothing gives no batch, and so an empty log
+    kept = spark.read.schema(stream.schema).parquet(last[-1]) if last else spark.createDataFrame([], stream.schema)
+    return bounded_log(kept, rows)
 
 
 def _with_state(stream: DataFrame, key: str, order: list[str], start, step, out: str, state: str) -> DataFrame:
@@ -116,3 +131,96 @@ def ledger_stream(stream: DataFrame, order: list[str], prompt_budget: int, compl
 
     out = "run_id string, unit_id long, refused_by string, prompt_spent long, completion_reserved long"
     return _with_state(stream, "run_id", order, (0, 0), step, out, "spent long, held long")
+
+
+TICK = "run_id string, unit long, k int, at timestamp, elapsed double, remaining double"
+_TICK_STATE = "started long, told int, ended boolean"
+
+
+class Heartbeats(StatefulProcessor):
+    """A beat every so often for each unit that runs, whether or not anything is heard of it.
+
+    State is one row per unit: when it started, how many beats have been told, whether it has ended. A timer
+    in event time stands for the next beat; what arrives only moves the end. Beats before an end that comes
+    with the same batch are told at once.
+    """
+
+    def __init__(self, every_ms: int, budget_ms: int):
+        self.every, self.budget = every_ms, budget_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("unit", _TICK_STATE)
+
+    def _beats(self, key: tuple, started: int, told: int, until: int) -> tuple[int, pd.DataFrame]:
+        """Beats that are due by ``until`` and not told yet, as many as the budget allows."""
+        due = max(told, min(until - started, self.budget) // self.every)
+        k = range(told + 1, due + 1)
+        elapsed = [n * self.every for n in k]
+        return due, pd.DataFrame(
+            {
+                "run_id": pd.Series([key[0]] * len(k), dtype=object), "unit": pd.Series([key[1]] * len(k), dtype="int64"), "k": pd.Series(list(k), dtype="int32"),
+                "at": pd.to_datetime([started + e for e in elapsed], unit="ms"),
+                "elapsed": [e / 1000 for e in elapsed], "remaining": [(self.budget - e) / 1000 for e in elapsed],
+            }
+        )
+
+    def _wait(self, started: int, told: int) -> None:
+        if (told + 1) * self.every <= self.budget:
+            self.handle.registerTimer(started + (told + 1) * self.every)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, end = None, None
+        for frame in rows:  # a unit's rows pass by in frames of bounded size
+            least, ends = frame["ms"].min(), frame.loc[frame["ends"], "ms"]
+            first = least if first is None else min(first, least)
+            end = ends.min() if end is None and len(ends) else min(end, ends.min()) if len(ends) else end
+        known = self.state.get() if self.state.exists() else None
+        started, told, ended = known if known else (int(first), 0, False)
+        if ended:
+            return
+        if not known:
+            self._wait(started, told)
+        if end is None:
+            self.state.update((started, told, False))
+            return
+        told, shown = self._beats(key, started, told, int(end) - 1)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.state.update((started, told, True))
+        yield shown
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        started, told, ended = self.state.get()
+        if ended:
+            return
+        told, shown = self._beats(key, started, told, timerValues.getCurrentWatermarkInMs())
+        self._wait(started, told)
+        self.state.update((started, told, False))
+        yield shown
+
+    def close(self) -> None:
+        pass
+
+
+def heartbeat_stream(stream: DataFrame, ends: Column, every_ms: int, budget_ms: int, delay: str) -> DataFrame:
+    """The beats of all units of a stream of events (run_id, unit, ts, status); ``ends`` tells which stop a unit.
+
+    A unit starts with the first event of the batch that it first occurs in. Beats of silent units are told
+    when the watermark, ``delay`` behind the latest event, has passed them; the end of a unit that arrives
+    later than that is dropped with other late events.
+    """
+    rows = stream.withWatermark("ts", delay).select("run_id", "unit", "ts", F.unix_millis("ts").alias("ms"), F.coalesce(ends, F.lit(False)).alias("ends"))
+    return rows.groupBy("run_id", "unit").transformWithStateInPandas(
+        statefulProcessor=Heartbeats(every_ms, budget_ms), outputStructType=TICK, outputMode="Append", timeMode="EventTime"
+    )
+
+
+def with_timers(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """``collected``, with the state store that timers need for as long as the stream runs."""
+    conf, before = stream.sparkSession.conf, stream.sparkSession.conf.get(PROVIDER, None)
+    conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return collected(stream, folder=folder)
+    finally:
+        conf.unset(PROVIDER) if before is None else conf.set(PROVIDER, before)

@@ -1,5 +1,6 @@
 """Operators on small tables with known results."""
 
+import datetime
 import random
 
 from pyspark.sql import functions as F
@@ -304,6 +305,36 @@ def test_progress_never_falls_across_batches(spark, tmp_path):
     assert got[2] is not None and got[3] >= got[0] and max(got.values()) == 0.9
 
 
+def test_heartbeats_fire_by_timer_and_survive_a_restart(spark, tmp_path):
+    schema = "run_id string, unit long, ts timestamp, status string"
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    parts = [
+        [("r", 1, at(0), "start"), ("r", 2, at(1), "start")], [("r", 2, at(25), "x")], [("r", 2, at(47), "done"), ("r", 3, at(50), None)],
+        [("r", 4, at(130), "start"), ("r", 4, at(131), "done")], [("r", 5, at(200), "start")],
+    ]
+    path, folder, done = str(tmp_path / "e"), str(tmp_path / "state"), F.col("status") == "done"
+    for some in (parts[:2], parts[2:]):
+        for part in some:
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+        got = S2.with_timers(S2.heartbeat_stream(stream, done, 10_000, 60_000, "5 seconds"), folder)
+    events = spark.read.parquet(path)
+    until = events.agg(F.unix_millis(F.max("ts")) - 5000).first()[0]
+    want = E.beats(events, done, 10_000, 60_000, F.lit(until))
+    assert sorted(map(tuple, got.drop("batch").collect())) == sorted(map(tuple, want.collect()))
+    assert {r["unit"] for r in got.collect()} == {1, 2, 3}  # 1 and 3 are never heard of again
+
+
+def test_streams_of_empty_sources_give_no_rows(spark, tmp_path):
+    schema = "event_id long, ts timestamp, run_id string, unit long, status string, progress double"
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "none"))
+    assert S2.log_stream(stream, 5).count() == 0
+    assert S2.collected(S2.progress_stream(stream)).count() == 0
+    assert S2.collected(E.live_state(stream), "update").count() == 0
+    assert S2.with_timers(S2.heartbeat_stream(stream, F.lit(False), 10, 60, "5 seconds")).count() == 0
+
+
 def test_include_flags(spark):
     command = "cc -Iinc -I /abs -isystem sys -DX=1 -D 'Y=a b' -U Z -include pre.h -O2 -iquoteq -c f.c"
     flags = one(spark, D.include_flags(F.lit(None).cast("array<string>"), F.lit(command), F.lit("/w")))
