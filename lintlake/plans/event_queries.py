@@ -127,9 +127,9 @@ ORACLES = {
     "t01_event_stream": f"{_E} select event_id, run_id, unit, status, progress from v",
     "t03_heartbeats": f"""{_E}, b as (select run_id, unit, (epoch_us(max(ts) filter (status = 'view')) - epoch_us(min(ts))) / 1e6 as elapsed from v group by 1, 2)
       select run_id, unit, round(elapsed, 3) as elapsed, round(greatest(0, 86400 - elapsed), 3) as remaining from b where elapsed is not null""",
-    "t03_heartbeat_stream": f"""{_E}, u as (select run_id, unit, epoch_ms(min(ts)) as started, epoch_ms(min(ts) filter (status = 'error')) - 1 as ended from v group by 1, 2),
-      n as (select *, greatest(0, floor(least(coalesce(ended, w), w, started + 1728000000) - started) // 21600000) as n
-        from u, (select epoch_ms(max(ts)) - 5000 as w from v)),
+    "t03_heartbeat_stream": f"""{_E}, u as (select run_id, unit, epoch_us(min(ts)) // 1000 as started, epoch_us(min(ts) filter (status = 'error')) // 1000 - 1 as ended from v group by 1, 2),
+      n as (select *, greatest(0, (least(coalesce(ended, w), w, started + 1728000000) - started) // 21600000) as n
+        from u, (select epoch_us(max(ts)) // 1000 - 5000 as w from v)),
       k as (select run_id, unit, started, unnest(generate_series(1, n::bigint)) as k from n)
       select run_id, unit, k::int as k, make_timestamp_ms(started + k * 21600000) as at, k * 21600.0::double as elapsed, 1728000.0::double - k * 21600 as remaining from k""",
     "t07_budget_ledger": f"""with recursive u as ({UNITS}), t as (select run_id, unit_id, greatest(1, ceil(byte_length / 4))::bigint as cost,
