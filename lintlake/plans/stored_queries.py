@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lintlake.functions.severity import SCANNERS
 from lintlake.operators import review as R
 from lintlake.operators import stored as D
+from lintlake.operators.exports import Exports
 from lintlake.operators.ordering import shared_dir
 from lintlake.plans.bindings import EVENTS, SOURCES, UNITS, view
 from lintlake.plans.review_queries import REVIEW
@@ -40,6 +41,17 @@ def _exported(s, d):
     return D.sanitised(_view(s, d, ARTIFACTS).select("run_id", "doc_id", "path", "text").withColumn("run_id", F.concat_ws("/", "run_id", "doc_id")), {"/work/src": "<SRC>"}, ["s3cr3t-value"])
 
 
+def _published(s, d):
+    """The same artifacts as a committed export; its manifest, beside how many of its artifacts are damaged."""
+    rows = _view(s, d, ARTIFACTS).select(F.concat_ws("/", "run_id", "doc_id").alias("run_id"), "path", "text")
+    exports = Exports(s, f"{shared_dir(s)}/exports-{uuid.uuid4().hex}")
+    name = exports.publish(rows, {"/work/src": "<SRC>"}, ["s3cr3t-value"])
+    bad = exports.damaged(name).withColumn("damaged", F.lit(True))
+    return exports.manifest(name).join(bad, ["run_id", "path"], "left").select(
+        "run_id", "path", "kind", "status", "problem", "sha256", F.coalesce("damaged", F.lit(False)).alias("damaged")
+    )
+
+
 FILES = """
 select run_id, doc_id, case doc_id % 5 when 0 then 'manifest.json' when 1 then 'tools/cppcheck/u' || doc_id || '/build/x.o'
     when 2 then 'tools/cppcheck/u' || doc_id % 9 || '/' || doc_id || '.log' when 3 then 'tools/.recover-' || doc_id else 'review/' || doc_id || '.json' end as path,
@@ -121,6 +133,7 @@ def _headers(s, d):
 _ALL = ("event_id", "status", "progress")
 QUERIES = {
     "a19_a20_export": lambda s, d: _exported(s, d).select("run_id", "path", "kind", "status", "problem", F.sha2("text", 256).alias("text")),
+    "a19_committed_export": _published,
     "a19_export_report": lambda s, d: D.export_report(_exported(s, d).withColumn("run_id", F.substring_index("run_id", "/", 1))),
     "a13_artifact_index": lambda s, d: _index(s, d),
     "x09_replaced_artifacts": lambda s, d: D.replaced(_index(s, d), _index(s, d).where("not reused").withColumn("sha256", F.lit("new"))),
@@ -160,6 +173,7 @@ _EXPORT = f"""{_A}, x as (select run_id || '/' || doc_id as run_id, run_id as ru
   case when {_STATUS} = 'shipped' then sha256(case when doc_id % 6 = 0 then replace(replace({_TEXT("text")}, '<SRC>', '&lt;SRC&gt;'), '<HOME>', '&lt;HOME&gt;') else {_TEXT("text")} end) end as text from a)"""
 ORACLES = {
     "a19_a20_export": f"{_EXPORT} select run_id, path, kind, status, problem, text from x",
+    "a19_committed_export": f"{_EXPORT} select run_id, path, kind, status, problem, text as sha256, false as damaged from x",
     "a19_export_report": f"{_EXPORT} select run as run_id, kind, status, count(*) as n from x group by 1, 2, 3",
     "a13_artifact_index": f"{_IDX} select * from idx",
     "x09_replaced_artifacts": f"{_IDX} select * replace (case when reused then sha256 else 'new' end as sha256) from idx",

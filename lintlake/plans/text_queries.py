@@ -51,6 +51,12 @@ def _redacted(s, d):
     return X.redact(_notes(s, d), "note", PREFIXES, SECRETS)
 
 
+def _many(s, d):
+    """A thousand secrets beside the usual ones; two of three notes begin with one of them."""
+    notes = _notes(s, d).withColumn("note", F.concat(F.lit("token-"), F.expr("cast(doc_id % 1500 as string)"), F.lit("-end | "), F.col("note")))
+    return X.redact(notes, "note", PREFIXES, [*SECRETS, *(f"token-{i}-end" for i in range(1000))])
+
+
 c = F.col
 _ws = lambda e: f"trim(regexp_replace({e}, '\\s+', ' ', 'g'))"
 _words = "list_filter(regexp_split_to_array(lower(path), '[^a-z0-9]+'), lambda w: w <> '')"
@@ -113,6 +119,7 @@ QUERIES = {
         T.duration(F.min("ts").cast("string"), F.max("ts").cast("string")).alias("seconds")
     ),
     "e26_redacted": lambda s, d: _redacted(s, d).select("doc_id", "note", *(f"n_{r}" for r in X.RULES)),
+    "e26_many_secrets": lambda s, d: _many(s, d).select("doc_id", "note", *(f"n_{r}" for r in X.RULES)),
     "d24_redaction_report": lambda s, d: X.report(_redacted(s, d)),
     "b17_leaks": lambda s, d: X.leaks(_notes(s, d), "note", PREFIXES, SECRETS).groupBy("doc_id", "leak").agg(F.count(F.lit(1)).alias("n")),
     "b17_no_leaks_left": lambda s, d: X.leaks(X.redact(_notes(s, d), "note", PREFIXES, SECRETS), "note", PREFIXES, SECRETS).select("doc_id", "leak"),
@@ -196,6 +203,8 @@ ORACLES = {
       from v where {_SUFFIX} in ({_SET})""",
     "e34_duration": f"with v as ({EVENTS}) select run_id, epoch(date_trunc('second', max(ts)))::bigint - epoch(date_trunc('second', min(ts)))::bigint as seconds from v group by 1",
     "e26_redacted": f"{_RED} select * from q",
+    "e26_many_secrets": f"""{_RED} select * replace (case when doc_id % 1500 < 1000 then '<SECRET>' else 'token-' || doc_id % 1500 || '-end' end || ' | ' || note as note,
+        n_secret_value + if(doc_id % 1500 < 1000, 1, 0) as n_secret_value) from q""",
     "d24_redaction_report": f"""{_RED} select 'prefix' as rule, sum(n_prefix)::bigint as n from q union all select 'secret_value', sum(n_secret_value)::bigint from q
       union all select 'linux_home_pattern', sum(n_linux_home_pattern)::bigint from q union all select 'windows_user_pattern', sum(n_windows_user_pattern)::bigint from q union all select 'unc_pattern', sum(n_unc_pattern)::bigint from q""",
     "b17_leaks": f"""{_N}, l as (select doc_id, unnest(list_filter([case when contains(note, 's3cr3t-value') then 'secret_value' end,
