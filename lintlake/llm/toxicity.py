@@ -55,7 +55,7 @@ LEAST_DOCUMENTS, CAUTION = 3, 1.5
 SAMPLE_ROWS = 2000
 #: Word scores from which a word counts as suspect.
 SUSPECT = (1.0, 2.0)
-FIGURES = 7
+FIGURES = 6
 THRESHOLD = 0.5
 
 
@@ -286,7 +286,10 @@ def weights_of(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int)
 
 
 def figures(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """(documents, FIGURES): the three greatest different word scores, suspect words, their share, all words."""
+    """(documents, FIGURES): the three greatest different word scores, suspect words, and their share of all words.
+
+    All are 0 without suspect words, whatever the length, so an empty text is judged by the bias alone.
+    """
     per_position = np.zeros(len(codes), np.float32)
     for at, buckets in features(codes, BITS):
         per_position[at] = np.maximum(per_position[at], weights[buckets])
@@ -301,7 +304,6 @@ def figures(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.nd
     for k, least in enumerate(SUSPECT):
         out[:, 3 + k] = np.log1p(np.bincount(doc[scores > least], minlength=len(starts)))
     out[:, 5] = np.log1p(100 * np.expm1(out[:, 3]) / (n + 1))
-    out[:, 6] = np.log1p(n)
     some = np.flatnonzero(scores > 0)
     some = some[np.lexsort((-scores[some], doc[some]))]
     d, s = doc[some], scores[some]

@@ -10,7 +10,7 @@ from itertools import permutations
 import numpy as np
 from pyspark.sql import functions as F
 
-from lintlake.llm import filter_audit, periodic_runs
+from lintlake.llm import filter_audit, periodic_runs, toxicity
 from tests.llm.cases import SCHEMA, empty, hard, hard_rows, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -178,3 +178,111 @@ def test_runs_of_hard_rows(spark):
     assert whole.columns == [*hard(spark).withColumnRenamed("row", "runs").columns, "runs", "collapsed"]
     assert "word" in [r[-1] for r in whole.collect()]
     assert rows_of(periodic_runs.collapse(empty(spark))) == []
+
+
+BAD = ("idiot", "worthless", "moron", "pathetic", "scum")
+GOOD = "the of and garden river lantern window quiet table morning letter harbour walking people story small mail7".split()
+
+
+def talk(n=240, seed=4):
+    """Small talk; every fourth document holds an insult. As many again, held out, hold disguised ones."""
+    rng = random.Random(seed)
+    rows, labels = [], []
+    for i in range(n):
+        w = [rng.choice(GOOD) for _ in range(rng.randrange(12, 60))]
+        if i % 4 == 0:
+            w.insert(rng.randrange(len(w)), BAD[i // 4 % len(BAD)])
+        rows.append((i, " ".join(w), "en", "s", None, None, None, None))
+        labels.append((i, None, int(i % 4 == 0), "en"))
+    return rows, labels
+
+
+DISGUISED = {
+    "1d10t": "idiot", "m o r o n": "moron", "w-o-r-t-h-l-e-s-s": "worthless", "p@th3tic": "pathetic", "sc.um": "scum", "idiooooot": "idiot",
+    "$cum": "scum", "M0R0N!!": "moron!!",
+}
+PLAIN = ("mail7", "jo.81@mail7.example.com", "2020", "story***", "https://a.b/c1d2", "walking, people.", "", "  \t")
+
+
+def model_of(spark, rows, labels):
+    docs, told = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, LABELS)
+    return toxicity.fit(docs, told, ~toxicity.held_out())
+
+
+def test_disguised_words_are_restored_and_scored(spark):
+    model = model_of(spark, *talk())
+    decoder = toxicity.Decoder(model[0])
+    assert {w: decoder.restored(w) for w in DISGUISED} == DISGUISED
+    assert [decoder.restored(w) for w in PLAIN] == list(PLAIN)
+    texts = [f"the quiet garden {w} small table morning" for w in (*DISGUISED, *BAD, *PLAIN)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    bad = len(DISGUISED) + len(BAD)
+    assert min(got[i] for i in range(bad)) > 0.5 > max(got[i] for i in range(bad, len(texts)))
+    restored = toxicity.restore(docs, model[0], ["doc_id"]).collect()
+    assert {r["restored"] for r in restored if r["doc_id"] == 0} == {"the quiet garden idiot small table morning"}
+
+
+def test_lattice_decoding_is_the_least_of_all_readings():
+    rng = np.random.default_rng(3)
+    costs = toxicity.costs_of(rng.integers(0, 50, toxicity.CELLS).astype(float))
+
+    def cost(string):
+        at, total = 0, 0.0
+        for c in string + " ":
+            cell = at * toxicity.SYMBOLS + toxicity._symbol(c)
+            total, at = total + float(costs[cell]), cell % (toxicity.CELLS // toxicity.SYMBOLS)
+        return total
+
+    def readings(arcs):
+        if not arcs:
+            yield "", 0.0
+            return
+        for string, price in arcs[0]:
+            for rest, more in readings(arcs[1:]):
+                yield string + rest, price + more
+
+    for token in ("1d10t", "m o r", "a--b", "sss1", "$t4r", "x"):
+        arcs = toxicity.lattice(token)
+        best = min(price + cost(string) for string, price in readings(arcs))
+        found = toxicity.viterbi(arcs, costs)
+        assert abs(min(p for s, p in readings(arcs) if s == found) + cost(found) - best) < 1e-6
+
+
+def test_one_insult_in_a_long_text_counts(spark):
+    model = model_of(spark, *talk())
+    long = " ".join(GOOD * 2000)
+    docs = spark.createDataFrame([(0, long), (1, long + " moron"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    assert got[1] > got[0] and got[0] < 0.5 and got[2] < 0.5
+
+
+def test_toxicity_of_hard_rows_and_missing_labels(spark):
+    none = spark.createDataFrame([], LABELS)
+    docs = hard(spark)
+    got = toxicity.classify(docs, none)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    assert {(r["score"] < 1e-9, r["predicted"]) for r in got.collect()} == {(True, 0)}
+    rows, labels = talk()
+    told = spark.createDataFrame([*labels, (None, 1, 1, "x"), (7, 0, None, "x"), (99999, 0, 1, "x")], LABELS)
+    mixed = spark.createDataFrame([*rows, *hard_rows()], SCHEMA)
+    got = rows_of(toxicity.classify(mixed, told))
+    assert len(got) == len(rows) + len(hard_rows()) and all(0 <= g["score"] <= 1 for g in got)
+    assert len({g["score"] for g in got if g["doc_id"] is None}) <= 2
+    only = spark.createDataFrame([(r[0], 0, 0, "x") for r in labels], LABELS)
+    assert sum(g["predicted"] for g in rows_of(toxicity.classify(mixed, only))) == 0
+    assert rows_of(toxicity.classify(empty(spark), told)) == []
+
+
+def test_toxicity_of_documents_that_were_held_out(spark):
+    """Insults in English documents are found; clean documents are left alone."""
+    folder = "/root/testdata/sf0.01"
+    told = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    english = {r["doc_id"] for r in spark.read.parquet(f"{folder}/documents.parquet").where("lang = 'en'").collect()}
+    got = [g for g in rows_of(toxicity.query(spark, folder)) if g["held_out"] and g["doc_id"] in told]
+    clean = [g["predicted"] for g in got if told[g["doc_id"]] == 0]
+    assert sum(clean) <= 0.05 * len(clean)
+    toxic = [g["score"] for g in got if told[g["doc_id"]] == 1 and g["doc_id"] in english]
+    fine = [g["score"] for g in got if told[g["doc_id"]] == 0 and g["doc_id"] in english]
+    pairs = [(t > f) + 0.5 * (t == f) for t in toxic for f in fine]
+    assert sum(pairs) >= 0.9 * len(pairs)
