@@ -7,6 +7,8 @@ by ``run_id``.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,35 +47,49 @@ _UNREAD = {name: [] for name in _PARTS} | {
 }
 
 
-def _parse(arrow: pa.Schema):
+#: What makes a file's text (Latin-1, so that positions are bytes) into the parts of an index; parts it leaves out are empty.
+Parser = Callable[[str], dict[str, Any]]
+#: The parsers that may be named, beside those handed in.
+PARSERS: dict[str, Parser] = {"c": parse}
+
+
+def _parsed(parser: Parser | None, name: str, content: bytes) -> dict[str, Any]:
+    own = {"sha256": hashlib.sha256(content).hexdigest(), "size": len(content)}
+    if parser is None:
+        return _UNREAD | {"parse_problems": [f"no parser {name}"]} | own
+    try:
+        return _UNREAD | {"parse_problems": [], "parse_confidence": 1.0} | parser(content.decode("latin-1")) | own
+    except Exception as problem:  # a parser handed in may fail on any file, and costs that file only
+        return _UNREAD | {"parse_problems": [f"parser {name} failed: {type(problem).__name__}"]} | own
+
+
+def _parse(arrow: pa.Schema, parsers: dict[str, Parser]):
     def run(batches):
         for batch in batches:
             rows = []
-            for content in batch["content"].to_pylist():
-                if content is None:
-                    rows.append(_UNREAD)
-                else:
-                    rows.append(
-                        parse(content.decode("latin-1"))
-                        | {"sha256": hashlib.sha256(content).hexdigest(), "size": len(content)}
-                    )
-            kept = batch.drop_columns(["content"])
+            for name, content in zip(batch["parser"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                rows.append(_UNREAD if content is None else _parsed(parsers.get(name), name, content))
+            kept = batch.drop_columns(["content", "parser"])
             columns = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, *arrow.names])
 
     return run
 
 
-def source_index(files: DataFrame) -> DataFrame:
-    """One row per file of ``files`` (run_id, path, content, ...).
+def source_index(files: DataFrame, parsers: dict[str, Parser] | None = None, choose: Column | None = None) -> DataFrame:
+    """One row per file of ``files`` (run_id, path, content, ...).
 
     ``content`` is binary, as only bytes have offsets; a null one leaves an unreadable file of zero
-    confidence. The other columns stay as they are.
+    confidence. The other columns stay as they are. ``parsers`` are more parsers by name, shipped to the
+    workers as they are; ``choose`` is the name of each file's (a column of the path, say), "c" where it is
+    null. A parser that fails, or a name without one, costs its own files their parts, and says so.
     """
     parsed = StructType.fromDDL(PARSED)
-    schema = StructType(files.drop("content").schema.fields + parsed.fields)
-    rows = files.select(*files.drop("content").columns, F.col("content").cast("binary").alias("content"))
-    out = rows.mapInArrow(_parse(to_arrow_schema(parsed)), schema)
+    others = files.drop("content")
+    schema = StructType(others.schema.fields + parsed.fields)
+    name = F.coalesce(choose if choose is not None else F.lit(None).cast("string"), F.lit("c"))
+    rows = files.select(*others.columns, name.alias("parser"), F.col("content").cast("binary").alias("content"))
+    out = rows.mapInArrow(_parse(to_arrow_schema(parsed), PARSERS | (parsers or {})), schema)
     return out.withColumn("readable", F.col("size").isNotNull())
 
 

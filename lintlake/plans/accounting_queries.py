@@ -80,6 +80,13 @@ def _cache(s, d):
     return A.cache_counts(A.cache_lookup(_keyed(s, d), _keyed(s, d).where("status = 'completed'")))
 
 
+def _stored_cache(s, d):
+    """The cache of completed units after the answers of all units have been put in; every fifth was cut off by its provider."""
+    cache = _keyed(s, d).where("status = 'completed' and unit_id % 2 = 0").select("cache_key")
+    asked = _keyed(s, d).withColumn("provider_stopped", F.expr("unit_id % 5 = 0"))
+    return A.cache_store(A.cache_lookup(asked, cache), cache)
+
+
 def _keyed(s, d):
     """Units with their cache keys; the prompt stands for path, kind and tier."""
     fields = {k: F.lit(v) for k, v in _KEY.items() if v is not None}
@@ -159,6 +166,10 @@ QUERIES = {
     ),
     "a21_latest_run": lambda s, d: A.latest_run(_runs(s, d)),
     "c13_cache_lookup": _cache,
+    "c13_cache_store": _stored_cache,
+    "e31_process_outcome": lambda s, d: view(s, d, "v_events").select(
+        "event_id", A.process_outcome(F.expr("unit % 7 = 0"), F.expr("status = 'error'"), F.expr("event_id % 2 = 0"), F.expr("event_id % 3 = 0")).alias("outcome")
+    ),
     "e31_finish_status": lambda s, d: view(s, d, "v_events")
     .select("event_id", A.finish_status(F.expr("case unit % 5 when 0 then 'Stop' when 1 then 'length' when 2 then 'aborted' when 3 then status else null end"), F.expr("event_id % 3 <> 0")).alias("unit_status")),
     "w04_merged_spans": lambda s, d: P.merged(_spans(s, d)),
@@ -241,10 +252,15 @@ ORACLES = {
       select run_id, sha256(string_agg(block || ' ' || digest, chr(10) order by block)) as digest from b group by 1""",
     "a21_latest_run": f"""with v as ({EVENTS}), r as (select run_id, unit % 5 as source, max(date_trunc('hour', ts)) as finished_at from v group by 1, 2)
       select source, run_id from (select *, row_number() over (partition by source order by finished_at desc, run_id desc) as n from r) where n = 1""",
+    "c13_cache_store": f"""{_U}, k as (select *, {_KEY_SQL} as key from v_units), c as (select key from k where status = 'completed' and unit_id % 2 = 0)
+      select key as cache_key from c union select key from k where key not in (select key from c) and status in ('completed', 'partial') and unit_id % 5 <> 0""",
     "c13_cache_lookup": f"""{_U}, k as (select *, {_KEY_SQL} as key from v_units),
       h as (select k.*, key in (select key from k where status = 'completed') as hit from k)
       select run_id, count(*) filter (hit) as hits, count(*) filter (not hit) as misses,
         count(*) filter (not hit and status in ('completed', 'partial')) as stored from h group by 1""",
+    "e31_process_outcome": f"""with v as ({EVENTS}) select event_id, case when unit % 7 = 0 then 'interrupted'
+      when status = 'error' and event_id % 3 = 0 then 'partial' when status = 'error' then 'timed_out' when event_id % 2 = 0 then 'completed'
+      when event_id % 3 = 0 then 'partial' else 'failed' end as outcome from v""",
     "e31_finish_status": f"""with v as ({EVENTS}), f as (select event_id, event_id % 3 <> 0 as valid, case unit % 5 when 0 then 'completed' when 1 then 'partial'
         when 2 then 'interrupted' when 3 then case when status = 'error' then 'failed' else 'failed' end else 'failed' end as state from v)
       select event_id, case when state in ('completed', 'partial') and not valid then 'failed' else state end as unit_status from f""",

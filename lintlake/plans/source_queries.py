@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from lintlake.operators import source_index as X
@@ -29,7 +31,25 @@ def _calls(index):
     return X.call_edges(index, X.symbol_table(index))
 
 
+def _directives_only(text):
+    """A parser of another kind: what a file includes, and nothing else."""
+    found = re.finditer(r'(?m)^#include\s*([<"])([^>"\n]*)', text)
+    return {"includes": [{"target": m[2], "system": m[1] == "<", "line": text.count("\n", 0, m.start()) + 1} for m in found]}
+
+
+def _two_parsers(s, d):
+    """Texts are read for their includes only, other headers by a parser that does not exist, the rest as C."""
+    files = view(s, d, "v_csources").select("run_id", "path", "content")
+    kind = F.when(F.endswith("path", F.lit(".txt")), "directives").when(F.endswith("path", F.lit(".hpp")), "d")
+    index = X.source_index(files, {"directives": _directives_only}, kind).where("readable")
+    return index.select(
+        "run_id", "path", F.size("functions").alias("functions"), F.size("macros").alias("macros"),
+        F.array_join(F.transform("includes", lambda i: i["target"]), ",").alias("includes"), F.expr("get(parse_problems, 0) = 'no parser d'").alias("unknown"),
+    ).fillna(False, ["unknown"])
+
+
 QUERIES = {
+    "x01_x05_two_parsers": _two_parsers,
     "x02_source_index": _q(
         lambda i: X.part(i, "functions").select(*_FIELDS.split(", "), F.array_join("calls", ",").alias("calls"))
     ),
@@ -109,7 +129,10 @@ _SYMBOLS = f"""{_F}, g as ({_GLOBALS}),
   edges as (select distinct f.run_id, f.path || '::' || f.name as caller, c as callee
     from f, unnest(string_split(f.calls, ',')) as t(c) join symbols y on y.run_id = f.run_id and y.name = c)"""
 
+_OF = lambda other, c: f"case doc_id % 6 when 4 then {other} when 3 then 0 else {c} end::int"
 ORACLES = {
+    "x01_x05_two_parsers": f"""{_V} select run_id, path, {_OF(0, 3)} as functions, {_OF(0, 2)} as macros,
+      case when doc_id % 6 = 3 then '' else 'sys/k' || doc_id % 4 || '.h,m' || doc_id % 50 || '.h' end as includes, doc_id % 6 = 3 as unknown from r""",
     "x02_source_index": f"{_F} select {_FIELDS}, calls from f",
     "d13_index_totals": f"""{_V} select run_id, count(*) as files, 3 * count(content) as functions, coalesce(sum(strlen(content)), 0)::bigint as bytes,
         count(*) - count(content) as unreadable,
