@@ -28,6 +28,8 @@ RATE = 0.5
 #: Labelled rows the model is fitted on, at most, for each of the two labels.
 SAMPLE_ROWS = 1500
 THRESHOLD = 0.7
+#: Text scored at once; the arrays of its n-grams take some eighty times as much.
+SCORED_BYTES = 1 << 18
 BLANKS = np.array([0x20, *range(0x09, 0x0E), 0x85, 0xA0, 0x2028, 0x2029, 0x3000], np.uint32)
 _U = np.uint32
 
@@ -176,7 +178,7 @@ def _score(model, columns: list[str]):
         weights = np.frombuffer(weights, np.float32) if weights else np.zeros(1 << BUCKET_BITS, np.float32)
         for batch in batches:
             scores = []
-            for _, texts in text_slices(batch["text"], 1 << 20):
+            for _, texts in text_slices(batch["text"], SCORED_BYTES):
                 codes, starts = code_points(texts)
                 total, count = np.zeros(len(codes)), np.zeros(len(codes), np.int32)
                 for at, buckets in features(codes):
