@@ -128,6 +128,23 @@ def test_paths(spark):
     assert path("") == ""
 
 
+def test_values_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("a",) * 5], "engine string, declared string, cwe string, rule string, message string")
+    plan = lambda c: rows.select(c.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(S.category(*map(F.col, rows.columns))).count("regexp_extract(") == 1
+    assert plan(T.canonical_path(F.col("message"), "/work/src")).lower().count("urlcodec") == 1
+
+
+def test_plain_and_folded_paths_agree(spark):
+    cases = [
+        ("a/b.c", "a/b.c"), ("a//b.c", "a/b.c"), ("./a.c", "a.c"), ("a/./b.c", "a/b.c"), ("a/../b.c", "b.c"), ("../x.c", "/work/x.c"),
+        ("/work/src/a.c", "a.c"), ("/etc/a.c", "/etc/a.c"), ("file:///work/src/a%20b.c", "a b.c"), ("a/", "a"), ("a+b.c", "a+b.c"),
+        ("a/..", "/work/src"), ("a%zz", "a%zz"), ("", ""), (None, ""), (".hid/..x/c.", ".hid/..x/c."), ("file:x", "file:x"),
+    ]
+    df = spark.createDataFrame(cases, "raw string, want string").withColumn("got", T.canonical_path(F.col("raw"), "/work/src"))
+    assert df.where("not got <=> want").collect() == []
+
+
 def test_live_state_streams_to_the_batch_result(spark, tmp_path):
     path = str(tmp_path / "events")
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(path)
