@@ -13,6 +13,7 @@ one block, as large as it is.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,59 +62,103 @@ _LITERAL = np.isin(np.arange(STATES), [STRING, STRING_BACK, CHAR, CHAR_BACK])
 _CODE = np.isin(np.arange(STATES), [CODE, WORD, NUMBER, SLASH])
 
 
-def _chunks(data: np.ndarray) -> np.ndarray:
-    rows = -(-len(data) // CHUNK)
-    return np.concatenate((data, np.zeros(rows * CHUNK - len(data), np.uint8))).reshape(rows, CHUNK)
-
-
-def _chunk_maps(data: np.ndarray) -> np.ndarray:
-    """(whole chunks, states): the state after each chunk for every state before it."""
-    chunks = data[: len(data) // CHUNK * CHUNK].reshape(-1, CHUNK)
-    if not len(chunks):
-        return np.empty((0, STATES), np.uint8)
-    state = np.repeat(np.arange(STATES, dtype=np.uint8)[:, None], len(chunks), axis=1)
-    for k in range(CHUNK):
-        state = STEP[state, chunks[:, k]]
-    return state.T
+#: STEP by byte and then state, with one more symbol, of padding, which changes no state.
+_PAD = 256
+_STEP_BY_BYTE = np.concatenate((STEP.T, np.arange(STATES, dtype=np.uint8)[None])).ravel()
+
+
+class _Group:
+    """Blocks laid out in chunks of ``CHUNK`` bytes, the last of each padded, that are stepped through together."""
+
+    def __init__(self, datas: list[bytes]):
+        self.sizes = np.array([len(d) for d in datas], np.int64)
+        self.counts = -(-self.sizes // CHUNK)
+        self.first = np.cumsum(self.counts) - self.counts
+        raw = np.full((int(self.counts.sum()), CHUNK), _PAD, np.uint16)
+        flat = raw.ravel()
+        for at, data in zip((self.first * CHUNK).tolist(), datas, strict=True):
+            flat[at : at + len(data)] = np.frombuffer(data, np.uint8)
+        self.raw = flat
+        self.columns = raw.T.astype(np.int32) * STATES
+        self.steps = int(min(CHUNK, self.sizes.max(initial=0)))
+
+    def chunk_maps(self) -> np.ndarray:
+        """(states, chunks): the state after each chunk for every state before it."""
+        state = np.repeat(np.arange(STATES, dtype=np.uint8)[:, None], self.columns.shape[1], axis=1)
+        for column in self.columns[: self.steps]:
+            state = _STEP_BY_BYTE[column + state]
+        return state
+
+    def along(self, maps: np.ndarray, state: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The n-th chunks of all blocks that have one, and the blocks they are of, for every n."""
+        for n in range(int(self.counts.max(initial=0))):
+            own = np.flatnonzero(self.counts > n)
+            chunks = self.first[own] + n
+            yield own, chunks
+            state[own] = np.take_along_axis(maps.T[chunks], state[own].astype(np.intp).reshape(len(own), -1), 1).reshape(state[own].shape)
+
+    def maps(self) -> np.ndarray:
+        """(blocks, states): the state after each block for every state before it."""
+        out = np.repeat(np.arange(STATES, dtype=np.uint8)[None], len(self.sizes), axis=0)
+        for _ in self.along(self.chunk_maps(), out):
+            pass
+        return out
+
+    def states(self, firsts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """The states before and after each byte of the layout, for the state each block begins in."""
+        begins, state = np.zeros(self.columns.shape[1], np.uint8), np.array(firsts, np.uint8)
+        for own, chunks in self.along(self.chunk_maps(), state):
+            begins[chunks] = state[own]
+        out = np.empty((self.columns.shape[1], CHUNK + 1), np.uint8)
+        out[:, 0] = begins
+        for k, column in enumerate(self.columns):
+            out[:, k + 1] = _STEP_BY_BYTE[column + out[:, k]]
+        return out[:, :CHUNK].ravel(), out[:, 1:].ravel()
+
+
+def groups(sizes: list[int], most: int = 1 << 20) -> Iterator[slice]:
+    """Neighbouring blocks of up to ``most`` bytes together; a larger one is alone."""
+    start, total = 0, 0
+    for at, size in enumerate(sizes):
+        if at > start and total + size > most:
+            yield slice(start, at)
+            start, total = at, 0
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
+def _laid_out(data: bytes) -> int:
+    return -(-len(data) // CHUNK) * CHUNK
 
 
 def block_map(data: np.ndarray) -> np.ndarray:
     """The state after ``data`` for every state before it."""
-    out = np.arange(STATES, dtype=np.uint8)
-    for own in _chunk_maps(data):
-        out = own[out]
-    for byte in data[len(data) // CHUNK * CHUNK :]:
-        out = STEP[out, byte]
-    return out
-
-
-def states_before(data: np.ndarray, first: int) -> np.ndarray:
-    """The state before each byte, and the one after the last."""
-    begins = [first]
-    for own in _chunk_maps(data):
-        begins.append(int(own[begins[-1]]))
-    chunks = _chunks(data)
-    out = np.empty((len(chunks), CHUNK + 1), np.uint8)
-    out[:, 0] = begins[: len(chunks)]
-    for k in range(min(CHUNK, len(data))):
-        out[:, k + 1] = STEP[out[:, k], chunks[:, k]]
-    before = out[:, :CHUNK].ravel()[: len(data)]
-    last = STEP[before[-1], data[-1]] if len(data) else first
-    return np.append(before, last)
+    return _Group([data.tobytes()]).maps()[0]
+
+
+def masked_blocks(datas: list[bytes], afters: list[bytes], firsts: list[int]) -> list[tuple[bytes, bool, int]]:
+    """Blocks with comments and insides of literals blanked, whether a literal met a line end, the last state."""
+    group = _Group(datas)
+    raw = group.raw
+    before, then = group.states(firsts)
+    begin, end = group.first * CHUNK, group.first * CHUNK + group.sizes
+    following = np.append(raw[1:], np.uint16(32))
+    some = group.sizes > 0
+    following[end[some] - 1] = np.array([(a[:1] or b" ")[0] for a in afters], np.uint16)[some]
+    opens = _CODE[before] & (then == SLASH) & ((following == ord("/")) | (following == ord("*")))
+    blank = _COMMENT[before] | opens | ((before == SLASH) & _COMMENT[then])
+    blank |= _LITERAL[before] & ~((then == CODE) | (then == WORD)) | ((before == TICK) & _LITERAL[then])
+    broken = np.append(0, np.cumsum((raw == 10) & ((before == STRING) | (before == CHAR) | (before == TICK))))
+    out = np.where(blank & (raw != 10), np.uint16(32), raw).astype(np.uint8)
+    return [
+        (out[b:e].tobytes(), bool(broken[e] > broken[b]), int(then[e - 1]) if e > b else int(first))
+        for b, e, first in zip(begin.tolist(), end.tolist(), firsts, strict=True)
+    ]
 
 
 def masked_block(data: bytes, after: bytes, first: int) -> tuple[bytes, bool, int]:
-    """A block with comments and insides of literals blanked, whether a literal met a line end, the last state."""
-    raw = np.frombuffer(data, np.uint8)
-    states = states_before(raw, first)
-    before, then = states[:-1], states[1:]
-    following = np.append(raw[1:], np.frombuffer(after[:1] or b" ", np.uint8))
-    opens = _CODE[before] & (then == SLASH) & np.isin(following, [ord("/"), ord("*")])
-    blank = _COMMENT[before] | opens | ((before == SLASH) & _COMMENT[then])
-    blank |= _LITERAL[before] & ~((then == CODE) | (then == WORD)) | ((before == TICK) & _LITERAL[then])
-    broken = (raw == 10) & np.isin(before, [STRING, CHAR, TICK])
-    out = np.where(blank & (raw != 10), np.uint8(32), raw)
-    return out.tobytes(), bool(broken.any()), int(states[-1])
+    return masked_blocks([data], [after], [first])[0]
 
 
 def blocks(files: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
@@ -132,7 +177,7 @@ def blocks(files: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
 def _maps(batches):
     for batch in batches:
         datas = batch["data"].to_pylist()
-        maps = [block_map(np.frombuffer(d, np.uint8)).tobytes() for d in datas]
+        maps = [m.tobytes() for own in groups([_laid_out(d) for d in datas]) for m in _Group(datas[own]).maps()]
         lines = [d.count(b"\n") for d in datas]
         yield batch.select([*FILE, "block"]).append_column("map", pa.array(maps, pa.binary())).append_column("lines", pa.array(lines, pa.int64()))
 
@@ -156,18 +201,19 @@ def _masked(batches):
     from lintlake.sources.c_source import masked
 
     for batch in batches:
-        out, broken, last = [], [], []
-        columns = (batch[c].to_pylist() for c in ("data", "after", "state", "raw"))
-        for data, after, state, raw in zip(*columns, strict=True):
-            if raw:
-                text, problems = masked(data.decode("latin-1"))
-                out.append(text.encode("latin-1"))
-                broken.append("unterminated string or character literal" in problems)
-                last.append(BLOCK if "unterminated block comment" in problems else CODE)
-            else:
-                for column, value in zip((out, broken, last), masked_block(data, after, state), strict=True):
-                    column.append(value)
-        columns = [pa.array(out, pa.binary()), pa.array(broken), pa.array(last, pa.int32())]
+        datas, afters, states, raws = (batch[c].to_pylist() for c in ("data", "after", "state", "raw"))
+        found: list = [None] * len(datas)
+        for at in (i for i, raw in enumerate(raws) if raw):
+            text, problems = masked(datas[at].decode("latin-1"))
+            last_state = BLOCK if "unterminated block comment" in problems else CODE
+            found[at] = text.encode("latin-1"), "unterminated string or character literal" in problems, last_state
+        plain = [i for i, raw in enumerate(raws) if not raw]
+        for own in groups([_laid_out(datas[i]) for i in plain]):
+            some = plain[own]
+            for i, row in zip(some, masked_blocks(*([c[i] for i in some] for c in (datas, afters, states))), strict=True):
+                found[i] = row
+        out, broken, last = zip(*found, strict=True) if found else ([], [], [])
+        columns = [pa.array(out, pa.binary()), pa.array(broken, pa.bool_()), pa.array(last, pa.int32())]
         kept = batch.select([*FILE, "block", "start", "first_line"])
         yield pa.RecordBatch.from_arrays([*kept.columns, *columns], [*kept.schema.names, "masked", "broken", "last"])
 

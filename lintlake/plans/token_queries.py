@@ -49,7 +49,7 @@ QUERIES = {
     "w18_lines": lambda s, d: T.lines(_lexed(s, d)).groupBy("run_id", "path").agg(
         F.count(F.lit(1)).alias("lines"), F.max("line").alias("last_line"), F.max("start").alias("last_start"), F.sum("start").alias("starts")
     ),
-    "w15_arms_by_sums": lambda s, d: _arms(_lexed(s, d), _files(s, d))[1].select(
+    "w15_arms_by_sums": lambda s, d: _arms(keep(_lexed(s, d), "lexed"), _files(s, d))[1].select(
         "run_id", "path", "kind", "condition", "depth", "start", "body_start", "body_end", "line_start", "line_end", "dead"
     ),
     "w16_brace_spans": _spans,

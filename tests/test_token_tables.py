@@ -38,6 +38,25 @@ def test_blocks_cut_anywhere_are_masked_as_the_whole():
         assert unclosed == ("unterminated string or character literal" in problems)
 
 
+def test_blocks_masked_together_are_those_masked_alone():
+    rng = random.Random(5)
+    datas = [t.encode("latin-1") * rng.choice([1, 1, 40]) for t in odd_texts(300, 40, 6)] + [b"", b"/" * T.CHUNK, b'"' * (2 * T.CHUNK)]
+    firsts, afters = [rng.randrange(T.STATES) for _ in datas], [rng.choice([b"", b"/", b"*", b"x"]) for _ in datas]
+    maps = T._Group(datas).maps()
+    for data, after, first, row, own in zip(datas, afters, firsts, T.masked_blocks(datas, afters, firsts), maps, strict=True):
+        assert row == T.masked_block(data, after, first)
+        for state in range(T.STATES):
+            last = state
+            for byte in data:
+                last = T.STEP[last, byte]
+            assert own[state] == last
+    sizes = [rng.randrange(1, 50) for _ in range(200)] + [500, 1]
+    cut = list(T.groups(sizes, 100))
+    assert [i for s in cut for i in range(s.start, s.stop)] == list(range(len(sizes)))
+    assert all(sum(sizes[s]) <= 100 or s.stop - s.start == 1 for s in cut)
+    assert list(T.groups([])) == []
+
+
 def test_tables_of_odd_files(spark):
     texts = [*odd_texts(60, 60, 3), "", "\n", "#if 1", 'auto s = R"x( " /* )x"; {}', None]
     files = spark.createDataFrame([("r", str(i), None if t is None else bytearray(t.encode("latin-1"))) for i, t in enumerate(texts)], FILES)
