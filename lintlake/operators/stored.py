@@ -17,14 +17,33 @@ DATABASE = "compile_commands.json"
 SCHEMAS = (1, 2, 3)
 
 
-def stored_documents(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """Every document called ``name`` below a folder of runs: path, text, and its run, the folder it lies in."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(folder)
+def _documents(files: DataFrame) -> DataFrame:
     return files.select(
         F.col("path"), F.element_at(F.split("path", "/"), -2).alias("run_id"), F.col("content").cast("string").alias("text")
     )
 
 
+def stored_documents(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """Every document called ``name`` below a folder of runs: path, text, and its run, the folder it lies in."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(folder)
+    return _documents(files)
+
+
+def pack_documents(documents: DataFrame, folder: str) -> None:
+    """Documents (run_id, name, text) of many runs as rows of path and content in a few files.
+
+    A file of its own costs every document a directory, a rename by the driver and an entry of a listing.
+    """
+    path = F.concat_ws("/", "run_id", "name").alias("path")
+    documents.select(path, F.col("text").cast("binary").alias("content")).write.parquet(folder)
+
+
+def packed_documents(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """``stored_documents`` of runs that ``pack_documents`` has stored."""
+    files = spark.read.schema("path string, content binary").parquet(folder)
+    return _documents(files.where(F.element_at(F.split("path", "/"), -1) == name))
+
+
 def _kind(v: Column, path: str) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(""))
 

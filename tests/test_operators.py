@@ -145,6 +145,19 @@ def test_plain_and_folded_paths_agree(spark):
     assert df.where("not got <=> want").collect() == []
 
 
+def test_packed_documents_are_the_stored_ones_in_few_files(spark, tmp_path):
+    rows = [(f"r{i}", "manifest.json" if i % 3 else "review.json", f"text {i}\n\u00e9 ") for i in range(60)]
+    for run, name, text in rows:
+        (tmp_path / "loose" / run).mkdir(parents=True)
+        (tmp_path / "loose" / run / name).write_text(text, encoding="utf-8")
+    D.pack_documents(spark.createDataFrame(rows, "run_id string, name string, text string").coalesce(2), f"file://{tmp_path}/packed")
+    assert len(list((tmp_path / "packed").glob("part-*"))) == 2
+    read = lambda documents: sorted(map(tuple, documents.select("run_id", "text").collect()))
+    packed = read(D.packed_documents(spark, f"file://{tmp_path}/packed", "manifest.json"))
+    assert packed == read(D.stored_documents(spark, f"file://{tmp_path}/loose", "manifest.json"))
+    assert packed == sorted((r, t) for r, n, t in rows if n == "manifest.json")
+
+
 def test_live_state_streams_to_the_batch_result(spark, tmp_path):
     path = str(tmp_path / "events")
     spark.read.parquet("/root/testdata/sf0.001/events.parquet").write.parquet(path)
