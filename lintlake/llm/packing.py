@@ -30,6 +30,8 @@ TIERS = (2048, 1024, 512, 256)
 END_ID = 1
 GROUP_DOCS = 4096
 STEP_TOKENS = 64 * 2048
+#: Bytes of texts cut at once: a slice takes about forty times its bytes in arrays of points, hashes and ids.
+SLICE_BYTES = 1 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rest binary"
 PACKED = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int,"
@@ -46,7 +48,7 @@ def _cut(path: str, context: int):
         workers.begin("packing")
         ids_of = word_ids(path)
         for batch in batches:
-            for first, texts in text_slices(batch["text"]):
+            for first, texts in text_slices(batch["text"], SLICE_BYTES):
                 rows, starts, lengths, crcs, totals, rests = [], [], [], [], [], []
                 for k, ids in enumerate(ids_of.encode(texts)):
                     ids += end
@@ -129,13 +131,17 @@ def _steps(tier: int, n: int) -> np.ndarray:
     return np.arange(n) % steps
 
 
+def _crc_of(rest: pa.Scalar, start: int, length: int) -> int:
+    return zlib.crc32(memoryview(rest.as_buffer())[4 * start : 4 * (start + length)])
+
+
 def _pack_group(tiers: tuple[int, ...]):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         group = key[0].as_py()
-        order = [table[c].fill_null(-1).to_numpy() for c in ("ids_crc32", "start", "doc_tokens", "doc_id")]
-        table = table.take(pa.array(np.lexsort(order)))
+        order = np.lexsort([table[c].fill_null(-1).to_numpy() for c in ("ids_crc32", "start", "doc_tokens", "doc_id")])
+        rests = table["rest"]  # most of a group's bytes: they stay where they are, of pieces that are cut one is copied
+        table = table.drop_columns("rest").take(pa.array(order))
         lengths, crcs = table["length"].to_pylist(), table["ids_crc32"].to_pylist()
-        rests = table["rest"].to_pylist()
         sequences = pack_hierarchy(lengths, tiers)
         kinds = np.array([tier for tier, _ in sequences])
         steps = np.zeros(len(sequences), np.int64)
@@ -146,7 +152,7 @@ def _pack_group(tiers: tuple[int, ...]):
             offset = 0
             for position, start, length in window:
                 whole = length == lengths[position]
-                crc = crcs[position] if whole else zlib.crc32(rests[position][4 * start : 4 * (start + length)])
+                crc = crcs[position] if whole else _crc_of(rests[int(order[position])], start, length)
                 out.append((position, start, length, crc, (group << 32) + n, offset, tier, (group << 32) + steps[n]))
                 offset += length
         position, start, *rest = (np.array(c) for c in zip(*out, strict=True))

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -164,6 +165,21 @@ def test_packing_covers_every_id_once_in_full_windows(spark):
     assert rows_of(packing.pack_tiers(spark, empty(spark))) == []
 
 
+def test_packing_cuts_a_large_batch_in_small_slices():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 3000, 800)) for _ in range(1000)]
+    batch = pa.record_batch({"doc_id": pa.array(range(1000), pa.int64()), "text": texts})
+    cut = packing._cut(vocab.tokenizer_path("word_bpe_49k.json"), 2048)
+    list(cut([batch.slice(0, 1)]))
+    tracemalloc.start()
+    pieces = sum(b.num_rows for b in cut([batch]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert pieces >= 1000 and most < 80 << 20
+
+
 def test_packing_routes_pieces_to_tiers_and_cuts_to_fill():
     lengths = [2048, 1900, 1100, 900, 148, 1024, 513, 500, 257, 40, 60]
     packed = packing.pack_hierarchy(lengths)
