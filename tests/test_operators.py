@@ -370,3 +370,22 @@ def test_include_flags(spark):
     flags = one(spark, D.include_flags(F.lit(None).cast("array<string>"), F.lit(command), F.lit("/w")))
     assert flags == ["-I/w/inc", "-I/abs", "-I/w/sys", "-DX=1", "-DY=a b", "-UZ", "-I/w/q"]
     assert one(spark, D.include_flags(F.lit(None).cast("array<string>"), F.lit("cc 'open"), F.lit("/w"))) == []
+
+
+def test_readers_parse_a_report_once_and_still_see_its_faults(spark):
+    from lintlake.sources import reports as P
+
+    good = '{"version":"2.1.0","runs":[{"results":[{"ruleId":"R","message":{"text":"m"},"locations":[]}]}]}'
+    texts = {
+        good: None, good.replace("[]}]", "7}]"): "locations must be an array of objects",
+        good.replace('"locations":[]', '"locations":null'): "locations must be an array of objects",
+        good.replace('{"results"', '{"tool":[],"results"'): "tool must be an object",
+        good.replace('"runs":[', '"runs":[null,'): None,
+        good.replace('"R"', 'null'): None, good.replace('"m"', '["m"]'): None,
+    }
+    rows = spark.createDataFrame([("r", str(i), "flawfinder", "c", t) for i, t in enumerate(texts)], "run_id string, unit_id string, tool string, evidence_context string, text string")
+    said = {r[0]: r[1] for r in rows.select("text", P.sarif_problem(F.col("text"))).collect()}
+    assert {t: x and x.removeprefix("invalid Flawfinder SARIF: ") for t, x in said.items()} == texts
+    plan = P.flawfinder(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+    assert P.flawfinder(rows).count() == 4
