@@ -47,6 +47,19 @@ def test_clusters_are_anchored_at_their_first_line(spark):
     assert starts == [1, 1, 5, 5, 20, 1, 2, 5, 6, 20]  # the state is carried across batches
 
 
+def test_pages_read_their_findings_once_and_long_ones_are_cut_alike(spark, sf_dir, monkeypatch):
+    from lintlake.plans import review_queries as Q
+
+    for mode, number, size in (("rule", 2, 7), ("location", 10_000, 7), ("priority", 1, 5)):
+        pages = Q._page(mode, number, size)
+        monkeypatch.setattr(R, "SHORT_LISTING", 10**9)
+        short = pages(spark, sf_dir)
+        plan = short._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(key_hash") == 1  # pages were counted over findings made anew
+        monkeypatch.setattr(R, "SHORT_LISTING", 0)
+        assert sorted(map(tuple, pages(spark, sf_dir).collect())) == sorted(map(tuple, short.collect()))
+
+
 def test_repeated_rows_keep_one_copy(spark):
     row = ("r", 1, "cppcheck", "source-only", "a.c", "1", "", "R", "m")
     names = "run_id string, place long, tool string, evidence_context string, file string, line string, col string, rule_id string, message string"
