@@ -402,3 +402,42 @@ def test_readers_parse_a_report_once_and_still_see_its_faults(spark):
     plan = P.flawfinder(rows)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 1
     assert P.flawfinder(rows).count() == 4
+
+
+def test_batches_are_bounded_and_cut_into_slices(spark):
+    import pyarrow as pa
+
+    from lintlake.operators.batches import BATCH_BYTES, slices, small_batches
+    from lintlake.sources.responses import response_items
+
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 40})
+    parts = list(slices(batch, 8_000))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch])) and all(p.nbytes <= 8_000 for p in parts)
+    assert [p.num_rows for p in slices(pa.RecordBatch.from_pydict({"t": ["x" * 9000]}), 8_000)] == [1]
+    before = spark.conf.get(BATCH_BYTES)
+    try:
+        spark.conf.set(BATCH_BYTES, "67108864b")
+        response_items(spark.createDataFrame([("{}",)], "text string"))
+        assert int(spark.conf.get(BATCH_BYTES)) == 8 << 20  # was left at 64 MiB
+        spark.conf.set(BATCH_BYTES, "1000")
+        small_batches(spark)
+        assert spark.conf.get(BATCH_BYTES) == "1000"
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
+def test_a_streams_state_is_fed_in_short_frames(spark, tmp_path, monkeypatch):
+    from lintlake.streaming import stateful as S2
+
+    rows = [("r", k, 3 if k % 2 else 4, 1) for k in range(25, 0, -1)]
+    spark.createDataFrame(rows, "run_id string, unit_id long, cost long, reserved long").coalesce(1).write.parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(S2, "STATE_ROWS", 4)
+    stream = spark.readStream.schema("run_id string, unit_id long, cost long, reserved long").parquet(f"{tmp_path}/in")
+    got = sorted((r["unit_id"], r["refused_by"], r["prompt_spent"]) for r in S2.collected(S2.ledger_stream(stream, ["unit_id"], 20, 100)).collect())
+    want, spent = [], 0
+    for k in range(1, 26):
+        cost = 3 if k % 2 else 4
+        refused = None if spent + cost <= 20 else "cost"
+        spent += 0 if refused else cost
+        want.append((k, refused, spent))
+    assert got == want
