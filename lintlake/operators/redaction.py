@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from lintlake.functions.text import HOST_PATHS, LEAKED_PATHS, UNC
+from lintlake.operators.batches import small_batches
 
 SECRET = "<SECRET>"
 LEAST_SECRET = 8
@@ -105,6 +106,7 @@ def redact(rows: DataFrame, column: str, prefixes: dict[str, str], secrets: list
     counts = {r: F.lit(0) for r in RULES}
     rules = tuple(literal_rules(prefixes, secrets))
     if len(rules) > MOST_EXPRESSIONS:
+        small_batches(rows.sparkSession)
         rows = rows.withColumn("__found", _literals(rules)(text))
         text = F.col("__found.text")
         counts |= {r: F.col(f"__found.{r}") for r in LITERAL_RULES}
@@ -135,6 +137,7 @@ def leaks(rows: DataFrame, column: str, prefixes: dict[str, str], secrets: list[
     names = {"secret_value": "secret_value", "prefix": "dynamic_prefix"}
     rules = tuple(literal_rules(prefixes, secrets))
     if len(rules) > MOST_EXPRESSIONS:
+        small_batches(rows.sparkSession)
         rows = rows.withColumn("__rules", _any_literal(rules)(F.col(column)))
         found = [F.when(F.array_contains("__rules", r), names[r]) for r in LITERAL_RULES]
     else:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from lintlake.operators.batches import slices, small_batches
 from lintlake.sources.c_source import parse
 
 LOW_CONFIDENCE = 0.5
@@ -65,7 +66,7 @@ def _parsed(parser: Parser | None, name: str, content: bytes) -> dict[str, Any]:
 
 def _parse(arrow: pa.Schema, parsers: dict[str, Parser]):
     def run(batches):
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b)):
             rows = []
             for name, content in zip(batch["parser"].to_pylist(), batch["content"].to_pylist(), strict=True):
                 rows.append(_UNREAD if content is None else _parsed(parsers.get(name), name, content))
@@ -89,6 +90,7 @@ def source_index(files: DataFrame, parsers: dict[str, Parser] | None = None, cho
     schema = StructType(others.schema.fields + parsed.fields)
     name = F.coalesce(choose if choose is not None else F.lit(None).cast("string"), F.lit("c"))
     rows = files.select(*others.columns, name.alias("parser"), F.col("content").cast("binary").alias("content"))
+    small_batches(files.sparkSession)
     out = rows.mapInArrow(_parse(to_arrow_schema(parsed), PARSERS | (parsers or {})), schema)
     return out.withColumn("readable", F.col("size").isNotNull())
 
