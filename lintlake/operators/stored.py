@@ -276,10 +276,8 @@ def audit(candidates: DataFrame) -> DataFrame:
 
 
 def replan_observation(review: DataFrame, units: DataFrame) -> DataFrame:
-    """After a round, findings by category and by severity and units by tier, in one long table."""
+    """After a round, findings by category and by severity and units by tier, in one long table; findings are read once."""
     one = F.count(F.lit(1)).alias("n")
-    parts = [
-        t.groupBy("run_id", F.lit(name).alias("measure"), F.col(c).alias("value")).agg(one)
-        for t, name, c in ((review, "category", "category"), (review, "severity", "severity"), (units, "tier", "tier"))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    measures = [F.struct(F.lit(c).alias("measure"), F.col(c).alias("value")) for c in ("category", "severity")]
+    found = review.select("run_id", F.inline(F.array(*measures))).groupBy("run_id", "measure", "value").agg(one)
+    return found.unionByName(units.groupBy("run_id", F.lit("tier").alias("measure"), F.col("tier").alias("value")).agg(one))
