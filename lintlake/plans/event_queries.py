@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lintlake.plans.bindings import EVENTS, UNITS, view
-from lintlake.operators.ordering import shared_dir
+from lintlake.operators.ordering import positions, shared_dir
 from lintlake.streaming import events as E
 from lintlake.streaming import stateful as S
 
@@ -23,13 +23,25 @@ def _sessions(s, d):
 
 
 def _definitions(s, d, text):
-    """First definition of each name: functions before prototypes, then by path and position."""
-    names = view(s, d, "v_sources").select(
-        "path", F.posexplode(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("pos", "name")
+    """First definition of each name: functions before prototypes, then by path and position.
+
+    Paths are numbered in their order (a null one is 0), so that the place of a name is one number: later, path and
+    position. The least number of a name is found by hashing, while a least string or struct would sort all names.
+    """
+    sources = view(s, d, "v_sources")
+    numbers = positions(sources.select(F.lit(0).alias("all"), "path").distinct(), "all", [F.col("path")], "path_no").drop("all")
+    names = sources.join(numbers, "path", "left").select(
+        F.coalesce("path_no", F.lit(0)).alias("path_no"),
+        F.posexplode(F.regexp_extract_all(text, F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))).alias("pos", "name"),
     )
-    first = F.min(F.struct((F.col("pos") % 3 != 0).alias("later"), "path", "pos"))
-    return names.groupBy("name").agg(first.alias("d"), (F.count(F.lit(1)) - 1).alias("duplicates")).select(
-        "name", "d.path", "d.pos", (~F.col("d.later")).alias("is_function"), "duplicates"
+    later = F.when(F.col("pos") % 3 != 0, F.lit(1 << 62)).otherwise(F.lit(0))
+    place = later + F.shiftleft("path_no", 31) + F.col("pos")
+    first = names.groupBy("name").agg(F.min(place).alias("first"), (F.count(F.lit(1)) - 1).alias("duplicates"))
+    at = F.col("first").bitwiseAND(F.lit((1 << 62) - 1))
+    found = first.withColumn("path_no", F.shiftright(at, 31)).join(numbers, "path_no", "left")
+    return found.select(
+        "name", "path", at.bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos"),
+        (F.col("first") < F.lit(1 << 62)).alias("is_function"), "duplicates",
     )
 
 

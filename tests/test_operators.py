@@ -441,3 +441,19 @@ def test_a_streams_state_is_fed_in_short_frames(spark, tmp_path, monkeypatch):
         spent += 0 if refused else cost
         want.append((k, refused, spent))
     assert got == want
+
+
+def test_first_names_and_the_replan_are_hashed_and_read_once(spark, sf_dir):
+    from lintlake.plans import event_queries as E
+    from lintlake.plans import stored_queries as D
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    symbols = E.QUERIES["d22_symbol_table_whole"](spark, sf_dir)
+    assert "SortAggregate" not in plan(symbols)  # every name of every text was sorted
+    words = spark.sql(
+        "select path, posexplode(regexp_extract_all(content, '([A-Za-z_][A-Za-z0-9_]*)', 1)) as (pos, name) from {v}", v=E.view(spark, sf_dir, "v_sources")
+    )
+    want = words.groupBy("name").agg(F.min(F.struct((F.col("pos") % 3 != 0).alias("l"), "path", "pos")).alias("d"), F.count("*").alias("n"))
+    want = want.selectExpr("name", "d.path", "d.pos", "not d.l as is_function", "n - 1 as duplicates")
+    assert sorted(map(tuple, symbols.collect())) == sorted(map(tuple, want.collect()))
+    assert plan(D.QUERIES["z03_replan"](spark, sf_dir)).count("Exchange hashpartitioning(key_hash") == 1  # was 2
