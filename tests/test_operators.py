@@ -457,3 +457,10 @@ def test_first_names_and_the_replan_are_hashed_and_read_once(spark, sf_dir):
     want = want.selectExpr("name", "d.path", "d.pos", "not d.l as is_function", "n - 1 as duplicates")
     assert sorted(map(tuple, symbols.collect())) == sorted(map(tuple, want.collect()))
     assert plan(D.QUERIES["z03_replan"](spark, sf_dir)).count("Exchange hashpartitioning(key_hash") == 1  # was 2
+
+
+def test_members_of_a_group_are_sorted_natively(spark, sf_dir):
+    from lintlake.plans import review_queries as Q
+
+    plan = Q.QUERIES["z01_cross_engine_groups"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "array_sort" not in plan  # which compares by a lambda, twice for each pair
