@@ -490,3 +490,20 @@ def test_plain_words_are_found_as_their_patterns_would_find_them(spark):
     df = spark.createDataFrame([(v,) for v in values], "v string").withColumn("low", S.ascii_lower(F.col("v")))
     for _, pattern in S.KEYWORDS:
         assert df.where(S.mentions(F.col("v"), F.col("low"), pattern) != F.col("v").rlike(f"(?i){pattern}")).count() == 0
+
+
+def test_findings_are_ordered_in_one_shuffle_however_often_they_are_met(spark, sf_dir):
+    from lintlake.operators.ordering import positions
+    from lintlake.plans.bindings import view
+
+    rows = view(spark, sf_dir, "v_findings").where("l_orderkey % 16 < 3")
+    # copies of one finding, later ones with another grade and in another context
+    often = rows.where("tool = 'cppcheck'").limit(1).crossJoin(spark.range(300).select(F.col("id").alias("k"))).selectExpr(
+        *[c for c in rows.columns if c not in ("l_linenumber", "original_severity", "evidence_context")], "cast(k + 10 as int) as l_linenumber",
+        "case when k % 2 = 0 then 'style' else 'error' end as original_severity", "case when k % 3 = 0 then 'build-aware' else 'source-only' end as evidence_context")
+    rows = rows.unionByName(often.select(*[F.col(f.name).cast(f.dataType) for f in rows.schema]))
+    columns = ("run_id", "sort_pos", "fingerprint", "rank", "canonical_path", "evidence_context", "l_linenumber")
+    want = positions(O.keep(R.reviewed(rows), "test"), "run_id", R.total_order(), "sort_pos").select(*columns)
+    want = sorted(map(tuple, want.collect()))
+    for frequent in (5, R.FREQUENT):
+        assert sorted(map(tuple, R.ordered_findings(rows, columns, frequent).collect())) == want
