@@ -15,7 +15,7 @@ from lintlake.plans.source_queries import _F, _SYMBOLS, _V, _bytes, _upto
 
 def _index(s, d):
     files = view(s, d, "v_csources").select("run_id", "path", "content", F.col("content").cast("binary").alias("raw"))
-    return keep(X.source_index(files), "index")
+    return keep(X.source_index(files), "index", "zstd")
 
 
 def _units(s, d):
@@ -24,7 +24,7 @@ def _units(s, d):
 
 def _full(s, d):
     index = _index(s, d)
-    return P.with_context(keep(P.scan_units(index), "units"), index, keep(X.symbol_table(index), "symbols"))
+    return P.with_context(keep(P.scan_units(index), "units", "zstd"), index, keep(X.symbol_table(index), "symbols", "zstd"))
 
 
 _names = lambda c: F.array_join(F.transform(F.coalesce(c, F.array()), lambda e: e["name"]), ",")

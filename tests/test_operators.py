@@ -590,3 +590,10 @@ def test_reports_of_all_kinds_are_written_in_one_pass_over_the_table(spark, sf_d
     plan = report_queries._texts(spark, sf_dir, **{kind: make() for kind, make in report_queries._FORMS.items()})._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("FileScan") == 1
     assert "lineitem" not in report_queries._stored(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_source_of_units_is_joined_with_their_context_once(spark, sf_dir):
+    from lintlake.plans import planner_queries as Q
+
+    plan = Q._full(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(" source#" in line for line in plan.splitlines() if "Project [" in line) <= 2
